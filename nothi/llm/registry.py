@@ -5,13 +5,22 @@ from __future__ import annotations
 from nothi.llm.op1_token_files import op1_token_files
 from nothi.llm.op2_warc_revisit import SQL as WARC_SQL
 from nothi.llm.op2_warc_revisit import op2_warc_revisit
+from nothi.llm.op3_mixing import SQL as MIXING_SQL
+from nothi.llm.op3_mixing import op3_mixing
+from nothi.llm.op4_simhash import op4_simhash
+from nothi.llm.op5_threshold_topk import SQL as TOPK_SQL
+from nothi.llm.op5_threshold_topk import op5_threshold_topk
 from nothi.llm.op6_packing import op6_packing
+from nothi.llm.op8_html_mincut import op8_html_mincut
+from nothi.llm.op9_hnsw import op9_hnsw
 from nothi.llm.op10_hilbert_sharding import op10_hilbert_sharding
 
+QUERIES = (op1_token_files, op2_warc_revisit, op3_mixing, op4_simhash, op5_threshold_topk, op6_packing, op8_html_mincut, op9_hnsw, op10_hilbert_sharding)
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_warc_revisit, op6_packing, op10_hilbert_sharding)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {"op2_warc_revisit": WARC_SQL}
+    return {"op2_warc_revisit": WARC_SQL, "op3_mixing": MIXING_SQL, "op5_threshold_topk": TOPK_SQL}
