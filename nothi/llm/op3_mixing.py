@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are summed per cell (source, language, topic). The cells' weights are raked to the target shares of
-each margin in turn until all agree, under the rule that no cell gets more tokens than it has; then
-each document is kept with its cell's probability, by a number that its doc_id fixes. All of it is
+each margin in turn until all agree; then each document is kept with its cell's probability, by a number that its
+doc_id fixes. The probability is ``keep`` times weight over tokens, and 1 where a cell has fewer tokens than its weight asks for. All of it is
 DataFrame operations; the rounds run over cells, a table that is cut from its lineage by a write to the shared folder.
 
 Targets default to smoothed shares of the corpus: a margin's share to the power ``smoothing``, made to add up to one.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from nothi.llm import common
 
 MARGINS = ("source", "lang", "topic")
-SMOOTHING, KEEP, ROUNDS, CLOSE = 0.7, 0.5, 40, 1e-12
+SMOOTHING, KEEP, ROUNDS, CLOSE = 0.85, 0.5, 30, 1e-12
 #: What a cell that no target knows is called.
 NONE = "(none)"
 
@@ -56,27 +56,26 @@ def smoothed_targets(cells: DataFrame, margin: str, smoothing: float = SMOOTHING
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
-    """Cells with ``p``: the share of their tokens to keep.
+    """Cells with ``w``, which sum to all tokens, and ``p``: the share of their tokens to keep.
 
-    ``cells`` has the margins and ``tokens``; ``targets`` a table (margin, target) for each margin. The sum of weights is ``keep`` times all tokens.
+    ``cells`` has the margins and ``tokens``; ``targets`` a table (margin, target) for each margin.
     """
     cells = common.materialize(cells.filter("tokens > 0"), "cells")
     whole = cells.agg(F.sum("tokens")).head()[0] or 0.0
     targets = {m: common.materialize((targets or {}).get(m) or smoothed_targets(cells, m), f"target_{m}") for m in MARGINS}
     for m in MARGINS:
         cells = cells.join(targets[m].withColumnRenamed("target", f"t_{m}"), m, "left")
-    now = common.materialize(cells.select(*MARGINS, "tokens", *[F.coalesce(f"t_{m}", F.lit(0.0)).alias(f"t_{m}") for m in MARGINS], (F.col("tokens") * keep).alias("w")), "cells")
+    now = common.materialize(cells.select(*MARGINS, "tokens", *[F.coalesce(f"t_{m}", F.lit(0.0)).alias(f"t_{m}") for m in MARGINS], F.col("tokens").alias("w")), "cells")
     for _ in range(rounds):
         step = now.withColumn("was", F.col("w"))
         for m in MARGINS:
             sums = step.groupBy(m).agg(F.sum("w").alias("sum"))
-            scaled = F.expr(f"w * (t_{m} * {keep * whole!r}D) / nullif(sum, 0.0D)")
-            step = step.join(sums, m).withColumn("w", F.least(F.coalesce(scaled, F.lit(0.0)), F.col("tokens"))).drop("sum")
+            step = step.join(sums, m).withColumn("w", F.expr(f"coalesce(w * (t_{m} * {whole!r}D) / nullif(sum, 0.0D), 0.0D)")).drop("sum")
         now = common.materialize(step.select(*MARGINS, "tokens", *[f"t_{m}" for m in MARGINS], "w", F.expr("abs(w - was) / greatest(was, w, 1e-300D)").alias("moved")), "cells")
         if (now.agg(F.max("moved")).head()[0] or 0.0) < close:
             break
         now = now.drop("moved")
-    return now.select(*MARGINS, "tokens", "w", F.expr("w / tokens").alias("p"))
+    return now.select(*MARGINS, "tokens", "w", F.least(F.lit(1.0), keep * F.col("w") / F.col("tokens")).alias("p"))
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP) -> DataFrame:
@@ -105,7 +104,7 @@ def _sql() -> str:
     """The same rounds as a recursive query; every round is run."""
     step = "cells_k"
     for m in MARGINS:
-        step = f"(SELECT * REPLACE (least(coalesce(w * (t_{m} * ({KEEP} * whole)) / nullif(s, 0), 0), tokens) AS w) FROM (SELECT *, {_SUMS.format(m)} AS s FROM (SELECT source, lang, topic, tokens, t_source, t_lang, t_topic, whole, w, k FROM {step})))"
+        step = f"(SELECT * REPLACE (coalesce(w * (t_{m} * whole) / nullif(s, 0), 0) AS w) FROM (SELECT *, {_SUMS.format(m)} AS s FROM (SELECT source, lang, topic, tokens, t_source, t_lang, t_topic, whole, w, k FROM {step})))"
     share = lambda m: f"(SELECT {m}, s / sum(s) OVER () AS t_{m} FROM (SELECT {m}, pow(sum(tokens), {SMOOTHING}) AS s FROM cells GROUP BY {m}))"
     return f"""
 WITH RECURSIVE u AS (
@@ -117,12 +116,12 @@ WITH RECURSIVE u AS (
   FROM (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents)),
 cells AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM u GROUP BY ALL HAVING sum(tokens) > 0),
 cells_k AS (
-  SELECT c.source, c.lang, c.topic, c.tokens, t_source, t_lang, t_topic, (SELECT sum(tokens) FROM cells) AS whole, c.tokens * CAST({KEEP} AS DOUBLE) AS w, 0 AS k
+  SELECT c.source, c.lang, c.topic, c.tokens, t_source, t_lang, t_topic, (SELECT sum(tokens) FROM cells) AS whole, c.tokens AS w, 0 AS k
   FROM cells c JOIN {share('source')} USING (source) JOIN {share('lang')} USING (lang) JOIN {share('topic')} USING (topic)
   UNION ALL
   SELECT source, lang, topic, tokens, t_source, t_lang, t_topic, whole, w, k + 1 FROM {step} WHERE k < {ROUNDS})
-SELECT doc_id, u.source, u.lang, u.topic, CAST(u.tokens AS BIGINT) AS tokens, round(coalesce(c.w / c.tokens, {KEEP}), 6) AS p, u.u < coalesce(c.w / c.tokens, {KEEP}) AS kept
-FROM u LEFT JOIN (SELECT * FROM cells_k WHERE k = {ROUNDS}) c ON u.source = c.source AND u.lang = c.lang AND u.topic = c.topic
+SELECT doc_id, u.source, u.lang, u.topic, CAST(u.tokens AS BIGINT) AS tokens, round(coalesce(p, {KEEP}), 6) AS p, u.u < coalesce(p, {KEEP}) AS kept
+FROM u LEFT JOIN (SELECT *, least(1, {KEEP} * w / tokens) AS p FROM cells_k WHERE k = {ROUNDS}) c ON u.source = c.source AND u.lang = c.lang AND u.topic = c.topic
 """
 
 
