@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from nothi.llm.op1_token_files import op1_token_files
 from nothi.llm.op2_warc_revisit import SQL as WARC_SQL
 from nothi.llm.op2_warc_revisit import op2_warc_revisit
@@ -11,15 +12,16 @@ from nothi.llm.op4_simhash import op4_simhash
 from nothi.llm.op5_threshold_topk import SQL as TOPK_SQL
 from nothi.llm.op5_threshold_topk import op5_threshold_topk
 from nothi.llm.op6_packing import op6_packing
+from nothi.llm.op7_toxicity import op7_toxicity
 from nothi.llm.op8_html_mincut import op8_html_mincut
 from nothi.llm.op9_hnsw import op9_hnsw
 from nothi.llm.op10_hilbert_sharding import op10_hilbert_sharding
 
-QUERIES = (op1_token_files, op2_warc_revisit, op3_mixing, op4_simhash, op5_threshold_topk, op6_packing, op8_html_mincut, op9_hnsw, op10_hilbert_sharding)
+QUERIES = (op1_token_files, op2_warc_revisit, op3_mixing, op4_simhash, op5_threshold_topk, op6_packing, op7_toxicity, op8_html_mincut, op9_hnsw, op10_hilbert_sharding)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
