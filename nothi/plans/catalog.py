@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from nothi.plans import queries_activity, queries_correct, queries_layout, queries_search, queries_store, queries_text  # noqa: F401
+from nothi.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
