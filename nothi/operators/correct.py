@@ -114,6 +114,14 @@ def correct_names(df: DataFrame, column: str, key: str, table: list | None = Non
     )
 
 
+def correct_person_names(df: DataFrame, key: str, columns: list[str], table: list | None = None, threshold: float = NAME) -> DataFrame:
+    """key, field, original, corrected of the name fields that change; all fields go through one vocabulary."""
+    fields = F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("v")) for c in columns])
+    long = df.select(key, F.explode(fields).alias("e")).select(F.struct(F.col(key).alias("id"), F.col("e.f").alias("f")).alias("_k"), F.col("e.v").alias("v")).filter(text("v") != "")
+    done = correct_names(long, "v", "_k", table, threshold).filter("n > 0")
+    return done.join(long, "_k").select(F.col("_k.id").alias(key), F.col("_k.f").alias("field"), F.col("v").alias("original"), "corrected")
+
+
 def validate_districts(df: DataFrame, column: str) -> DataFrame:
     """Adds ``canonical`` (null: not found), ``district_method``, ``district_confidence``, ``division``."""
     spelling, division = as_map(lookups.district_spellings()), as_map(dict(lookups.DISTRICTS))

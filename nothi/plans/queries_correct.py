@@ -46,6 +46,13 @@ def correct_name(spark, sf_dir):
     return correct.correct_names(d, "name", "id").select("id", "corrected", "method")
 
 
+@query(values([(1, "name", "করিম হোসেন"), (1, "father", "মোহাম্মদ আলী"), (2, "father", "ফাতেমা")], ["id", "field", "corrected"]))
+def person_names(spark, sf_dir):
+    """Several name fields at once."""
+    d = spark.createDataFrame([(1, "করীম হোসেন", "মুহাম্মদ আলি"), (2, "রহিম", "ফাতিমা"), (3, "", None)], "id long, name string, father string")
+    return correct.correct_person_names(d, "id", ["name", "father"]).select("id", "field", "corrected")
+
+
 TEXTS = [(1, "বগম বগম", "বেগম বেগম", 1), (2, "বগমপুর", "বগমপুর", 0), (3, "নিবাচন কিমশন", "নির্বাচন কমিশন", 2), (4, "", "", 0), (5, "ভাটার তািলকা।", "ভোটার তালিকা।", 2)]
 
 

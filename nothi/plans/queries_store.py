@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from nothi.operators import search
 from nothi.plans import dashboard
-from nothi.plans.registry import PEOPLE, people, query, table
-from nothi.sources import scratch, store
+from nothi.plans.registry import PEOPLE, people, query, table, values
+from nothi.sources import backends, documents, scratch, store
 
 _LOGS = "SELECT event_id AS id, ts AS date_time, event_type AS query, user_id FROM events"
 
@@ -175,3 +175,38 @@ def result_projection(spark, sf_dir):
 def log_projection(spark, sf_dir):
     """The latest searches as shown."""
     return dashboard.shown_logs(_logs(spark, sf_dir).withColumn("status", F.lit("")))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey >= 5 UNION ALL SELECT n_nationkey + 100, n_name FROM nation WHERE n_nationkey < 3")
+def backend_tables(spark, sf_dir):
+    """The same calls for a folder and a database; the folder is what there is without one."""
+    n, backend = table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), backends.choose(scratch.path(spark, "tables"))
+    backend.replace(n, "nation")
+    backend.replace(store.without_ids(backend.read(spark, "nation"), n.filter("n_nationkey < 5"), "n_nationkey"), "nation")
+    backend.append(n.filter("n_nationkey < 3").select((F.col("n_nationkey") + 100).cast("int").alias("n_nationkey"), "n_name"), "nation")
+    return backend.read(spark, "nation")
+
+
+def _pages(content: bytes) -> list[list[tuple]]:
+    """A reader for tests: pages parted by form feeds, an item per line."""
+    if content.startswith(b"bad"):
+        raise ValueError("unreadable")
+    return [[(line, 10.0, 700.0 - 20 * i, 100.0, 10.0, "F") for i, line in enumerate(page.split("\n"))] for page in content.decode().split("\f")]
+
+
+BLOBS = [("a", "one\ntwo\fskipped\fthree"), ("b", "bad"), ("c", "")]
+
+
+@query(values([("a", 3, None), ("b", 0, "ValueError: unreadable"), ("c", 1, None)], ["doc", "records", "error"]))
+def document_status(spark, sf_dir):
+    """Items through a reader; a document that fails stays, without records."""
+    blobs = spark.createDataFrame([(d, bytearray(s.encode())) for d, s in BLOBS], "doc string, content binary")
+    items = documents.read_items(blobs, _pages)
+    return documents.parse_status(blobs, items, items.filter("error is null"))
+
+
+@query(values([("a", "one two"), ("b", ""), ("c", "")], ["doc", "text"]))
+def recognised_text(spark, sf_dir):
+    """Text of scans through a recogniser, empty where it fails."""
+    blobs = spark.createDataFrame([(d, bytearray(s.encode())) for d, s in BLOBS], "doc string, content binary")
+    return documents.recognised_text(blobs, lambda b: [" ".join(i[0] for i in _pages(b)[0])], 1)
