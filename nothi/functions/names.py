@@ -45,8 +45,8 @@ def name_structure(name: Column | str, father: Column | str, mother: Column | st
 def _bengali_points(c: Column | str, most: int) -> Column:
     s = text(c)
     dense = F.length(F.regexp_replace(s, SPACE, ""))
-    points = F.least(F.lit(most), F.floor(F.try_divide(F.regexp_count(s, F.lit(BENGALI)) * most, dense) + 0.5))
-    return F.when(F.length(s) > 2, F.coalesce(points, F.lit(0))).otherwise(0).cast("int")
+    points = F.least(F.lit(most), F.coalesce(F.floor(F.try_divide(F.regexp_count(s, F.lit(BENGALI)) * most, dense) + 0.5), F.lit(0)))
+    return F.when(F.length(s) > 2, points).otherwise(0).cast("int")
 
 
 def quality(name: str = "name", father: str = "father", mother: str = "mother", number: str = "number", nid: str = "nid", district: str = "district", upazila: str = "upazila", village: str = "village", ward: str = "ward") -> Column:

@@ -140,7 +140,7 @@ def name_structure(spark, sf_dir):
 
 
 def _points(c: str, most: int) -> str:
-    return f"CASE WHEN length(coalesce({c}, '')) > 2 THEN coalesce(least({most}, CAST(floor(CAST({_BN.format(c)} * {most} AS DOUBLE) / nullif(length(regexp_replace({c}, '\\s', '', 'g')), 0) + 0.5) AS BIGINT)), 0) ELSE 0 END"
+    return f"CASE WHEN length(coalesce({c}, '')) > 2 THEN least({most}, coalesce(CAST(floor(CAST({_BN.format(c)} * {most} AS DOUBLE) / nullif(length(regexp_replace({c}, '\\s', '', 'g')), 0) + 0.5) AS BIGINT), 0)) ELSE 0 END"
 
 
 @query(f"""WITH {PEOPLE}, s AS (SELECT id, {_points('name', 40)} + {_points('father', 15)} + CASE WHEN length(coalesce(mother, '')) > 2 THEN 10 ELSE 0 END + CASE WHEN regexp_full_match(number, '[0-9]{{5,}}') THEN 15 ELSE 0 END
