@@ -25,12 +25,13 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nothi.llm import common
 
-TOXIC, ORDINARY, FIT_CHARS, THRESHOLD = 2000, 6000, 20_000, 0.3
+TOXIC, ORDINARY, FIT_CHARS, THRESHOLD = 1500, 4000, 20_000, 0.3
 WINDOW_CHARS, GRAM, LEVEL, SPREAD = 64, 5, 19, 4
 ORDINARY_BYTES, TOXIC_BYTES, GAIN = 256 << 10, 8 << 10, 0.4
 #: Bytes of a frame and a block that hold nothing.
@@ -60,7 +61,9 @@ class Distance:
         import zstandard as zs
 
         self.gains: dict[str, float] = {}
-        self.pair = [zs.ZstdCompressor(level=LEVEL, dict_data=zs.ZstdCompressionDict(d, dict_type=zs.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False) for d in (ordinary, ordinary + toxic)]
+        # Tables of a size for small inputs and these dictionaries; the level's own would take a hundred times the memory.
+        fitted = lambda d: zs.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW_CHARS * SPREAD * 4, dict_size=len(d), write_checksum=False, write_content_size=False, write_dict_id=False)
+        self.pair = [zs.ZstdCompressor(compression_params=fitted(d), dict_data=zs.ZstdCompressionDict(d, dict_type=zs.DICT_TYPE_RAWCONTENT)) for d in (ordinary, ordinary + toxic)]
 
     def of(self, found: list[str]) -> np.ndarray:
         known = self.gains
@@ -155,8 +158,10 @@ class Model:
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
     keep = independent(texts)
-    words, y = [set(windows(texts[i])) for i in keep], np.array([toxic[i] for i in keep])
-    found = [windows(texts[i]) for i in keep]
+    y, one = np.array([toxic[i] for i in keep]), {}
+    # Equal windows are one object, which keeps the driver small.
+    found = [[one.setdefault(w, w) for w in windows(texts[i])] for i in keep]
+    words = [set(f) for f in found]
     pick = lambda numbers: dictionaries([words[i] for i in numbers if y[i]], [words[i] for i in numbers if not y[i]])
     if not 0 < y.sum() < len(y):
         return Model(b"", b"", [])
@@ -171,15 +176,23 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits on a bounded sample; the documents are read once for it, and only sampled texts leave the executors."""
+    """Fits on a bounded sample; the documents are read once for it."""
     rows = common.pick(labels, doc_id="long", toxic="int").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     take = lambda y, n: rows.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(n)
     # At most TOXIC + ORDINARY rows of two numbers.
     chosen = take(1, TOXIC).union(take(0, ORDINARY))
     texts = common.pick(docs, doc_id="long", text="string").filter(F.length("text") <= FIT_CHARS).join(F.broadcast(chosen), "doc_id")
-    once = texts.dropDuplicates(["doc_id"]).orderBy(order, "doc_id").collect()
-    return fit([r.text for r in once], [r.toxic for r in once])
+    sample = texts.dropDuplicates(["doc_id"]).select(order.alias("h"), "doc_id", "text", "toxic")
+
+    def run(batches):
+        rows = sorted(r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(4))))
+        m = fit([r[2] for r in rows], [r[3] for r in rows])
+        yield pa.RecordBatch.from_pydict({"ordinary": [m.ordinary], "toxic": [m.toxic], "weights": [m.weights]}, schema=pa.schema([("ordinary", pa.binary()), ("toxic", pa.binary()), ("weights", pa.list_(pa.float64()))]))
+
+    # The sample has a fixed bound, so one task can fit; an executor does, and the driver gets the model alone.
+    m = sample.repartition(1).mapInArrow(run, "ordinary binary, toxic binary, weights array<double>").head()
+    return Model(bytes(m.ordinary), bytes(m.toxic), list(m.weights)) if m else Model(b"", b"", [])
 
 
 _DISTANCES: dict[int, Distance] = {}
