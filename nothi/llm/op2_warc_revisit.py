@@ -47,12 +47,15 @@ def record(page_id: int | None, url: str | None, payload: bytes, n_bytes: int, d
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     block = http if revisit else http + payload
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
-    lines += [f"WARC-Target-URI: {_uri(url)}"] * (url is not None)
+    if url is not None:
+        lines.append(f"WARC-Target-URI: {_uri(url)}")
     lines += [f"WARC-Payload-Digest: sha256:{digest}"]
     if revisit:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {first}"]
-        lines += [f"WARC-Refers-To-Target-URI: {_uri(first_url)}"] * (first_url is not None)
-    lines += [f"X-Page: {page_id}"] * (page_id is not None)
+        if first_url is not None:
+            lines.append(f"WARC-Refers-To-Target-URI: {_uri(first_url)}")
+    if page_id is not None:
+        lines.append(f"X-Page: {page_id}")
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
     return squeeze.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
