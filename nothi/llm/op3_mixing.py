@@ -87,9 +87,9 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: floa
 
 def sample_mixture(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP) -> DataFrame:
     """The documents (all columns) that the mixture keeps."""
-    cells = rake(cells_of(units(docs)), targets, keep).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("p").alias("_p"))
-    joined = docs.withColumn("_k", F.struct(*_keys(docs))).join(cells, [F.col(f"_k.{m}") == F.col(f"_{m}") for m in MARGINS], "left")
-    return joined.filter(F.col("_k.u") < F.coalesce("_p", F.lit(keep))).select(*docs.columns)
+    cells = rake(cells_of(units(docs)), targets, keep).select(*[F.col(m).alias(f"__cell_{m}") for m in MARGINS], F.col("p").alias("__cell_p"))
+    joined = docs.withColumn("__cell", F.struct(*_keys(docs))).join(cells, [F.col(f"__cell.{m}") == F.col(f"__cell_{m}") for m in MARGINS], "left")
+    return joined.filter(F.col("__cell.u") < F.coalesce("__cell_p", F.lit(keep))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
