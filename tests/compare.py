@@ -23,7 +23,12 @@ def rows(df):
     for c in df.columns:
         if str(df[c].dtype).startswith("datetime"):
             df[c] = df[c].astype("datetime64[us]").astype(str)
-    plain = lambda x: None if x is None or x is pd.NaT or x != x else x
+
+    def plain(x):
+        if x is None or x is pd.NaT or x is pd.NA or x != x:
+            return None
+        return int(x) if isinstance(x, float) and x.is_integer() else x
+
     return sorted(repr(tuple(map(plain, r))) for r in df.astype(object).itertuples(index=False, name=None))
 
 
