@@ -11,17 +11,23 @@ from nothi.llm.common import materialize
 def connected_components(edges: DataFrame) -> DataFrame:
     """id, label for every end of an edge (a, b): label is the smallest id that it reaches.
 
-    Each round takes the least label among the neighbours and then the label of that label, so
-    paths halve. Tables between the joins are written to the shared folder, which leaves both
-    sides of every join plain, so that Spark can split a label that many ids hold.
+    Each round every node follows its smallest neighbour, if that is smaller, and that one's own choice; nodes that meet become one, and edges
+    inside it go. At least half of the nodes that have an edge go each round, so rounds are few and soon small. Tables between the joins are written to the
+    shared folder, which leaves both sides of every join plain, so that Spark can split a node that many others have followed.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
+    live = materialize(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
+    labels = None
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
-        step = materialize(labels.join(near, "id").select("id", F.least("label", "m").alias("label"), F.col("label").alias("was")), "labels")
-        to = step.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        labels = materialize(step.join(to, "label").select("id", F.least("label", "next").alias("label"), "was"), "labels")
-        if labels.filter("label < was").isEmpty():
-            return labels.select("id", "label")
-        labels = labels.select("id", "label")
+        first = materialize(live.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p")), "parents")
+        if labels is not None and first.isEmpty():
+            return labels
+        to = first.select(F.col("a").alias("p"), F.col("p").alias("next"))
+        parent = materialize(first.join(to, "p").select("a", F.col("next").alias("p")), "parents")
+        if labels is None:
+            labels = parent.select(F.col("a").alias("id"), F.col("p").alias("label"))
+        else:
+            moved = labels.join(parent.withColumnRenamed("a", "label"), "label", "left")
+            labels = materialize(moved.select("id", F.coalesce("p", "label").alias("label")), "labels")
+        half = materialize(live.join(parent, "a").select("b", F.col("p").alias("x")), "edges")
+        ends = half.join(parent.withColumnRenamed("a", "b"), "b").select(F.col("x").alias("a"), F.col("p").alias("b"))
+        live = materialize(ends.filter("a <> b").distinct(), "edges")

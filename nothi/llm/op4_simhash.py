@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from nothi.llm import common
 from nothi.llm.graph import connected_components
 
-SEED, WORDS, RADIUS, PIVOTS, MOST = 42, 3, 2, 16, 64
+SEED, WORDS, RADIUS, PIVOTS, MOST, MOST_SIMILAR = 42, 3, 2, 16, 64, 12
 #: For five-word shingles: 256 bits, 24 bands, and the bits in which texts of similarity 0.8 differ at most.
 WIDE, WIDE_WORDS, BANDS, WIDE_RADIUS = 4, 5, 24, 44
 
@@ -134,7 +134,7 @@ def near_pairs(nodes: DataFrame, most: int = MOST) -> DataFrame:
     return light.union(heavy).distinct()
 
 
-def similar_pairs(nodes: DataFrame, most: int = MOST, bands: int = BANDS, radius: int = WIDE_RADIUS) -> DataFrame:
+def similar_pairs(nodes: DataFrame, most: int = MOST_SIMILAR, bands: int = BANDS, radius: int = WIDE_RADIUS) -> DataFrame:
     """Pairs of nodes (rep, f0 ... f3) at most ``radius`` of 256 bits apart, found where a band of bits agrees.
 
     A band has as many bits as the number of nodes has. Of pairs of similarity 0.8, 0.85 and 0.9 about four, nine and ten in ten meet at
@@ -208,7 +208,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     if not again.isEmpty():
         once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
-    return kept.select(*columns)
+    return kept.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
