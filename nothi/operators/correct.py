@@ -36,14 +36,19 @@ def best_match(distinct: DataFrame, column: str, entries: list[str], threshold:
     options = F.array(*[F.struct(F.lit(e).alias("entry"), skeleton(F.lit(e)).alias("key")) for e in entries])
     start = F.struct(F.lit(None).cast("string").alias("match"), F.lit(float(threshold)).alias("score"), F.lit("NONE").alias("method"))
 
+    def may(a: Column, b: Column, least: Column) -> Column:
+        """Lengths that leave room for more than ``least``: no edit distance is under the difference in length."""
+        return F.abs(F.length(a) - F.length(b)) < (1.0 - least) * F.greatest(F.length(a), F.length(b)) + 1e-9
+
     def step(best: Column, option: Column) -> Column:
         direct = similarity(F.col(column), option["entry"])
-        one = F.when(direct > best["score"], F.struct(option["entry"].alias("match"), direct.alias("score"), F.lit("LEVENSHTEIN").alias("method"))).otherwise(best)
-        return one
+        better = (may(F.col(column), option["entry"], best["score"])) & (direct > best["score"])
+        return F.when(better, F.struct(option["entry"].alias("match"), direct.alias("score"), F.lit("LEVENSHTEIN").alias("method"))).otherwise(best)
 
     def sounds(best: Column, option: Column) -> Column:
         alike = similarity(F.col("_key"), option["key"])
-        return F.when(alike > best["score"] + margin, F.struct(option["entry"].alias("match"), alike.alias("score"), F.lit("PHONETIC").alias("method"))).otherwise(best)
+        better = ((F.length("_key") == 0) | may(F.col("_key"), option["key"], best["score"] + margin)) & (alike > best["score"] + margin)
+        return F.when(better, F.struct(option["entry"].alias("match"), alike.alias("score"), F.lit("PHONETIC").alias("method"))).otherwise(best)
 
     if not entries:
         return distinct.select(column, F.lit(None).cast("string").alias("match"), F.lit(0.0).alias("score"), F.lit("NONE").alias("method"))
