@@ -21,6 +21,8 @@ of their fingerprint, null if no other row has it. Repeated rows fall in one nod
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 from itertools import accumulate, combinations, repeat
 
 import numpy as np
@@ -34,30 +36,43 @@ from nothi.llm.graph import connected_components
 SEED, WORDS, RADIUS, PIVOTS, MOST, MOST_SIMILAR = 42, 3, 2, 16, 64, 12
 #: For five-word shingles: 256 bits, 24 bands, and the bits in which texts of similarity 0.8 differ at most.
 WIDE, WIDE_WORDS, BANDS, WIDE_RADIUS = 4, 5, 24, 44
-
-
-def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
-    """XXH64 of every shingle, as unsigned 64-bit, big-endian."""
+#: Bytes of a text that are cut into words at once.
+LONG = 4 << 20
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def words_of(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, in lists of bounded length."""
+    if len(text) <= LONG:
+        yield text.lower().split()
+        return
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + LONG)
+        end = cut.start() if cut else len(text)
+        yield text[at:end].lower().split()
+        at = end
+
+
+def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle, as unsigned 64-bit, big-endian, in parts."""
     from xxhash import xxh64_digest
 
-    split = text.lower().split()
-    if not split:
-        return np.empty(0, ">u8")
-    joined, k = b" ".join(split), min(words, len(split))
-    ends = list(accumulate((len(w) + 1 for w in split)))
-    shingles = [joined[s : e - 1] for s, e in zip([0, *ends], ends[k - 1 :])]
-    return np.frombuffer(b"".join(map(xxh64_digest, shingles, repeat(seed))), ">u8")
+    held, any_yet = [], False
+    for part in words_of(text):
+        held += part
+        if len(held) < words:
+            continue
+        yield _hashes(held, words, seed, xxh64_digest)
+        any_yet, held = True, held[len(held) - words + 1 :]
+    if held and not any_yet:
+        yield _hashes(held, len(held), seed, xxh64_digest)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The 64 bits that are set in over half of the hashes."""
-    if not len(hashes):
-        return 0
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 15):
-        part = np.ascontiguousarray(hashes[at : at + (1 << 15)])
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
+def _hashes(split: list[bytes], k: int, seed: int, digest) -> np.ndarray:
+    joined, ends = b" ".join(split), list(accumulate(len(w) + 1 for w in split))
+    shingles = [joined[s : e - 1] for s, e in zip([0, *ends], ends[k - 1 :])]
+    return np.frombuffer(b"".join(map(digest, shingles, repeat(seed))), ">u8")
 
 
 def _mixed(hashes: np.ndarray, plane: int) -> np.ndarray:
@@ -71,8 +86,15 @@ def _mixed(hashes: np.ndarray, plane: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, words: int = WORDS, planes: int = 1) -> list[int]:
-    hashes = shingle_hashes(text, words)
-    return [majority(_mixed(hashes, p)) for p in range(planes)]
+    """For each plane, the 64 bits that are set in over half of the shingles' hashes."""
+    total, n = np.zeros((planes, 64), np.int64), 0
+    for hashes in shingle_hashes(text, words):
+        n += len(hashes)
+        for at in range(0, len(hashes), 1 << 15):
+            for p in range(planes):
+                part = np.ascontiguousarray(_mixed(hashes[at : at + (1 << 15)], p))
+                total[p] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+    return [int.from_bytes(np.packbits(2 * row > n).tobytes(), "big") if n else 0 for row in total]
 
 
 def with_fingerprints(docs: DataFrame, words: int = WORDS, planes: int = 1) -> DataFrame:

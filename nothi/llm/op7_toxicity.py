@@ -34,6 +34,8 @@ from nothi.llm import common
 TOXIC, ORDINARY, FIT_CHARS, THRESHOLD = 1500, 4000, 20_000, 0.3
 WINDOW_CHARS, GRAM, LEVEL, SPREAD = 64, 5, 19, 4
 ORDINARY_BYTES, TOXIC_BYTES, GAIN = 256 << 10, 8 << 10, 0.4
+#: Characters of a text that are cut into windows at once.
+LONG = 4 << 20
 #: Bytes of a frame and a block that hold nothing.
 FRAME = 11
 _WORD = re.compile(r"\w{1,%d}" % WINDOW_CHARS)
@@ -44,6 +46,20 @@ def windows(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def gains_of(text: str | None, distance: "Distance") -> np.ndarray:
+    """Gains of all windows; long texts are cut into windows part by part."""
+    text = text or ""
+    if len(text) <= LONG:
+        return distance.of(windows(text))
+    parts, held = [], []
+    for m in _WORD.finditer(text.lower()):
+        held.append(m[0])
+        if len(held) == LONG // 8:
+            parts.append(distance.of(held))
+            held = []
+    return np.concatenate([*parts, distance.of(held)])
+
+
 def spread(text: str) -> bytes:
     return b"".join(map(_CODE.__getitem__, text.encode()))
 
@@ -152,7 +168,7 @@ class Model:
     def score(self, texts, distance: Distance) -> np.ndarray:
         if not self.weights:
             return np.zeros(len(texts))
-        x = np.array([[1.0, *features(distance.of(windows(t)))] for t in texts]).reshape(-1, len(self.weights))
+        x = np.array([[1.0, *features(gains_of(t, distance))] for t in texts]).reshape(-1, len(self.weights))
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -30, 30)))
 
 

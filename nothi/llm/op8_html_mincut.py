@@ -237,25 +237,36 @@ def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[
 
 
 def max_flow(room: list[dict[int, float]], source: int, sink: int) -> set[int]:
-    """Shortest augmenting paths; returns what the source still reaches."""
+    """Dinic's algorithm on residual capacities; returns what the source still reaches."""
     while True:
-        before, queue = {source: source}, deque([source])
-        while queue and sink not in before:
+        level, queue = {source: 0}, deque([source])
+        while queue:
             i = queue.popleft()
             for j, w in room[i].items():
-                if w > 1e-12 and j not in before:
-                    before[j] = i
+                if w > 1e-12 and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if sink not in before:
-            return set(before)
-        path, j = [], sink
-        while j != source:
-            path.append((before[j], j))
-            j = before[j]
-        flow = min(room[i][j] for i, j in path)
-        for i, j in path:
-            room[i][j] -= flow
-            room[j][i] = room[j].get(i, 0.0) + flow
+        if sink not in level:
+            return set(level)
+        ahead = {i: iter(list(room[i])) for i in level}
+        path = [source]
+        while path:
+            i = path[-1]
+            if i == sink:
+                steps = list(zip(path, path[1:]))
+                flow = min(room[a][b] for a, b in steps)
+                for a, b in steps:
+                    room[a][b] -= flow
+                    room[b][a] = room[b].get(a, 0.0) + flow
+                # Back to the first edge that is full now; its end may be tried again from elsewhere.
+                full = next(k for k, (a, b) in enumerate(steps) if room[a][b] <= 1e-12)
+                path = path[: full + 1]
+                continue
+            step = next((j for j in ahead[i] if room[i].get(j, 0.0) > 1e-12 and level.get(j) == level[i] + 1), None)
+            if step is None:
+                path.pop()
+            else:
+                path.append(step)
 
 
 def main_text(page: str | None) -> str:

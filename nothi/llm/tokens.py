@@ -16,6 +16,7 @@ import numpy as np
 #: The code points with the Unicode property White_Space.
 WHITE_SPACE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _SEGMENT = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
+_CUT = re.compile(f"(?<=[^{WHITE_SPACE}])[{WHITE_SPACE}]")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -81,16 +82,31 @@ class Encoder:
             self.refused = 0
         return out
 
+    def _long(self, text: str, last: bytes) -> np.ndarray:
+        """The ids of a text that is too long to be cut into segments at once: part by part, each ending where a segment does."""
+        out, at = [], 0
+        while at < len(text):
+            cut = _CUT.search(text, at + self.TOGETHER)
+            end = cut.start() if cut else len(text)
+            out += self._together([text[at:end]], b"")
+            at = end
+        return np.concatenate([*out, np.frombuffer(last, "<u4")])
+
     def ids(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """The ids of each whole text (null: empty) and the end id, as unsigned 32-bit."""
         last, out, group, size = np.array([end], "<u4").tobytes(), [], [], 0
         for text in texts:
+            if text and len(text) > 2 * self.TOGETHER:
+                out += self._together(group, last) if group else []
+                out.append(self._long(text, last))
+                group, size = [], 0
+                continue
             group.append(text or "")
             size += len(group[-1])
             if size >= self.TOGETHER:
                 out += self._together(group, last)
                 group, size = [], 0
-        return out + self._together(group, last)
+        return out + (self._together(group, last) if group else [])
 
 
 def encoder(path: str) -> Encoder:

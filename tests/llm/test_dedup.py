@@ -78,6 +78,16 @@ def test_fingerprint_by_hand():
     assert op4_simhash.fingerprint(b" \t") == [0]
 
 
+@pytest.mark.parametrize("words, planes", [(3, 1), (5, 4)])
+def test_long_texts_in_parts(monkeypatch, words, planes):
+    random.seed(4)
+    texts = [" ".join(random.choices(["a", "Bc", "d\t", "efg\n ", "é"], k=n)).encode() for n in (0, 1, 2, 3, 4, 5, 6, 50, 400)]
+    whole = [op4_simhash.fingerprint(t, words, planes) for t in texts]
+    for size in (1, 3, 17):
+        monkeypatch.setattr(op4_simhash, "LONG", size)
+        assert [op4_simhash.fingerprint(t, words, planes) for t in texts] == whole
+
+
 def test_components(spark):
     random.seed(5)
     words = [f"w{i}" for i in range(50)]

@@ -55,6 +55,14 @@ def test_long_and_deep_pages():
     assert op8.minimum_cut([], []) == []
 
 
+def test_many_doubtful_blocks():
+    r = random.Random(1)
+    n = 20_000
+    odds, edges = [r.choice([-0.5, 0.5]) for _ in range(n)], [(i, i + 1, 1.0) for i in range(n - 1)] + [(i, i + 2, 0.75) for i in range(n - 2)]
+    label = op8.minimum_cut(odds, edges)
+    assert len(label) == n and cost(label, odds, edges) <= min(cost([x] * n, odds, edges) for x in (True, False))
+
+
 def test_rows(spark):
     d = spark.createDataFrame([(1, "u", f"<article>{ARTICLE}"), (1, "u", f"<article>{ARTICLE}"), (None, None, None)], "page_id long, url string, html string").selectExpr("*", "'x' as text", "1 as n_chars")
     out = op8.extract(d).collect()

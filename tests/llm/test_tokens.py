@@ -34,6 +34,14 @@ def test_a_full_cache_changes_nothing(plain, monkeypatch):
         assert [x.tolist() for x in coder.ids(texts, 1)] == [plain(t, 1).tolist() for t in texts]
 
 
+def test_long_texts_in_parts(plain, monkeypatch):
+    monkeypatch.setattr(tokens.Encoder, "TOGETHER", 10)
+    random.seed(2)
+    texts = ["".join(random.choices("ab1!'s  \n\t-", k=random.randint(0, 90))) for _ in range(600)]
+    coder = tokens.Encoder(tokens.default_vocabulary())
+    assert [x.tolist() for x in coder.ids(texts, 2)] == [plain(t, 2).tolist() for t in texts]
+
+
 def test_token_files_round_trip(spark, plain):
     manifest = op1_token_files.write_token_files(docs(spark), common.scratch_path(spark, "t"), length=16, rows=4)
     got = [tuple(r) for r in op1_token_files.read_token_files(manifest).collect()]

@@ -81,3 +81,11 @@ def test_gain_is_of_compressed_lengths():
     assert gains["gruxok"] > 0.4 and gains["plain"] <= 0.1 and gains["other"] <= 0.1
     assert op7.features(np.array([])) == [0.0] * 5
     assert "".join(op7.windows("x" * 200)) == "x" * 200 and max(map(len, op7.windows("x" * 200))) == op7.WINDOW_CHARS
+
+
+def test_long_texts_in_parts(monkeypatch):
+    d = op7.Distance(op7.spread(" plain words "), op7.spread(" gruxok "))
+    text = "plain gruxok, other " * 40
+    whole = op7.gains_of(text, d)
+    monkeypatch.setattr(op7, "LONG", 16)
+    assert op7.gains_of(text, d).tolist() == whole.tolist() and len(whole) == 120 and len(op7.gains_of("." * 20, d)) == 0
