@@ -82,7 +82,7 @@ def _like(c: str, term: str) -> Column:
 
 def predicate(mode: str = "phonetic", **fields: str | None) -> Column:
     """The conjunction over all given fields; blank ones ask nothing."""
-    given = {k: v.strip(" \t\n\r") for k, v in fields.items() if v and v.strip()}
+    given = {k: v.strip() for k, v in fields.items() if v and v.strip()}
     gender = GENDERS.get(given.pop("gender", ""), None)
     out = F.lit(True)
     for field, term in given.items():
