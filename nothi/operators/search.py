@@ -41,16 +41,25 @@ def with_index(df: DataFrame) -> DataFrame:
     return out.withColumns({f"grams_{c}": ngrams(f"key_{c}", 2) for c in ("name", "father") if c in df.columns})
 
 
+def _col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
 def matches(value: Column | str, key: Column | str, term: str) -> Column:
-    """The phonetic predicate; cheap tests first. An empty value or term matches nothing."""
-    value, key, asked = text(value), text(key), key_of(term)
+    """The phonetic predicate; cheap tests first. An empty value or term matches nothing, a missing value gives null.
+
+    Plain ``contains`` of plain columns, so that a scan can take the filter.
+    """
+    value, key, asked = _col(value), _col(key), key_of(term)
+    if not term:
+        return F.lit(False)
     words = [w for w in asked.split(" ") if len(w) >= 2]
     hit = value.contains(term)
     if asked:
         hit = hit | key.contains(asked)
     if len(words) > 1:
         hit = hit | reduce(lambda a, b: a & b, [key.contains(w) for w in words])
-    return (value != "") & hit if term else F.lit(False)
+    return (value != "") & hit
 
 
 def multi_mode(value: Column | str, key: Column | str, grams: Column | str, term: str, mode: str = "all") -> Column:
@@ -81,13 +90,13 @@ def _like(c: str, term: str) -> Column:
 
 
 def predicate(mode: str = "phonetic", **fields: str | None) -> Column:
-    """The conjunction over all given fields; blank ones ask nothing."""
+    """The conjunction over all given fields, as a filter; blank ones ask nothing, and a missing value is no match."""
     given = {k: v.strip() for k, v in fields.items() if v and v.strip()}
     gender = GENDERS.get(given.pop("gender", ""), None)
     out = F.lit(True)
     for field, term in given.items():
         if field == "nid":
-            p = text("nid") == term
+            p = F.col("nid") == term
         elif mode == "ilike":
             if field in ("village", "area"):
                 p = _like("village", term) | _like("area", term)
@@ -96,12 +105,12 @@ def predicate(mode: str = "phonetic", **fields: str | None) -> Column:
             else:
                 p = _like(field, term)
         elif field == "number":
-            p = text("number").contains(term)
+            p = F.col("number").contains(term)
         elif field in ("village", "area"):
             p = matches("village", "key_village", term) | matches("area", "key_area", term)
         else:
             p = matches(field, f"key_{field}", term)
-        out = out & F.coalesce(p, F.lit(False))
+        out = out & p
     return out & (F.col("gender") == gender) if gender else out
 
 

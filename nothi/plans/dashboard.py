@@ -12,9 +12,10 @@ from nothi.operators.search import GENDERS
 
 def totals(uploads: DataFrame, logs: DataFrame, count: str = "voter_count") -> DataFrame:
     """One row: documents, records in them, searches."""
-    a = uploads.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.coalesce(count, F.lit(0))), F.lit(0)).cast("long").alias("records"))
-    searches = logs.agg(F.count("*").alias("searches"))
-    return a.withColumn("_k", F.lit(1)).join(F.broadcast(searches.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = uploads.select(one.alias("d"), F.coalesce(F.col(count).cast("long"), none).alias("r"), none.alias("s")).unionAll(logs.select(none, none, one))
+    total = lambda c, name: F.coalesce(F.sum(c), none).alias(name)
+    return both.agg(total("d", "documents"), total("r", "records"), total("s", "searches"))
 
 
 def area_cards(uploads: DataFrame) -> DataFrame:
