@@ -42,7 +42,7 @@ def column_clusters(spark, sf_dir):
 
 
 @query(f"""WITH i AS ({_ITEMS}), g AS (SELECT *, dense_rank() OVER (PARTITION BY doc, page ORDER BY y DESC) AS line FROM i)
-  SELECT doc, page, CAST(line AS INTEGER) AS line, trim(regexp_replace(string_agg(str, ' ' ORDER BY x, seq), '\\s{{3,}}', chr(9), 'g')) AS text, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height FROM g GROUP BY doc, page, line""")
+  SELECT doc, page, CAST(line AS INTEGER) AS line, trim(regexp_replace(string_agg(str, ' ' ORDER BY x, seq, str), '\\s{{3,}}', chr(9), 'g')) AS text, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height FROM g GROUP BY doc, page, line""")
 def line_bbox(spark, sf_dir):
     """X2, A6, A7 where lines are ten apart."""
     return layout.lines(items(spark, sf_dir), ["doc", "page"])
