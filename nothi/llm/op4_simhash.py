@@ -10,8 +10,8 @@ in at least two whole blocks, so six tables of 32-bit keys meet every pair. Keys
 share are joined another exact way: two fingerprints within two bits have a common neighbour within one bit of each,
 so each node is listed under itself and its single flips in the bits outside the key; no such list is longer than 33.
 
-*Links by similarity* (``similar_pairs``, for 0.8 or more of shared five-word shingles): such pairs differ in about a seventh of the
-bits, where no exact table pays, so 256-bit fingerprints and random bands of bits are used; see there for recall.
+*Links by similarity* (``drop_near_duplicates``, for 0.8 or more of shared five-word shingles): such pairs differ in about a seventh of the
+bits, where no exact table of fingerprints pays, so the shingles themselves are compared; see ``shingle_join``.
 
 Words are what stands between ASCII white space after A-Z is lowered; shingles of a text with fewer words are its whole sequence; a text
 without words (null, empty or white space) has fingerprint zero and is linked like any other. Rows with a null doc_id get the component
@@ -20,7 +20,6 @@ of their fingerprint, null if no other row has it. Repeated rows fall in one nod
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from itertools import accumulate, combinations, repeat
@@ -33,9 +32,7 @@ from pyspark.sql import functions as F
 from nothi.llm import common
 from nothi.llm.graph import connected_components
 
-SEED, WORDS, RADIUS, PIVOTS, MOST, MOST_SIMILAR = 42, 3, 2, 16, 64, 12
-#: For five-word shingles: 256 bits, 24 bands, and the bits in which texts of similarity 0.8 differ at most.
-WIDE, WIDE_WORDS, BANDS, WIDE_RADIUS = 4, 5, 24, 44
+SEED, WORDS, RADIUS, PIVOTS, MOST = 42, 3, 2, 16, 64
 #: Bytes of a text that are cut into words at once.
 LONG = 4 << 20
 _SPACE = re.compile(rb"[ \t-\r]")
@@ -156,81 +153,29 @@ def near_pairs(nodes: DataFrame, most: int = MOST) -> DataFrame:
     return light.union(heavy).distinct()
 
 
-def similar_pairs(nodes: DataFrame, most: int = MOST_SIMILAR, bands: int = BANDS, radius: int = WIDE_RADIUS) -> DataFrame:
-    """Pairs of nodes (rep, f0 ... f3) at most ``radius`` of 256 bits apart, found where a band of bits agrees.
-
-    A band has as many bits as the number of nodes has. Of pairs of similarity 0.8, 0.85 and 0.9 about four, nine and ten in ten meet at
-    256 thousand nodes. A key that more than ``most`` nodes share links each to its first node and lists them again by 16 more bits.
-    """
-    spark, total = nodes.sparkSession, nodes.count()
-    width = min(40, max(12, math.ceil(math.log2(max(2, total)))))
-    order = [np.random.default_rng(100 + t).permutation(64 * WIDE)[: width + 16] for t in range(bands)]
-    names = [f"f{p}" for p in range(WIDE)]
-    schema = pa.schema([("rep", pa.int64()), ("t", pa.int8()), ("key", pa.int64()), ("more", pa.int32())])
-
-    def lists(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            f = np.stack([b.column(n).to_numpy() for n in names], axis=1).astype(">i8")
-            bits = np.unpackbits(f.view(np.uint8), axis=1)
-            for t, at in enumerate(order):
-                chosen = bits[:, at].astype(np.int64)
-                key, more = (chosen[:, :width] << np.arange(width)).sum(axis=1), (chosen[:, width:] << np.arange(16)).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(np.full(len(f), t, np.int8)), pa.array(key), pa.array(more.astype(np.int32))], schema=schema)
-
-    def step(listed: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
-        """Pairs found, and the members of crowded keys."""
-        shared = common.materialize(listed.groupBy(*on).agg(F.count("*").alias("n"), F.min("rep").alias("first")).filter("n > 1"), "keys")
-        members = common.materialize(listed.join(shared, on), "members")
-        light = members.filter(F.col("n") <= most)
-        a, b = light.alias("a"), light.alias("b")
-        cond = F.col("a.rep") < F.col("b.rep")
-        for c in on:
-            cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-        crowded = members.filter(F.col("n") > most)
-        firsts = crowded.filter("rep > first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
-        return a.join(b, cond).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).union(firsts), crowded.drop("n", "first")
-
-    listed = nodes.select("rep", *names).mapInArrow(lists, "rep long, t byte, key long, more int")
-    pairs, crowded = step(listed, ["t", "key"])
-    pairs = common.materialize(pairs.union(step(crowded, ["t", "key", "more"])[0]).distinct(), "pairs")
-    table = common.materialize(with_pivot_table(nodes, WIDE), "pivots")
-    columns = [*names, *(f"p{k}" for k in range(PIVOTS))]
-    side = lambda s: table.select(F.col("rep").alias(s), F.struct(*columns).alias(f"v{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    cond = F.lit(True)
-    for k in range(PIVOTS):
-        cond = cond & (F.abs(F.col(f"va.p{k}") - F.col(f"vb.p{k}")) <= radius)
-    near = _distance(WIDE, lambda p: F.col(f"va.f{p}"), lambda p: F.col(f"vb.f{p}")) <= radius
-    return both.filter(cond & near).select("a", "b")
-
-
-def components(docs: DataFrame, words: int = WORDS, similar: bool = False) -> DataFrame:
-    """doc_id, f0 ..., component_id of every row; ``similar`` links by similarity instead of exact distance."""
-    planes = WIDE if similar else 1
-    names = [f"f{p}" for p in range(planes)]
-    rows = common.materialize(with_fingerprints(docs, words, planes), "fingerprints")
-    nodes = common.materialize(rows.groupBy(*names).agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "nodes")
-    labels = connected_components(similar_pairs(nodes) if similar else near_pairs(nodes))
-    of = common.materialize(nodes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*names, F.coalesce("label", "rep").alias("component_id")), "components")
-    return rows.join(of, names, "left")
+def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, f0, component_id of every row."""
+    rows = common.materialize(with_fingerprints(docs, words), "fingerprints")
+    nodes = common.materialize(rows.groupBy("f0").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "nodes")
+    labels = connected_components(near_pairs(nodes))
+    of = common.materialize(nodes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("f0", F.coalesce("label", "rep").alias("component_id")), "components")
+    return rows.join(of, "f0", "left")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents of ``docs`` (all columns) but for near-duplicates: of each group the smallest doc_id stays.
 
-    Rows with a null doc_id stay. Of rows that repeat a doc_id one stays.
+    Groups are what pairs with 0.8 or more of shared five-word shingles connect (``shingle_join``). Rows with a null doc_id stay. Of rows that repeat a doc_id one stays.
     """
-    found = components(docs, WIDE_WORDS, similar=True).select("doc_id", "component_id").filter("doc_id is not null")
-    per_id = common.materialize(found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).filter("c < doc_id or n > 1"), "removed")
-    columns = docs.columns
-    kept = docs.join(per_id.filter("c < doc_id").select("doc_id"), "doc_id", "left_anti")
-    again = per_id.filter("c = doc_id and n > 1").select("doc_id")
+    from nothi.llm.shingle_join import similar_components
+
+    labels = common.materialize(similar_components(docs), "labels")
+    kept = docs.join(labels.filter("label < id").select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+    again = common.materialize(common.pick(docs, doc_id="long").filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
     if not again.isEmpty():
         once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
-    return kept.select(*[F.col(f"`{c}`") for c in columns])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
