@@ -55,7 +55,7 @@ def test_held_out_labels_change_nothing(spark):
     d = docs(spark, rows)
     other = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 4 == 2 else t) for i, q, t in labels]
     a, b = (op7.train(d, spark.createDataFrame(x, LABELS)) for x in (labels, other))
-    assert (a.ordinary, a.toxic, a.weights) == (b.ordinary, b.toxic, b.weights)
+    assert (a.ordinary, a.toxic, a.thresholds, a.weights) == (b.ordinary, b.toxic, b.thresholds, b.weights)
 
 
 def test_odd_rows(spark):
@@ -75,17 +75,43 @@ def test_empty(spark):
 
 
 def test_gain_is_of_compressed_lengths():
-    ordinary, toxic = b"".join(op7.spread(f" {w} ") for w in ("plain", "words")), op7.spread(" gruxok ")
+    rows, labels = corpus(600, seed=3)
+    texts = [(r[1], t) for r, (_, _, t) in zip(rows, labels)]
+    ordinary, toxic = op7.dictionaries([x for x, t in texts if t], [x for x, t in texts if not t])
+    assert ordinary[:4] == toxic[:4] == b"\x37\xa4\x30\xec"  # both are trained
     d = op7.Distance(ordinary, toxic)
-    gains = dict(zip(("gruxok", "plain", "other"), d.of(["gruxok", "plain", "other"])))
-    assert gains["gruxok"] > 0.4 and gains["plain"] <= 0.1 and gains["other"] <= 0.1
-    assert op7.features(np.array([])) == [0.0] * 5
-    assert "".join(op7.windows("x" * 200)) == "x" * 200 and max(map(len, op7.windows("x" * 200))) == op7.WINDOW_CHARS
+    gain = lambda text: d.gains(op7.Windows([text])).tolist()
+    assert gain(b"banba gruxok limo") > [2] and max(gain(b"banba dest limo muras")) <= 1
+    assert gain(b"") == [] and op7.features(np.zeros((1, op7.MOST), int), [2, 3, 5]).tolist() == [[0.0] * 9]
+
+
+def test_windows():
+    made = op7.Windows([b"one two  three\n\n, four", b"", b" \t ", b"a b", b"x" * 100 + b" y"])
+    x = b"x" * 48
+    assert made.list() == [b" one two three ", b" two three , ", b" three , four ", b" a b ", b" " + x + x + b"xxxx ", x[:1] + x + b"xxxx y "]
+    assert made.of.tolist() == [0, 0, 0, 3, 4, 4] and made.texts == 5
+
+
+def test_thresholds_are_calibrated():
+    counts = np.zeros((1, op7.MOST), int)
+    counts[0, [0, 1, 2, 3, 5]] = 100_000, 2_000, 500, 80, 5
+    assert op7.calibrated(counts) == [2, 3, 4]
+    assert op7.calibrated(np.zeros((1, op7.MOST), int)) == [1, 2, 3]
 
 
 def test_long_texts_in_parts(monkeypatch):
-    d = op7.Distance(op7.spread(" plain words "), op7.spread(" gruxok "))
+    d = op7.Distance(b"plain words and other ones", b" gruxok ")
     text = "plain gruxok, other " * 40
-    whole = op7.gains_of(text, d)
-    monkeypatch.setattr(op7, "LONG", 16)
-    assert op7.gains_of(text, d).tolist() == whole.tolist() and len(whole) == 120 and len(op7.gains_of("." * 20, d)) == 0
+    whole = d.counts([text, "a", text])
+    monkeypatch.setattr(op7, "TOGETHER", 64)
+    assert d.counts([text, "a", text]).tolist() == whole.tolist() and whole.sum() == 118 * 2 + 1 and d.counts(["." * 300]).sum() >= 1
+
+
+def test_planted_rows_of_the_tables(spark):
+    """Held-out rows of sf0.1: those that hold a word of the marked documents are found, others are left alone."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    held = read("documents").join(read("labels").select("doc_id", "toxic"), "doc_id").filter(op7.held_out(op7.F.col("doc_id")))
+    out = held.select("text", "toxic", op7.score_column(op7.train(read("documents"), read("labels")), spark).alias("score")).collect()
+    marked = [r.score >= 0.3 for r in out if r.toxic and any(w in r.text for w in ("idiot", "moron", "scum", "trash", "clown", "loser", "stupid", "worthless", "pathetic", "disgusting"))]
+    clean = [r.score >= 0.3 for r in out if r.toxic == 0]
+    assert len(marked) > 50 and sum(marked) >= 0.9 * len(marked) and sum(clean) <= 0.01 * len(clean)
