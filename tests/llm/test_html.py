@@ -68,3 +68,62 @@ def test_rows(spark):
     out = op8.extract(d).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in out) == [(0, "", 0), (1, WANT, len(WANT)), (1, WANT, len(WANT))]
     assert op8.extract(d.limit(0)).count() == 0
+
+
+LONG = f"<p>{SENTENCE * 3}</p>"
+LONG_TEXT = (SENTENCE * 3).strip()
+DOUBTFUL = [
+    (f"<div id=x>{LONG}<div>Fig. 2</div>{LONG}</div>", f"{LONG_TEXT} Fig. 2 {LONG_TEXT}"),
+    (f"<div id=x>{LONG}<ul><li>flour</li><li>two eggs</li></ul>{LONG}</div>", f"{LONG_TEXT} flour two eggs {LONG_TEXT}"),
+    (f"<div id=x>{LONG}<blockquote><div>So be it</div></blockquote>{LONG}</div>", f"{LONG_TEXT} So be it {LONG_TEXT}"),
+    (f"<div id=x><div>{'<br>'.join(['x'] * 1)}</div>{LONG}<div>1998</div><div>Photo: A. Smith</div>{LONG}</div>", f"x {LONG_TEXT} 1998 Photo: A. Smith {LONG_TEXT}"),
+    ("<div>" + "".join(f"<div><a href=#>Link number {i}</a></div>" for i in range(4)) + "<div>A word of the day for all who pass by.</div>" + "".join(f"<div><a href=#>Link number {i}</a></div>" for i in range(4)) + "</div>", ""),
+    (f"<table><tr><td>{LONG}<td>{LONG}<tr><td>12<td>{LONG}</table>", f"{LONG_TEXT} {LONG_TEXT} 12 {LONG_TEXT}"),
+]
+
+
+@pytest.mark.parametrize("page, want", DOUBTFUL)
+def test_the_cut_is_right_where_the_classifier_errs(page, want):
+    blocks, odds, label = op8.labelled(page)
+    by_sign = " ".join(b.text for b, o in zip(blocks, odds) if o > 0)
+    assert op8.main_text(page) == want and by_sign != want
+
+
+@pytest.mark.parametrize(
+    "inside, text",
+    [
+        ("<p>Let <math>x</math> be.</p>", "Let x be."),
+        ("<svg><text>Chart of the river</text>", "Chart of the river"),
+        ("<noscript><p>Shown without scripts, as it was meant to be.</p></noscript>", "Shown without scripts, as it was meant to be."),
+        ("<object>Shown instead of the film</object>", "Shown instead of the film"),
+        (f"<div class='related-work'><p>{SENTENCE}</p></div>", SENTENCE.strip()),
+        (f"<div class='alert'><p>{SENTENCE}</p></div>", SENTENCE.strip()),
+        ("<script>var a = 1;", ""),
+        ("<textarea>typed</textarea><select><option>One</select><button>Go</button>", ""),
+    ],
+)
+def test_nothing_of_the_article_is_lost(inside, text):
+    page = f"<body>{NAV}<article>{ARTICLE}{inside}<p>{SENTENCE}</p></article><footer>end</footer>"
+    assert op8.main_text(page) == " ".join(filter(None, [WANT, text, SENTENCE.strip()]))
+
+
+def test_time_grows_with_size():
+    import time
+
+    began = time.time()
+    op8.main_text("<div>x " * 150_000)
+    op8.main_text("<div>" * 20_000 + "<p>some words</p>" * 20_000)
+    op8.main_text("<b><i>x " * 20_000 + "</u>" * 20_000 + "<p>y" * 20_000 + "<script>" * 20_000)
+    assert time.time() - began < 30
+
+
+def test_fitted_weights_and_report(spark):
+    page = lambda i: f"<body>{NAV}<article><h1>Head {i}</h1>{LONG}<p>Short.</p><ul><li>one</li></ul>{LONG}</article><aside><p>{SENTENCE}</p></aside><footer>&copy; site {i}</footer></body>"
+    d = spark.createDataFrame([(i, "u", page(i)) for i in range(120)] + [(200 + i, "v", p) for i, (p, _) in enumerate(DOUBTFUL)], "page_id long, url string, html string")
+    weights = op8.fitted(d)
+    assert weights != list(op8.LOOKS) and weights[2] < 0 and op8.fitted(d) == weights
+    assert op8.fitted(d.limit(0)) == list(op8.LOOKS) == op8.fitted(d.limit(2))
+    got = {r.page_id: r.text for r in op8.extract(d).collect()}
+    assert all(got[i] == f"Head {i} {LONG_TEXT} Short. one {LONG_TEXT}" for i in range(120))
+    report = op8.cut_report(d).head()
+    assert report.blocks > 1000 and report.doubtful > report.flipped > 0
