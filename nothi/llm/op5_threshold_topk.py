@@ -1,10 +1,13 @@
 """Exact top-k by the threshold algorithm over sorted per-dimension lists.
 
 Vectors are quantised to floor(64 * x) and dealt into shards. A shard keeps, for every dimension, its
-rows in the order of that component. For a query the lists are read from the end that adds most, all to the same depth;
+rows in the order of that component; it is sorted once and written (see ``vectors``). For a query the lists are read from the end that adds most, all to the same depth;
 each row that turns up is scored in full, and reading stops when the sum of the list heads' contributions, which no unseen
-row can pass, is below the k-th best score. Depth grows by doubling; a tie at the bound reads on, so ties go to the smaller vec_id.
-Queries meet every shard in blocks (a block of queries and a shard per task); the shards' lists are then merged.
+row can pass, is below the k-th best score; a tie at the bound reads on, so ties go to the smaller vec_id. Depth grows by a
+sixteenth of the list. Queries visit the shards in rounds, and the shards' lists are merged.
+
+Scores are exact: in double precision where no sum can reach 2**53, else in whole numbers of any size; a score that a long cannot hold is the
+largest or smallest long. Components beyond 2**62 / 64 count as that.
 
 Vectors that are null or empty, or hold a null or non-finite component, take no part; neither do null vec_ids. Rows that share the query's vec_id are its own.
 Of rows that repeat a query's vec_id the smallest vector asks; repeated candidates are each listed. Vectors of another length than the query's take no part in its list.
@@ -14,38 +17,46 @@ An empty table gives no row. Extra columns are not read.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from nothi.llm import common, vectors
 
-K, EVERY, SCALE, SHARD, QUERIES = 20, 20, 64, 4096, 2048
-SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+K, EVERY, SCALE, SHARD, QUERIES = 20, 20, 64, 16384, 32768
+#: The longest list part that is read at once, as a share of the list; the largest component; the largest long.
+STEP, MOST, LARGEST = 16, 2.0**62, 2**63 - 1
+
+
+def quantised(x: np.ndarray, scale: int) -> np.ndarray:
+    """Whole numbers, as doubles."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(x * scale), -MOST, MOST)
 
 
 class SortedLists:
-    """One shard: its rows and, for each dimension, their order by that component."""
+    """One shard: its rows and, for each dimension, their order by that component, the largest first."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, order: np.ndarray):
+        self.ids, self.rows, self.order = ids, rows, order
+        self.heads = np.take_along_axis(np.ascontiguousarray(rows.T), order, axis=1)
+        self.most = float(np.abs(rows).max()) if rows.size else 0.0
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.rows = ids[order], rows[order].astype(np.float64)
-        self.order = np.ascontiguousarray(np.argsort(-self.rows, axis=0, kind="stable").T.astype(np.int32))
-        self.heads = np.take_along_axis(np.ascontiguousarray(self.rows.T), self.order, axis=1)
+    @classmethod
+    def sort(cls, ids: np.ndarray, rows: np.ndarray) -> "SortedLists":
+        by_id = np.argsort(ids, kind="stable")
+        ids, rows = ids[by_id], np.asarray(rows, np.float64)[by_id]
+        return cls(ids, rows, np.ascontiguousarray(np.argsort(-rows, axis=0, kind="stable").T.astype(np.int32)))
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(vec_ids, scores) of the k best, best first. All numbers are integers well below 2**53, so doubles are exact."""
-        n = len(self.ids)
-        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        seen, best_at, best = np.zeros(n, bool), np.empty(0, np.int64), np.empty(0)
-        own = slice(*np.searchsorted(self.ids, [query_id, query_id + 1]))
-        seen[own] = True
-        depth, last = 0, max(2 * k, n // 64)
-        if not len(up) and not len(down):
-            last = n
+        """(vec_ids, scores) of the k best, best first."""
+        n, exact = len(self.ids), len(query) * self.most * float(np.abs(query).max(initial=0.0)) < 2.0**53
+        whole = (lambda a: a) if exact else (lambda a: np.array([int(x) for x in a.ravel()], object).reshape(a.shape))
+        query = np.asarray(query, np.float64)
+        up, down, asks = np.flatnonzero(query > 0), np.flatnonzero(query < 0), whole(query)
+        seen, best_at, best = np.zeros(n, bool), np.empty(0, np.int64), np.empty(0, np.float64 if exact else object)
+        seen[slice(*np.searchsorted(self.ids, [query_id, query_id + 1]))] = True
+        depth, last = 0, max(2 * k, n // STEP) if len(up) or len(down) else n
         while depth < n:
-            last = min(n, last)
-            fresh = seen.copy()
+            last, fresh = min(n, last), seen.copy()
             fresh[self.order[up, depth:last].ravel()] = True
             fresh[self.order[down, n - last : n - depth].ravel()] = True
             if not len(up) and not len(down):
@@ -53,46 +64,42 @@ class SortedLists:
             new = np.flatnonzero(fresh & ~seen)
             seen = fresh
             if len(new):
-                scores = self.rows[new] @ query
+                scores = whole(self.rows[new]) @ asks
+                if not exact:
+                    scores = np.array([min(LARGEST, max(-LARGEST - 1, s)) for s in scores], object)
                 at, all_scores = np.concatenate([best_at, new]), np.concatenate([best, scores])
-                if len(at) > k:
-                    floor = np.partition(all_scores, len(at) - k)[len(at) - k]
-                    held = all_scores >= floor
+                if exact and len(at) > k:
+                    held = all_scores >= np.partition(all_scores, len(at) - k)[len(at) - k]
                     at, all_scores = at[held], all_scores[held]
-                first = np.lexsort((at, -all_scores))[:k]
+                # Rows are in the order of their ids.
+                first = np.lexsort((at, -all_scores))[:k] if exact else sorted(range(len(at)), key=lambda i: (-all_scores[i], at[i]))[:k]
                 best_at, best = at[first], all_scores[first]
             depth = last
-            bound = self.heads[up, depth - 1] @ query[up] + self.heads[down, n - depth] @ query[down]
+            bound = whole(self.heads[up, depth - 1]) @ asks[up] + whole(self.heads[down, n - depth]) @ asks[down]
             if len(best) == k and bound < best[-1]:
                 break
-            last = 2 * depth
+            last = depth + max(2 * k, n // STEP)
         return self.ids[best_at], best.astype(np.int64)
 
 
 def search(vectors_: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, shard_rows: int = SHARD, query_rows: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score."""
-    rows = vectors.usable(vectors_).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("int")))
-    candidates, queries, shards, parts = vectors.blocks(rows, every, shard_rows, query_rows)
-    left = candidates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def run(key, own: pa.Table, asked: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        sizes = own.column("v").combine_chunks().value_lengths().to_numpy() if own.num_rows else np.empty(0, int)
-        asked_sizes = asked.column("v").combine_chunks().value_lengths().to_numpy() if asked.num_rows else np.empty(0, int)
-        for size in np.unique(asked_sizes):
-            mine, theirs = own.filter(pa.array(sizes == size)), asked.filter(pa.array(asked_sizes == size))
-            if not mine.num_rows:
-                continue
-            lists = SortedLists(mine.column("vec_id").to_numpy(), vectors.matrix(mine.column("v"), np.int64))
-            for query_id, query in zip(theirs.column("vec_id").to_pylist(), vectors.matrix(theirs.column("v"), np.float64)):
-                ids, scores = lists.top(query_id, query, k)
-                for c, x in zip(out, (np.full(len(ids), query_id), ids, scores)):
-                    c.append(x)
-        return pa.table([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], schema=SCHEMA)
-
-    found = left.select("shard", "part", "vec_id", "v").groupBy("shard", "part").cogroup(right.select("shard", "part", "vec_id", "v").groupBy("shard", "part")).applyInArrow(run, "query_id long, vec_id long, score long")
-    return vectors.merged(found, k, ascending=False)
+    rows = vectors.usable(vectors_)
+    candidates, shards = vectors.sharded(rows, shard_rows, k)
+
+    def build(ids, copies, x):
+        made = SortedLists.sort(np.repeat(ids, copies), np.repeat(quantised(x, scale), copies, axis=0))
+        return made.ids, made.rows, list(made.order)
+
+    def visit(ids, x, lists, query_ids, queries):
+        shard, out = SortedLists(ids, x, np.stack(lists)), ([], [], [])
+        for query_id, query in zip(query_ids.tolist(), quantised(queries, scale)):
+            found, scores = shard.top(query_id, query, k)
+            for c, v in zip(out, (np.full(len(found), query_id), found, scores)):
+                c.append(v)
+        return [np.concatenate(c) for c in out]
+
+    return vectors.searched(vectors.indexed(candidates, shards, build), rows, every, query_rows, visit, "long", k, ascending=False)
 
 
 def op5_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

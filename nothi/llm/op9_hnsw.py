@@ -1,15 +1,15 @@
 """Nearest neighbours by a hierarchical navigable small-world graph per shard.
 
-A shard holds at most some four thousand vectors; equal ones are one node. Every node draws a top layer; each layer is a
-flat array of neighbour numbers, a row per node. As a shard is small, a node's nearest candidates in a layer are
-taken from all distances of the layer instead of a search of the half-built graph; then the usual rule keeps a candidate
-only if it is nearer to the node than to any neighbour kept before, and links run both ways. Nodes that the
-entry point would not reach are linked to their nearest reached node. Queries descend from the top layer, all queries of
-a block in step, and search the lowest with a list of ``ef``; the shards' results, with distances in double precision on the
-original vectors, are merged. Every vector is indexed.
+A shard holds some sixteen thousand distinct vectors (a parameter: memory is about a kilobyte a vector). Every node draws a top layer; each layer is a
+flat array of neighbour numbers, a row per node. Nodes enter the graph in groups, high layers first: a group searches the graph as built so far, layer by layer, all
+its nodes in step, looks at its own members too, and of the candidates keeps one only if it is nearer to the node than to any neighbour kept before; links run both
+ways and lists that overflow are chosen anew by that rule. A group is at most a quarter of the graph. Nodes that the entry point would not reach
+are linked from their nearest reached node by a last column. A shard's graph is written once. Queries visit the shards in rounds,
+descend from the top layer, all queries of a block in step, and search the lowest with a list of ``ef``; the shards' results, with distances in
+double precision on the original vectors, are merged. Every vector is indexed.
 
 Vectors that are null, empty or zero, or hold a null or non-finite component, take no part; neither do null vec_ids. Rows that share the
-query's vec_id are its own. Of rows that repeat a query's vec_id the smallest vector asks. Vectors of another length than the query's are not found
+query's vec_id are its own. Of rows that repeat a query's vec_id the smallest vector asks; repeated rows are each listed. Vectors of another length than the query's are not found
 by it. An empty table gives no row. Extra columns are not read.
 """
 
@@ -18,15 +18,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from nothi.llm import common, vectors
 
-K, EVERY, SHARD, QUERIES = 10, 100, 4096, 2048
-LINKS, CANDIDATES, EF = 16, 48, 96
-SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+K, EVERY, SHARD, QUERIES = 10, 100, 16384, 32768
+LINKS, CANDIDATES, EF, GROUP, STEP = 16, 40, 224, 1024, 512
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -36,78 +33,120 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Graph:
     """layers[0] is the lowest; layers[l][node] holds neighbour numbers, -1 where there is none."""
 
-    def __init__(self, rows: np.ndarray, links: int = LINKS, candidates: int = CANDIDATES, seed: int = 1):
-        self.x = np.ascontiguousarray(rows, np.float32)
-        n = len(self.x)
-        level = np.minimum((-np.log(np.random.default_rng(seed).random(n) + 1e-12) / math.log(links)).astype(int), 12)
-        self.entry = int(np.argmax(level)) if n else -1
-        self.layers = [self._layer(np.flatnonzero(level >= l), links * (2 if not l else 1), links, candidates) for l in range(level.max() + 1 if n else 0)]
-
-    def _layer(self, nodes: np.ndarray, room: int, links: int, candidates: int) -> np.ndarray:
-        flat, m = np.full((len(self.x), room), -1, np.int32), len(nodes)
-        if m < 2:
-            return flat
-        near = squared(self.x[nodes], self.x[nodes])
-        np.fill_diagonal(near, np.inf)
-        c = min(candidates, m - 1)
-        cand = np.argpartition(near, c - 1, axis=1)[:, :c]
-        rows = np.arange(m)[:, None]
-        cand = cand[rows, np.argsort(near[rows, cand], axis=1)]
-        d = near[rows, cand]
-        kept, count = np.zeros((m, c), bool), np.zeros(m, int)
-        for j in range(c):
-            nearer = near[cand[:, :j], cand[:, j : j + 1]] < d[:, j : j + 1]
-            kept[:, j] = ~(nearer & kept[:, :j]).any(axis=1) & (count < links)
-            count += kept[:, j]
-        fill = np.cumsum(~kept, axis=1) <= (links - count)[:, None]
-        kept |= fill
-        at, to = np.nonzero(kept)
-        a, b = at, cand[at, to]
-        pairs = np.unique(np.concatenate([a * m + b, b * m + a]))
-        a, b = pairs // m, pairs % m
-        order = np.lexsort((near[a, b], a))
-        a, b = a[order], b[order]
-        place = np.arange(len(a)) - np.searchsorted(a, a)
+    def __init__(self, rows: np.ndarray, layers: list[np.ndarray] | None = None, entry: int = -1, links: int = LINKS, candidates: int = CANDIDATES, group: int = GROUP, seed: int = 1):
+        self.x, self.layers, self.entry = np.ascontiguousarray(rows, np.float32), layers, entry
+        self.norms = (self.x * self.x).sum(1)
+        if layers is None:
+            self._build(links, candidates, group, seed)
+
+    def _build(self, links: int, candidates: int, group: int, seed: int) -> None:
+        n, r = len(self.x), np.random.default_rng(seed)
+        level = np.minimum((-np.log(r.random(n) + 1e-12) / math.log(links)).astype(int), 12)
+        order = np.lexsort((r.random(n), -level))
+        self.layers = [np.full((n, links * (1 if l else 2)), -1, np.int32) for l in range(level.max() + 1 if n else 0)]
+        if not n:
+            return
+        self.entry, at = int(order[0]), 1
+        while at < n:
+            new = order[at : at + max(1, min(group, at // 4))]
+            begin = np.full(len(new), self.entry)
+            for l in reversed(range(len(self.layers))):
+                here = np.flatnonzero(level[new] >= l)
+                above = np.flatnonzero(level[new] < l)
+                if len(above):
+                    begin[above] = self._walk(self.layers[l], self.x[new[above]], begin[above], 1)[0][:, 0]
+                if len(here):
+                    near, far = self._walk(self.layers[l], self.x[new[here]], begin[here], candidates)
+                    begin[here] = near[:, 0]
+                    self._link(self.layers[l], new[here], near, far, links)
+            at += len(new)
+        self._join_up()
+
+    def _link(self, flat: np.ndarray, nodes: np.ndarray, near: np.ndarray, far: np.ndarray, links: int) -> None:
+        """Links a group's nodes to the best of what they found and of each other, and back."""
+        if len(nodes) > 1:
+            own = squared(self.x[nodes], self.x[nodes])
+            np.fill_diagonal(own, np.inf)
+            c = min(near.shape[1], len(nodes) - 1)
+            mates = np.argpartition(own, c - 1, axis=1)[:, :c]
+            near, far = np.concatenate([near, nodes[mates]], axis=1), np.concatenate([far, np.take_along_axis(own, mates, axis=1)], axis=1)
+        to = self._chosen(near, far, links)
+        flat[nodes, : to.shape[1]] = to
+        a, k = np.nonzero(to >= 0)
+        back, forth = to[a, k], nodes[a]
+        self._add(flat, back, forth)
+
+    def _add(self, flat: np.ndarray, at: np.ndarray, new: np.ndarray) -> None:
+        """Adds new[i] to the list of at[i]; lists that overflow are chosen anew."""
+        room = flat.shape[1]
+        d = ((self.x[at] - self.x[new]) ** 2).sum(1)
+        order = np.lexsort((d, at))
+        at, new = at[order], new[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        # Of very many that come at once the nearest suffice to fill a list.
         held = place < room
-        flat[nodes[a[held]], place[held]] = nodes[b[held]]
-        self._join_up(flat, nodes, near, int(np.flatnonzero(nodes == self.entry)[0]))
-        return flat
-
-    @staticmethod
-    def _join_up(flat: np.ndarray, nodes: np.ndarray, near: np.ndarray, start: int) -> None:
-        """Links what a walk from ``start`` doesn't reach."""
-        number = np.full(len(flat), -1)
-        number[nodes] = np.arange(len(nodes))
-        reached = np.zeros(len(nodes), bool)
-        front = np.array([start])
+        at, new, place = at[held], new[held], place[held]
+        who, row = np.unique(at, return_inverse=True)
+        both = np.full((len(who), room + place.max() + 1 if len(place) else room), -1, np.int64)
+        both[:, :room] = flat[who]
+        both[row, room + place] = new
+        twice = (both[:, :room, None] == both[:, None, room:]).any(axis=1) & (both[:, room:] >= 0)
+        both[:, room:][twice] = -1
+        count = (both >= 0).sum(axis=1)
+        fits = count <= room
+        first = np.argsort(both[fits] < 0, axis=1, kind="stable")[:, :room]
+        flat[who[fits]] = np.take_along_axis(both[fits], first, axis=1)
+        who, both = who[~fits], both[~fits]
+        for at_ in range(0, len(who), STEP):
+            w, b = who[at_ : at_ + STEP], both[at_ : at_ + STEP]
+            gap = np.where(b >= 0, self.norms[b] - 2 * np.einsum("qkd,qd->qk", self.x[b], self.x[w]) + self.norms[w][:, None], np.inf)
+            flat[w] = self._chosen(b, gap, room)
+
+    def _chosen(self, near: np.ndarray, far: np.ndarray, links: int) -> np.ndarray:
+        """For each row of candidates and their distances the ones to link to, -1 where there are fewer."""
+        out = np.full((len(near), links), -1, np.int32)
+        for at in range(0, len(near), STEP):
+            order = np.argsort(far[at : at + STEP], axis=1, kind="stable")
+            cand, d = np.take_along_axis(near[at : at + STEP], order, axis=1), np.take_along_axis(far[at : at + STEP], order, axis=1)
+            some = np.isfinite(d) & (cand >= 0)
+            c = max(1, int(some.sum(axis=1).max(initial=0)))
+            cand, d, some = cand[:, :c], d[:, :c], some[:, :c]
+            y, norm = self.x[cand], self.norms[cand]
+            between = norm[:, :, None] + norm[:, None, :] - 2 * (y @ y.transpose(0, 2, 1))
+            kept, count = np.zeros(cand.shape, bool), np.zeros(len(cand), int)
+            for j in range(c):
+                kept[:, j] = some[:, j] & ~((between[:, j, :j] < d[:, j : j + 1]) & kept[:, :j]).any(axis=1) & (count < links)
+                count += kept[:, j]
+            # Places that are left go to the nearest of the others.
+            kept |= some & ~kept & (np.cumsum(some & ~kept, axis=1) <= (links - count)[:, None])
+            first = np.argsort(~kept, axis=1, kind="stable")[:, :links]
+            out[at : at + STEP, : first.shape[1]] = np.where(np.take_along_axis(kept, first, axis=1), np.take_along_axis(cand, first, axis=1), -1)
+        return out
+
+    def _join_up(self) -> None:
+        """A last column of the lowest layer, by which a walk from the entry point reaches every node."""
+        flat = self.layers[0]
+        reached, bridge = np.zeros(len(flat), bool), np.full(len(flat), -1, np.int32)
+        front = np.array([self.entry])
         while True:
             while len(front):
                 reached[front] = True
-                to = flat[nodes[front]].ravel()
-                to = np.unique(number[to[to >= 0]])
+                to = np.unique(flat[front])
+                to = to[to >= 0]
                 front = to[~reached[to]]
             lost = np.flatnonzero(~reached)
             if not len(lost):
-                return
-            inside = np.flatnonzero(reached)
-            gap = near[np.ix_(lost, inside)]
-            at = np.unravel_index(np.argmin(gap), gap.shape)
-            a, b = lost[at[0]], inside[at[1]]
-            # The last place of b goes to a; a walk that needed the place before is looked at again.
-            row = flat[nodes[b]]
-            free = np.flatnonzero(row < 0)
-            row[free[0] if len(free) else len(row) - 1] = nodes[a]
-            if not len(free):
-                reached[:] = False
-                front = np.array([start])
-                flat[nodes[a], -1] = nodes[b]
-            else:
-                front = np.array([a])
+                break
+            inside = np.flatnonzero(reached & (bridge < 0))
+            d = squared(self.x[lost[:1]], self.x[inside])[0]
+            bridge[inside[np.argmin(d)]] = lost[0]
+            front = lost[:1]
+        self.layers[0] = np.concatenate([flat, bridge[:, None]], axis=1)
 
     def _walk(self, flat: np.ndarray, queries: np.ndarray, begin: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """Best-first search of one layer by all queries in step: (nodes, squared distances) by distance, -1 and inf where there is none."""
         q, n = len(queries), len(self.x)
-        norms = (self.x * self.x).sum(1)
+        norms = self.norms
         own = (queries * queries).sum(1)
         rows = np.arange(q)[:, None]
         seen = np.zeros((q, n + 1), bool)
@@ -143,30 +182,27 @@ class Graph:
 
     def search(self, queries: np.ndarray, ef: int) -> np.ndarray:
         """Nodes nearest to each query, -1 where there are fewer than ef."""
-        queries = np.ascontiguousarray(queries, np.float32)
-        at = np.full(len(queries), self.entry)
-        for flat in reversed(self.layers[1:]):
-            at = self._walk(flat, queries, at, 1)[0][:, 0]
-        nodes, d = self._walk(self.layers[0], queries, at, min(ef, len(self.x)))
-        return np.where(np.isinf(d), -1, nodes)
-
-
-def shard_top(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, ef: int = EF):
-    """(query_id, vec_id, distance) of the k best of one shard for each query."""
-    order = np.argsort(ids, kind="stable")
-    ids, rows = ids[order], rows[order]
-    x, node_of = np.unique(rows, axis=0, return_inverse=True)
-    node_of = node_of.ravel()
-    by_node = np.argsort(node_of, kind="stable")
-    begin = np.searchsorted(node_of[by_node], np.arange(len(x) + 1))
+        queries, out = np.ascontiguousarray(queries, np.float32), []
+        for at in range(0, len(queries), STEP):
+            block = queries[at : at + STEP]
+            begin = np.full(len(block), self.entry)
+            for flat in reversed(self.layers[1:]):
+                begin = self._walk(flat, block, begin, 1)[0][:, 0]
+            nodes, d = self._walk(self.layers[0], block, begin, min(ef, len(self.x)))
+            out.append(np.where(np.isinf(d), -1, nodes))
+        return np.concatenate(out) if out else np.empty((0, ef), np.int64)
+
+
+def shard_top(graph: Graph, x: np.ndarray, ids: np.ndarray, begin: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, ef: int = EF):
+    """(query_id, vec_id, distance) of the k best of one shard for each query; node i has the vec_ids from begin[i] to begin[i + 1]."""
     out = ([], [], [])
-    for query_id, query, nodes in zip(query_ids.tolist(), queries, Graph(x).search(queries, max(ef, 2 * k))):
+    for query_id, query, nodes in zip(query_ids.tolist(), queries, graph.search(queries, max(ef, 2 * k))):
         nodes = nodes[nodes >= 0]
         d = np.sqrt(((x[nodes] - query) ** 2).sum(1))
         members, far = [], []
         for node, distance in zip(nodes.tolist(), d.tolist()):
             # Of equal vectors the smallest ids come first; the query's own rows are left out.
-            same = ids[by_node[begin[node] : begin[node + 1]]]
+            same = ids[begin[node] : begin[node + 1]]
             same = same[same != query_id][:k]
             members.append(same)
             far.append(np.full(len(same), distance))
@@ -180,24 +216,23 @@ def shard_top(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries:
 
 def search(vectors_: DataFrame, k: int = K, every: int = EVERY, shard_rows: int = SHARD, query_rows: int = QUERIES, ef: int = EF) -> DataFrame:
     """query_id, rank, vec_id, score."""
-    candidates, queries, shards, parts = vectors.blocks(vectors.usable(vectors_, zero_too=False), every, shard_rows, query_rows)
-    left = candidates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def run(key, own: pa.Table, asked: pa.Table) -> pa.Table:
-        sizes = own.column("v").combine_chunks().value_lengths().to_numpy() if own.num_rows else np.empty(0, int)
-        asked_sizes = asked.column("v").combine_chunks().value_lengths().to_numpy() if asked.num_rows else np.empty(0, int)
-        out = ([], [], [])
-        for size in np.unique(asked_sizes):
-            mine, theirs = own.filter(pa.array(sizes == size)), asked.filter(pa.array(asked_sizes == size))
-            if mine.num_rows:
-                found = shard_top(mine.column("vec_id").to_numpy(), vectors.matrix(mine.column("v"), np.float64), theirs.column("vec_id").to_numpy(), vectors.matrix(theirs.column("v"), np.float64), k, ef)
-                for c, v in zip(out, found):
-                    c.append(v)
-        return pa.table([pa.array(np.concatenate(c) if c else [], f.type) for c, f in zip(out, SCHEMA)], schema=SCHEMA)
-
-    found = left.select("shard", "part", "vec_id", "v").groupBy("shard", "part").cogroup(right.select("shard", "part", "vec_id", "v").groupBy("shard", "part")).applyInArrow(run, "query_id long, vec_id long, score double")
-    return vectors.merged(found, k, ascending=True)
+    rows = vectors.usable(vectors_, zero_too=False)
+    candidates, shards = vectors.sharded(rows, shard_rows, k)
+
+    def build(ids, copies, rows):
+        x, node_of = np.unique(rows, axis=0, return_inverse=True)
+        node_of, ids = np.repeat(node_of.ravel(), copies), np.repeat(ids, copies)
+        order = np.lexsort((ids, node_of))
+        begin = np.searchsorted(node_of[order], np.arange(len(x) + 1)).astype(np.int32)
+        graph = Graph(x)
+        widths = np.array([graph.entry, *(layer.shape[1] for layer in graph.layers)], np.int32)
+        return ids[order], x, [begin, widths, *graph.layers]
+
+    def visit(ids, x, lists, query_ids, queries):
+        begin, (entry, *widths), *layers = lists
+        return shard_top(Graph(x, [flat.reshape(-1, w) for flat, w in zip(layers, widths)], int(entry)), x, ids, begin, query_ids, queries, k, ef)
+
+    return vectors.searched(vectors.indexed(candidates, shards, build), rows, every, query_rows, visit, "double", k, ascending=True)
 
 
 def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:

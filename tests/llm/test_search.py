@@ -57,13 +57,22 @@ def test_threshold_stops_early():
     r = np.random.default_rng(0)
     rows = r.integers(-3, 4, (5000, 4))
     rows[7] = [90, 90, 90, 90]
-    lists = op5.SortedLists(np.arange(5000), rows)
+    lists = op5.SortedLists.sort(np.arange(5000), rows)
     ids, scores = lists.top(-1, np.array([1.0, 1.0, 1.0, 1.0]), 1)
     assert ids.tolist() == [7] and scores.tolist() == [360]
     ids, _ = lists.top(-1, np.zeros(4), 3)
     assert ids.tolist() == [0, 1, 2]
 
 
+@pytest.mark.parametrize("shard", [3, 1000])
+def test_large_components_and_repeated_rows(spark, shard):
+    big = [1e9, -3e9, 2.5e9, 7.0]
+    rows = [(i, [x * (1 + i % 7) for x in big]) for i in range(60)] + [(20, [1e30, 0.0, 0.0, 0.0]), (61, [-1e30, 1.0, 1.0, 1.0]), (62, [1e30, 1.0, 1.0, 1.0])] + [(63, [1.0, 2.0, 3.0, 4.0])] * 30 + [(40, [0.5, 0.5, 0.5, 0.5])] * 25
+    whole = lambda v: [int(max(-(2.0**62), min(2.0**62, np.floor(64 * x)))) for x in v]
+    score = lambda a, b: max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(whole(a.tolist()), whole(b.tolist())))))
+    assert got(op5.search(frame(spark, rows), shard_rows=shard, query_rows=2)) == brute(rows, 20, 20, True, score, True)
+
+
 def recall(found, want):
     return sum(len({i for _, i in want[q]} & {i for _, i in found.get(q, [])}) for q in want) / sum(map(len, want.values()))
 
@@ -95,7 +104,7 @@ def test_hnsw_recall_on_the_table(spark, sf_dir):
 def test_graph_is_connected_and_flat():
     x = np.random.default_rng(1).normal(0, 1, (700, 6)) + np.repeat(np.arange(7) * 100, 100)[:, None]
     g = op9.Graph(x)
-    assert g.layers[0].shape == (700, 2 * op9.LINKS) and g.layers[0].dtype == np.int32
+    assert g.layers[0].shape == (700, 2 * op9.LINKS + 1) and all(a.dtype == np.int32 for a in g.layers) and g.layers[1].shape == (700, op9.LINKS)
     reached, front = {g.entry}, [g.entry]
     while front:
         front = [j for i in front for j in g.layers[0][i].tolist() if j >= 0 and j not in reached and not reached.add(j)]
@@ -103,6 +112,16 @@ def test_graph_is_connected_and_flat():
     assert op9.Graph(x[:1]).search(x[:1], 5).tolist() == [[0]]
 
 
+def test_recall_over_shards_and_hot_vectors(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.normal(0, 1, 24)]) for i in range(4000)] + [(i, [1.0] * 24) for i in range(4000, 6000)] + [(100, [2.0] * 24)] * 50
+    want = brute(rows, 100, 10, False, lambda a, b: float(np.sqrt(((a - b) ** 2).sum())), False)
+    found = got(op9.search(frame(spark, rows), shard_rows=800, query_rows=20))
+    assert recall(found, want) >= 0.9 and all(len(found[q]) == 10 for q in want)
+    # Of two thousand equal vectors the smallest ids.
+    assert [i for _, i in found[5000]] == list(range(4000, 4010))
+
+
 def test_empty(spark):
     for search in (op5.search, op9.search):
         assert search(frame(spark, [])).count() == 0 and search(frame(spark, [(20, [1.0])])).count() == 0
