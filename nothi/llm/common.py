@@ -49,6 +49,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote; only for tables that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def open_fs(uri: str):
     """(filesystem, path) for a URI, for file access from Python workers."""
     import pyarrow.fs as pafs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nothi.llm.common import materialize
+from nothi.llm.common import materialize, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,10 +24,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         to = first.select(F.col("a").alias("p"), F.col("p").alias("next"))
         parent = materialize(first.join(to, "p").select("a", F.col("next").alias("p")), "parents")
         if labels is None:
-            labels = parent.select(F.col("a").alias("id"), F.col("p").alias("label"))
+            moved, done = parent.select(F.col("a").alias("id"), F.col("p").alias("label")), []
         else:
-            moved = labels.join(parent.withColumnRenamed("a", "label"), "label", "left")
-            labels = materialize(moved.select("id", F.coalesce("p", "label").alias("label")), "labels")
+            moved, done = labels.join(parent.withColumnRenamed("a", "label"), "label", "left").select("id", F.coalesce("p", "label").alias("label")), [labels]
+        labels = materialize(moved, "labels")
         half = materialize(live.join(parent, "a").select("b", F.col("p").alias("x")), "edges")
         ends = half.join(parent.withColumnRenamed("a", "b"), "b").select(F.col("x").alias("a"), F.col("p").alias("b"))
+        done += [live, first, parent, half]
         live = materialize(ends.filter("a <> b").distinct(), "edges")
+        for table in done:
+            release(table)

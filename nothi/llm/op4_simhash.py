@@ -3,7 +3,8 @@
 Fingerprints are taken once per document, from whole texts, and equal ones are one node from then on.
 Every node carries its Hamming distances to reference fingerprints (pivots). By the triangle inequality two
 fingerprints at most r bits apart have distances to any pivot that differ by r at most, so pairs
-with a larger difference in any coordinate are discarded before the fingerprints are compared.
+with a larger difference in any coordinate are discarded before the fingerprints are compared: the first two coordinates, in cells of 2 r + 1,
+are part of the key of the join (one side is listed in its own cell, the other in each cell within r), the others are compared in the join. ``pivot_report`` counts what each step discards.
 
 *Exact links* (``near_pairs``, radius 2): the 64 bits are four blocks, and two fingerprints within two bits agree
 in at least two whole blocks, so six tables of 32-bit keys meet every pair. Keys that more than 64 nodes
@@ -33,6 +34,8 @@ from nothi.llm import common
 from nothi.llm.graph import connected_components
 
 SEED, WORDS, RADIUS, PIVOTS, MOST = 42, 3, 2, 16, 64
+#: Pivots whose cells are part of the key.
+KEYED = 2
 #: Bytes of a text that are cut into words at once.
 LONG = 4 << 20
 _SPACE = re.compile(rb"[ \t-\r]")
@@ -124,32 +127,59 @@ def with_pivot_table(nodes: DataFrame, planes: int = 1) -> DataFrame:
     return nodes.withColumns({f"p{k}": _distance(planes, lambda p: F.col(f"f{p}"), lambda p, ref=ref: F.lit(ref[p])).cast("short") for k, ref in enumerate(pivots(planes))})
 
 
-def _met(listed: DataFrame, on: list[str], radius: int, planes: int) -> DataFrame:
+def _apart(radius: int) -> Column:
+    """The pivots allow a pair of a and b."""
+    return F.greatest(*[F.abs(F.col(f"a.p{k}") - F.col(f"b.p{k}")) for k in range(PIVOTS)]) <= radius
+
+
+def _by_cells(members: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Members in their own cell, and members in every cell that a fingerprint within the radius may be in."""
+    width, base = 2 * radius + 1, [c for c in members.columns]
+    own = members.select(*base, *[F.floor(F.col(f"p{k}") / width).cast("int").alias(f"c{k}") for k in range(KEYED)])
+    near = members
+    for k in range(KEYED):
+        near = near.withColumn(f"c{k}", F.explode(F.array_distinct(F.array(*[F.floor((F.col(f"p{k}") + r) / width).cast("int") for r in (-radius, radius)]))))
+    return own.alias("a"), near.alias("b")
+
+
+def _met(members: DataFrame, on: list[str], radius: int) -> DataFrame:
     """Pairs of one list whose pivot distances allow it and whose fingerprints are near."""
-    a, b = listed.alias("a"), listed.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
-    allowed = [F.abs(F.col(f"a.p{k}") - F.col(f"b.p{k}")) <= radius for k in range(PIVOTS)]
-    near = _distance(planes, lambda p: F.col(f"a.f{p}"), lambda p: F.col(f"b.f{p}")) <= radius
-    cond = F.lit(True)
-    for c in [*same, F.col("a.rep") < F.col("b.rep"), *allowed, near]:
-        cond = cond & c
+    a, b = _by_cells(members, radius)
+    cond = _apart(radius) & (_distance(1, lambda p: F.col(f"a.f{p}"), lambda p: F.col(f"b.f{p}")) <= radius) & (F.col("a.rep") < F.col("b.rep"))
+    for c in [*on, *(f"c{k}" for k in range(KEYED))]:
+        cond = (F.col(f"a.{c}") == F.col(f"b.{c}")) & cond
     return a.join(b, cond).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
 
 
-def near_pairs(nodes: DataFrame, most: int = MOST) -> DataFrame:
-    """All pairs (a, b) of nodes (rep, f0) at most RADIUS bits apart, each once."""
+def _members(nodes: DataFrame) -> DataFrame:
+    """The nodes with their pivot distances under each of six keys (t, key), where others share it, and the number that do (count)."""
     pivoted = with_pivot_table(nodes)
     blocks = [F.shiftrightunsigned("f0", 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
     keys = F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), F.shiftleft(blocks[j], 16).bitwiseOR(blocks[i]).alias("key")) for t, (i, j) in enumerate(combinations(range(4), 2))])
     listed = pivoted.withColumn("k", F.explode(keys)).select("k.t", "k.key", "rep", "f0", *[f"p{k}" for k in range(PIVOTS)])
     shared = common.materialize(listed.groupBy("t", "key").count().filter("count > 1"), "keys")
-    members = common.materialize(listed.join(shared, ["t", "key"]), "members")
-    light = _met(members.filter(F.col("count") <= most), ["t", "key"], RADIUS, 1)
+    return common.materialize(listed.join(shared, ["t", "key"]), "members")
+
+
+def pivot_report(nodes: DataFrame, most: int = MOST) -> DataFrame:
+    """One row: pairs that share a key of at most ``most`` nodes, those that also share cells, those that all pivots allow, and those within the radius."""
+    members = _members(nodes).filter(F.col("count") <= most)
+    keyed = members.groupBy("t", "key").agg((F.count("*") * (F.count("*") - 1) / 2).cast("long").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("keyed"))
+    a, b = _by_cells(members, RADIUS)
+    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("t", "key", *(f"c{k}" for k in range(KEYED)))] + [F.col("a.rep") < F.col("b.rep")])
+    near = _distance(1, lambda p: F.col(f"a.f{p}"), lambda p: F.col(f"b.f{p}")) <= RADIUS
+    return keyed.join(met.agg(F.count("*").alias("celled"), F.count_if(_apart(RADIUS)).alias("allowed"), F.count_if(near).alias("near")))
+
+
+def near_pairs(nodes: DataFrame, most: int = MOST) -> DataFrame:
+    """All pairs (a, b) of nodes (rep, f0) at most RADIUS bits apart, each once."""
+    members = _members(nodes)
+    light = _met(members.filter(F.col("count") <= most), ["t", "key"], RADIUS)
     # The bits outside the two blocks of table t, and zero for the fingerprint itself.
     outside = [[0] + [1 << (16 * b + k) for b in range(4) if b not in pair for k in range(16)] for pair in combinations(range(4), 2)]
     flips = F.array(*[F.array(*[F.lit(x - (1 << 64) if x >> 63 else x) for x in row]) for row in outside])
     crowded = members.filter(F.col("count") > most).withColumn("flip", F.explode(F.element_at(flips, F.col("t").cast("int") + 1))).withColumn("mid", F.col("f0").bitwiseXOR(F.col("flip")))
-    heavy = _met(crowded, ["t", "mid"], RADIUS, 1)
+    heavy = _met(crowded, ["t", "mid"], RADIUS)
     return light.union(heavy).distinct()
 
 
@@ -163,19 +193,26 @@ def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents of ``docs`` (all columns) but for near-duplicates: of each group the smallest doc_id stays.
+    """The documents of ``docs`` (all columns) but for near-duplicates: of each group one row stays, that with the smallest doc_id.
 
-    Groups are what pairs with 0.8 or more of shared five-word shingles connect (``shingle_join``). Rows with a null doc_id stay. Of rows that repeat a doc_id one stays.
+    Groups are what pairs with 0.8 or more of shared five-word shingles connect (``shingle_join``). Rows are told apart by doc_id and text, so
+    different texts under one doc_id are judged each on its own. Of rows that repeat both one stays. A row with a null doc_id stays only if no row of its group has one.
     """
-    from nothi.llm.shingle_join import similar_components
-
-    labels = common.materialize(similar_components(docs), "labels")
-    kept = docs.join(labels.filter("label < id").select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-    again = common.materialize(common.pick(docs, doc_id="long").filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    from nothi.llm import shingle_join
+
+    lost = shingle_join.lost_rows(docs)
+    text = common.utf8("text")
+    names = {"_nothi_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_nothi_h0": F.xxhash64(text), "_nothi_h1": F.xxhash64(F.lit(1), text)}
+    keyed = docs.withColumns(names)
+    again = common.materialize(keyed.select(*names).groupBy(*names).count().filter("count > 1").select(*names), "again")
+    touched = shingle_join.maybe_in("_nothi_h0", lost.select("h0").union(again.select("_nothi_h0")))
+    flagged = keyed.withColumn("_nothi_touched", touched)
+    rest, looked = flagged.filter("not _nothi_touched"), flagged.filter("_nothi_touched")
+    looked = looked.join(lost.select(*[F.col(c).alias(f"_nothi_{c}") for c in ("id", "h0", "h1")]), list(names), "left_anti")
     if not again.isEmpty():
-        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        once = looked.join(again, list(names), "left_semi").dropDuplicates(list(names))
+        looked = looked.join(again, list(names), "left_anti").unionByName(once)
+    return rest.unionByName(looked).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,7 +131,24 @@ def test_stage_keeps_one_of_each_group(spark):
     df = docs(spark, rows)
     out = op4_simhash.drop_near_duplicates(df)
     assert out.columns == df.columns
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, i) for i in range(30)] + [(True, 0)]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, i) for i in range(30)]
+
+
+def test_stage_judges_rows_and_not_ids(spark):
+    random.seed(4)
+    a, b, c, d = (" ".join(random.choices([f"u{i}" for i in range(3000)], k=90)) for _ in range(4))
+    rows = [(1, a), (50, a), (50, b), (60, b + " more"), (70, c), (70, d), (70, d), (None, c), (None, None), (80, ""), (None, a + " " + d)]
+    out = op4_simhash.drop_near_duplicates(docs(spark, [(i, t, "en", "s", 0) for i, t in rows])).collect()
+    assert sorted(((r.doc_id or 0, r.text) for r in out), key=repr) == sorted([(1, a), (50, b), (70, c), (70, d), (80, ""), (0, a + " " + d)], key=repr)
+
+
+def test_pivots_discard(spark):
+    r = np.random.default_rng(4)
+    block = int(r.integers(0, 1 << 32))
+    prints = sorted({block << 32 | int(x) for x in r.integers(0, 1 << 32, 60)} | {block << 32 | 5 | 1 << k for k in range(4)})
+    nodes = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(prints)], "rep long, f0 long")
+    n = op4_simhash.pivot_report(nodes).head()
+    assert n.keyed > n.celled > n.allowed >= n.near > 0
 
 
 def test_empty(spark):

@@ -2,7 +2,9 @@
 
 import random
 
-from nothi.llm import op4_simhash
+import numpy as np
+
+from nothi.llm import op4_simhash, shingle_join
 from tests.llm.helpers import docs
 
 
@@ -65,3 +67,30 @@ def test_all_pairs_of_the_similarity_and_no_other(spark):
     rng.shuffle(ids)
     rows = list(zip(ids, texts))
     assert kept(spark, rows) == kept_by_force(rows)
+
+
+def test_families_that_share_a_passage(spark, monkeypatch):
+    """Many groups of near copies around one passage: every list is long, and most of its members are not similar."""
+    rng, rows = random.Random(9), []
+    passage = [f"p{i}" for i in range(120)]
+    for g in range(40):
+        base = passage + [f"g{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [changed(rng, base, rng.choice([1, 2, 3, 4])) for _ in range(5)]
+    rows = list(enumerate(" ".join(r) for r in rows))
+    want = kept_by_force(rows)
+    assert kept(spark, rows) == want and 40 <= len(want) < 200
+    # The same by blocks.
+    monkeypatch.setattr(shingle_join.unconnected_pairs, "__defaults__", (4,))
+    monkeypatch.setattr(shingle_join, "BLOCK", 16)
+    assert kept(spark, rows) == want
+
+
+def test_similar_sets_have_near_fingerprints():
+    r = np.random.default_rng(1)
+    far = []
+    for n in [9] * 300 + [45] * 300 + [450] * 300:
+        both = r.integers(0, 1 << 63, n * 8 // 9).astype("<u8")
+        x, y = (np.unique(np.concatenate([both, r.integers(0, 1 << 63, n - len(both)).astype("<u8")])) for _ in range(2))
+        assert shingle_join.alike(x, y)
+        far.append((shingle_join.simhash(x) ^ shingle_join.simhash(y)) % (1 << 64))
+    assert max(bin(f).count("1") for f in far) <= shingle_join.FAR
