@@ -71,11 +71,6 @@ def create(uri: str):
     return fs.open_output_stream(path, compression=None)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Whole texts can be long, so Arrow batches to Python hold few rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast; extra columns of the input never reach an operator's own."""
     return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()])

@@ -6,8 +6,8 @@ Every batch but the last has ``rows`` rows, so row ``i`` lies in batch ``i // ro
 view into the mapped file. A second stream file lists the documents of the shard.
 The ids run on from document to document; only a shard's last sequence is padded.
 
-Null texts are empty (the end id alone). Null doc_ids come first, repeated ones by their
-text. An empty table gives no file and no row. Extra columns are not read.
+Null texts are empty (the end id alone). Very long texts are encoded in parts, to the ids of the whole. Null doc_ids come first,
+repeated ones by a hash of their text. An empty table gives no file and no row. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -113,7 +113,7 @@ def write_token_files(docs: DataFrame, directory: str, vocabulary: str | None =
     """Writes shards in ascending doc_id order below ``directory``, which all executors share.
 
     Returns one row per shard: shard, path, n_docs, n_tokens, base (ids in the shards before it).
-    The whole texts are dealt out by ranges of doc_id, once. A task that is run again writes
+    The whole texts are dealt out by ranges of doc_id and text hash, once. A task that is run again writes
     a file of another name, and the manifest names the files of the tasks that counted.
     """
     vocabulary = vocabulary or tokens.default_vocabulary()
@@ -136,8 +136,10 @@ def write_token_files(docs: DataFrame, directory: str, vocabulary: str | None =
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((shard, uri, out.docs, out.total), schema)], schema=schema)
 
-    common.small_batches(docs.sparkSession)
-    dealt = common.pick(docs, doc_id="long", text="string").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that share a doc_id, or all of it, are dealt out too.
+    order = ["doc_id", "_text", "_tie"]
+    keyed = common.pick(docs, doc_id="long", text="string").withColumns({"_text": F.xxhash64("text"), "_tie": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest = common.materialize(dealt.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))

@@ -118,7 +118,6 @@ def write_archives(pages: DataFrame, directory: str, least: int = LEAST_BYTES, r
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
 
-    common.small_batches(pages.sparkSession)
     return common.materialize(resolve(pages, least).mapInArrow(write, "path string, n_records long"), "archives")
 
 

@@ -108,7 +108,6 @@ def with_fingerprints(docs: DataFrame, words: int = WORDS, planes: int = 1) -> D
             columns = [np.array([f[p] for f in found], np.uint64).view(np.int64) for p in range(planes)]
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, columns)], schema=schema)
 
-    common.small_batches(docs.sparkSession)
     rows = common.pick(docs, doc_id="long", text="string").select("doc_id", common.utf8("text").alias("text"))
     return rows.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
 

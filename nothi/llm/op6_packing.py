@@ -7,7 +7,7 @@ cost that still has room for them; where none has, the piece is cut at the seque
 most room and the rest waits its turn. A block opens just as many sequences as it has
 tokens for: full ones, and powers of two for the rest, so none is padded.
 
-Null texts are empty and take one token (the end id). Rows with null or repeated doc_ids are
+Of equally long pieces that of the first row goes first, of equally cheap sequences the first one is taken. Null texts are empty and take one token (the end id). Rows with null or repeated doc_ids are
 packed like any other. An empty table gives no row. Extra columns are not read. Long
 documents become several pieces; no id is dropped.
 """
@@ -151,7 +151,6 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end: int = EN
                     yield from flush()
         yield from flush()
 
-    common.small_batches(docs.sparkSession)
     return common.pick(docs, doc_id="long", text="string").mapInArrow(run, SCHEMA + ", ids array<long>" * with_ids)
 
 

@@ -3,7 +3,8 @@
 A byte-level BPE splits text before it merges, and no such piece has white space
 after a character that isn't. So cutting just before each run of white space gives
 segments whose ids, put together, are those of the whole text; equal segments are
-encoded once per worker. The cache is emptied when it is full, which changes no id.
+encoded once per worker. The cache is emptied when it is full, which changes no id. Added tokens in a text (such as ``<|endoftext|>``) are found first, as the library
+does by default, and what stands between them is encoded on its own.
 """
 
 from __future__ import annotations
@@ -39,7 +40,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted(self.tokenizer.get_added_tokens_decoder().items(), key=lambda p: -len(p[1].content))
+        #: Tokens with rules for what stands around them are left to the library, with the whole text.
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for _, t in added)
+        self.added = {t.content: i for i, t in added}
+        self.find = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if added else None
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         #: A byte-level token has one character for each byte.
         self.bytes_of = np.zeros(self.size, "int64")
@@ -92,13 +97,25 @@ class Encoder:
             at = end
         return np.concatenate([*out, np.frombuffer(last, "<u4")])
 
+    def _with_added(self, text: str, last: bytes) -> np.ndarray:
+        if not self.plain:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids + np.frombuffer(last, "<u4").tolist(), "<u4")
+        out = []
+        for i, piece in enumerate(self.find.split(text)):
+            if i % 2:
+                out.append(np.array([self.added[piece]], "<u4"))
+            elif piece:
+                out.append(self._long(piece, b""))
+        return np.concatenate([*out, np.frombuffer(last, "<u4")])
+
     def ids(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """The ids of each whole text (null: empty) and the end id, as unsigned 32-bit."""
         last, out, group, size = np.array([end], "<u4").tobytes(), [], [], 0
         for text in texts:
-            if text and len(text) > 2 * self.TOGETHER:
+            special = bool(text and self.find and self.find.search(text))
+            if text and (special or len(text) > 2 * self.TOGETHER):
                 out += self._together(group, last) if group else []
-                out.append(self._long(text, last))
+                out.append(self._with_added(text, last) if special else self._long(text, last))
                 group, size = [], 0
                 continue
             group.append(text or "")

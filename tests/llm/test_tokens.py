@@ -13,7 +13,6 @@ from tests.llm.helpers import ROWS, docs, empty
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(tokens.default_vocabulary())
-    t.encode_special_tokens = True
     return lambda s, end: np.array(t.encode(s or "", add_special_tokens=False).ids + [end], "<u4")
 
 
@@ -65,6 +64,69 @@ def test_sequences_are_views(spark, plain):
         assert pa.ipc.open_stream(pa.memory_map(row.path.removeprefix("file:"))).schema == op1_token_files.file_schema(16, 50257)
 
 
+def test_special_tokens_as_the_library_has_them(plain):
+    coder = tokens.Encoder(tokens.default_vocabulary())
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext|>x", "<|endoftext|", "x" * 50 + " <|endoftext|>\n\nthe end"]
+    assert [x.tolist() for x in coder.ids(texts, 2)] == [plain(t, 2).tolist() for t in texts]
+    assert coder.ids(texts[:1], 2)[0].tolist() == [64, 50256, 65, 2]
+
+
+def test_many_rows_of_one_id_are_dealt_out(spark, plain):
+    rows = [(7 if i % 3 else None, f"text {i % 200}", None, None, None) for i in range(3000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = op1_token_files.write_token_files(docs(spark, rows), common.scratch_path(spark, "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r.n_docs for r in manifest.collect()) < 1500
+    out = op1_token_files.read_token_files(manifest).orderBy("start").collect()
+    assert [r.start for r in out] == np.cumsum([0, *(r.n_tokens for r in out[:-1])]).tolist() and [r.doc_id for r in out] == [None] * 1000 + [7] * 2000
+
+
+def plain_pack(sizes, length):
+    """Descending pieces to the cheapest sequence with room, cut at the widest where none has, by looking at all of them."""
+    room = op6_packing.room_for(sum(sizes), length)
+    used, cost = [0] * len(room), [0.0] * len(room)
+    waiting = sorted((-min(length, n - s), d, s) for d, n in enumerate(sizes) for s in range(0, n, length))
+    out = []
+    while waiting:
+        n, d, s = waiting.pop(0)
+        fits = [q for q in range(len(room)) if room[q] >= -n]
+        q = min(fits, key=lambda q: (cost[q], q)) if fits else min((q for q in range(len(room)) if room[q]), key=lambda q: (-room[q], cost[q], q))
+        part = min(-n, room[q])
+        out.append((d, s, part, q, used[q]))
+        used[q], room[q], cost[q] = used[q] + part, room[q] - part, cost[q] + part * (op6_packing.LINEAR + op6_packing.QUADRATIC * part)
+        if part < -n:
+            waiting = sorted(waiting + [(part + n, d, s + part)])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_is_the_plain_rule_and_balances_cost(seed):
+    r = random.Random(seed)
+    sizes = [r.choice([r.randint(1, 60), r.randint(1, 400), 1]) for _ in range(r.randint(1, 400))]
+    pieces = op6_packing.pack(sizes, 64)
+    assert pieces == plain_pack(sizes, 64)
+    if len(sizes) < 100:
+        return
+    # Cheaper to the dearest than filling sequences one after the other.
+    def dearest(found):
+        cost = {}
+        for _, _, n, q, _ in found:
+            cost[q] = cost.get(q, 0) + n * (1 + n / 64)
+        full = [c for q, c in cost.items()]
+        return max(full) - min(c for q, c in cost.items() if q < sum(sizes) // 64)
+
+    line, at = [], 0
+    for d, n in enumerate(sizes):
+        s = 0
+        while s < n:
+            part = min(n - s, 64 - at % 64)
+            line.append((d, s, part, at // 64, at % 64))
+            at, s = at + part, s + part
+    assert dearest(op6_packing.pack(sizes, 64, 1.0, 1 / 64)) <= dearest(line)
+
+
 def test_empty(spark):
     assert op1_token_files.read_token_files(op1_token_files.write_token_files(empty(spark), common.scratch_path(spark, "t"))).count() == 0
     assert op6_packing.pack_documents(empty(spark)).count() == 0
