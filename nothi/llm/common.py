@@ -42,10 +42,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage and outlives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+def materialize(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Write once to the shared folder and read back: cuts lineage and outlives lost executors.
+
+    ``batch`` bounds the rows that Python workers get at once, for this write alone.
+    """
+    path, conf, key = scratch_path(df.sparkSession, name), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    try:
+        conf.set(key, str(batch or before))
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -50,7 +50,7 @@ MOST = 16
 SEGMENT = {"k": 16, "d": 6}
 TAIL = b"#0123456789abcd;"
 #: Bytes of text whose windows are laid out at once.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 17
 _WORD = re.compile(r"\w+")
 
 
@@ -335,7 +335,8 @@ def score_column(model: Model, spark: SparkSession, text: str = "text") -> Colum
         if key not in _DISTANCES:
             _DISTANCES.clear()
             _DISTANCES[key] = Distance(sent.value.ordinary, sent.value.toxic)
-        return pd.Series(sent.value.score(texts.tolist(), _DISTANCES[key]))
+        parts = [sent.value.score(texts.iloc[at : at + 512].tolist(), _DISTANCES[key]) for at in range(0, len(texts), 512)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return score(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
