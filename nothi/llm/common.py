@@ -69,6 +69,9 @@ def open_fs(uri: str):
     """(filesystem, path) for a URI, for file access from Python workers."""
     import pyarrow.fs as pafs
 
+    # Hadoop's names of one store.
+    if uri.startswith(("s3a://", "s3n://")):
+        uri = "s3" + uri[3:]
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
 

@@ -5,11 +5,13 @@ page of each digest; a digest that occurs once needs no more. Pages are then joi
 pages on the digest, and every task writes its rows as gzip members with fresh headers: a ``response``
 with the payload, or a ``revisit`` that names the response and carries no payload.
 Digests with more than a thousandth of all rows, at most 1000 by that rule, are broadcast; the rows that
-met them get keys of their own for the shuffled join with the rest, so no task gets a hot digest.
+met them, and those that refer to none (small payloads, null page_ids), get keys of their own for the shuffled join with the rest, so no task gets a hot digest.
+A record's id is made of its page_id, payload digest and url, so different rows have different ids, and a task that is run again gives the same; its date is
+that of the writing.
 
 Null html is an empty payload. Payloads under 100 bytes are always responses. Rows with a null
 page_id are responses and never referred to; of rows that repeat a page_id and payload each with the smallest
-page_id is a response. Null urls are left out. An empty table gives no archive and no row. Extra columns are not read.
+page_id is a response (equal rows are one record, written as often). Very long html is held by one task a record at a time. Null urls are left out. An empty table gives no archive and no row. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import gzip
 import hashlib
 import uuid
 import zlib
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +29,13 @@ from pyspark.sql import functions as F
 from nothi.llm import common
 
 LEAST_BYTES, HOT, ROLL_BYTES = 100, 1000, 1 << 30
-DATE = "2024-01-01T00:00:00Z"
 #: Fixed value: the profile of the WARC standard for revisits by payload digest.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}') if page_id is not None else uuid.uuid4()}>"
+def record_id(page_id: int | None, digest: str, url: str | None) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{url}')}>"
 
 
 def _uri(url: str) -> str:
@@ -41,17 +43,17 @@ def _uri(url: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, n_bytes: int, digest: str, first: int | None, first_url: str | None, date: str = DATE) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, n_bytes: int, digest: str, first: int | None, first_url: str | None, date: str) -> bytes:
     """One WARC record as a gzip member."""
     revisit = first is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest, url)}", f"WARC-Date: {date}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_uri(url)}")
     lines += [f"WARC-Payload-Digest: sha256:{digest}"]
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {first}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first, digest, first_url)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {first}"]
         if first_url is not None:
             lines.append(f"WARC-Refers-To-Target-URI: {_uri(first_url)}")
     if page_id is not None:
@@ -87,14 +89,16 @@ def resolve(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     rest = firsts.filter(F.col("n") <= bound).select(F.col("digest").alias("key"), F.col("page_id").alias("rest_id"), F.col("url").alias("rest_url"))
     # At most HOT digests can each have more than 1 / HOT of the rows.
     met = rows.join(F.broadcast(hot), "digest", "left")
-    met = met.withColumn("key", F.when(F.col("hot_id").isNotNull(), F.concat_ws("#", "digest", F.col("page_id").cast("string"))).otherwise(F.col("digest")))
+    refers = F.col("hot_id").isNull() & (F.col("n_bytes") >= least) & F.col("page_id").isNotNull()
+    met = met.withColumn("key", F.when(refers, F.col("digest")).otherwise(F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))))
     both = met.join(rest, "key", "left").withColumn("first", F.coalesce("hot_id", "rest_id")).withColumn("first_url", F.coalesce("hot_url", "rest_url"))
     again = (F.col("page_id") > F.col("first")) & (F.col("n_bytes") >= least)
     return both.select("page_id", "url", F.when(F.coalesce(again, F.lit(False)), F.lit(None)).otherwise(F.col("payload")).alias("payload"), "n_bytes", "digest", F.when(again, F.col("first")).alias("first"), F.when(again, F.col("first_url")).alias("first_url"))
 
 
-def write_archives(pages: DataFrame, directory: str, least: int = LEAST_BYTES, roll: int = ROLL_BYTES) -> DataFrame:
-    """Writes deduplicated archives below ``directory``, which all executors share; returns path and n_records of each."""
+def write_archives(pages: DataFrame, directory: str, least: int = LEAST_BYTES, roll: int = ROLL_BYTES, date: str | None = None) -> DataFrame:
+    """Writes deduplicated archives below ``directory``, which all executors share; returns path and n_records of each. ``date`` defaults to now."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     schema = pa.schema([("path", pa.string()), ("n_records", pa.int64())])
 
     def write(batches):
@@ -106,7 +110,7 @@ def write_archives(pages: DataFrame, directory: str, least: int = LEAST_BYTES, r
                 if out is None:
                     uri, n, size = f"{directory}/pages-{part:06d}-{uuid.uuid4().hex[:8]}.warc.gz", 0, 0
                     out = common.create(uri)
-                data = record(row[0], row[1], row[2] or b"", *row[3:])
+                data = record(row[0], row[1], row[2] or b"", *row[3:], date)
                 out.write(data)
                 n, size = n + 1, size + len(data)
                 if size >= roll:

@@ -1,25 +1,27 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are summed per cell (source, language, topic). The cells' weights are raked to the target shares of
-each margin in turn until all agree; then each document is kept with its cell's probability, by a number that its
+each margin in turn until all agree (``rake`` warns, with the largest difference, if they do not after ``ROUNDS`` rounds, as with targets that no weights can meet); then each document is kept with its cell's probability, by a number that its
 doc_id fixes. The probability is ``keep`` times weight over tokens, and 1 where a cell has fewer tokens than its weight asks for. All of it is
 DataFrame operations; the rounds run over cells, a table that is cut from its lineage by a write to the shared folder.
 
 Targets default to smoothed shares of the corpus: a margin's share to the power ``smoothing``, made to add up to one.
 Tokens are runs of characters between white space. The topic is a rule on the text (``topic``) unless the table has a
 column for it. Null categories are a category of their own, null texts have no tokens and are kept with their cell's
-probability, rows with a null doc_id draw the number of the empty id, repeated rows draw the same number. An empty table gives no row.
+probability; very long texts are read whole by native functions. Rows with a null doc_id draw the number of the empty id, repeated rows draw the same number. An empty table gives no row.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nothi.llm import common
 
 MARGINS = ("source", "lang", "topic")
-SMOOTHING, KEEP, ROUNDS, CLOSE = 0.85, 0.5, 30, 1e-12
+SMOOTHING, KEEP, ROUNDS, CLOSE, AGREE = 0.85, 0.5, 30, 1e-12, 1e-6
 #: What a cell that no target knows is called.
 NONE = "(none)"
 
@@ -75,9 +77,18 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, keep: fl
         if (now.agg(F.max("moved")).head()[0] or 0.0) < close:
             break
         now = now.drop("moved")
+    far = margins(now, whole).agg(F.max(F.abs(F.col("share") - F.col("target")))).head()[0] or 0.0
+    if whole and far > AGREE:
+        warnings.warn(f"the margins do not agree after {rounds} rounds: a share is {far:.2g} from its target", stacklevel=2)
     return now.select(*MARGINS, "tokens", "w", F.least(F.lit(1.0), keep * F.col("w") / F.col("tokens")).alias("p"))
 
 
+def margins(raked: DataFrame, whole: float, weight: str = "w") -> DataFrame:
+    """margin, value, target and share: what the weights give each value, beside its target."""
+    of = lambda m: raked.groupBy(F.lit(m).alias("margin"), F.col(m).alias("value")).agg(F.first(f"t_{m}").alias("target"), (F.sum(weight) / (whole or 1.0)).alias("share"))
+    return of("source").union(of("lang")).union(of("topic"))
+
+
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP) -> DataFrame:
     """Units with p and kept. The documents are read twice; between, only cells are held."""
     rows = units(docs)

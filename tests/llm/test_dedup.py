@@ -35,6 +35,23 @@ def test_warc_hot_digest(spark):
     assert sum(r.record_type == "revisit" for r in out) == 199 and {r.refers_to for r in out} == {None, 1}
 
 
+def test_warc_shuffled_join_and_headers(spark, monkeypatch):
+    monkeypatch.setattr(op2_warc_revisit, "HOT", 1)  # no digest is hot
+    rows = [(i, f"u{i}", BIG + str(i % 40)) for i in range(300)] + [(i, "v", "short") for i in range(300, 340)] + [(7, "other", BIG + "x"), (None, "n", BIG), (None, "n", BIG)]
+    archives = op2_warc_revisit.write_archives(pages(spark, rows), common.scratch_path(spark, "w"), date="2030-05-06T07:08:09Z")
+    out = op2_warc_revisit.read_archives(archives).collect()
+    want = sorted([(i, "revisit", i % 40) if i >= 40 else (i, "response", None) for i in range(300)] + [(i, "response", None) for i in range(300, 340)] + [(7, "response", None)], key=repr)
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in out if r.page_id is not None), key=repr) == want
+    headers = []
+    for a in archives.collect():
+        with open(a.path.removeprefix("file:"), "rb") as f:
+            headers += [h for h, _ in op2_warc_revisit.read_records(f)]
+    assert {h["WARC-Date"] for h in headers} == {"2030-05-06T07:08:09Z"}
+    ids = {h["WARC-Record-ID"] for h in headers}
+    # The two equal rows are one record.
+    assert len(ids) == len(rows) - 1 and {h["WARC-Refers-To"] for h in headers if "WARC-Refers-To" in h} <= ids
+
+
 def test_warc_sql_and_empty(spark, sf_dir):
     assert same(op2_warc_revisit.op2_warc_revisit(spark, sf_dir), op2_warc_revisit.SQL, connect(sf_dir)) > 0
     assert op2_warc_revisit.read_archives(op2_warc_revisit.write_archives(pages(spark, []), common.scratch_path(spark, "w"))).count() == 0
