@@ -55,4 +55,4 @@ def test_targets_that_no_weights_meet(spark):
     cells = spark.createDataFrame([("a", "x", "t", 10.0), ("b", "y", "t", 10.0)], "source string, lang string, topic string, tokens double")
     targets = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "source string, target double"), "lang": spark.createDataFrame([("x", 0.1), ("y", 0.9)], "lang string, target double")}
     with pytest.warns(UserWarning, match="do not agree"):
-        op3_mixing.rake(cells, targets, rounds=3)
+        op3.rake(cells, targets, rounds=3)
