@@ -27,31 +27,27 @@ def columns(items: DataFrame, page: list[str] | None = None) -> DataFrame:
     A page under 150 wide is one column. Else each divider is the middle of the widest gap between neighbouring starts in its range; the first of equal gaps counts.
     """
     page = page or ["doc", "page"]
-    spans = items.groupBy(*page).agg(F.min("x").alias("_lo"), (F.max("x") - F.min("x")).alias("_range"))
-    located = items.join(spans, page)
-    narrow = located.filter(F.coalesce("width", F.lit(0.0)) < F.col("_range") * WIDE_SHARE)
-    edges = spans
+    whole, x = Window.partitionBy(*page), F.col("x")
+    placed = items.withColumns({"_lo": F.min("x").over(whole), "_range": (F.max("x").over(whole) - F.min("x").over(whole))})
+    narrow = F.coalesce("width", F.lit(0.0)) < F.col("_range") * WIDE_SHARE
+    # Windows by page and a flag need no exchange of their own.
     for name, (low, high, default) in (("_b1", FIRST), ("_b2", SECOND)):
-        at = narrow.filter((F.col("x") >= F.col("_lo") + F.col("_range") * low) & (F.col("x") <= F.col("_lo") + F.col("_range") * high)).select(*page, "x", "seq")
-        after = Window.partitionBy(*page).orderBy("x", "seq")
-        gaps = at.withColumn("_next", F.lead("x").over(after)).filter("_next is not null")
-        split = gaps.groupBy(*page).agg(F.max_by((F.col("x") + F.col("_next")) / 2, F.struct((F.col("_next") - F.col("x")).alias("g"), (-F.col("x")).alias("f"))).alias(name))
-        edges = edges.join(split, page, "left").withColumn(name, F.coalesce(name, F.col("_lo") + F.col("_range") * default))
-    placed = items.join(edges, page)
-    bucket = F.when(F.col("_range") < NARROW, 1).when(F.col("x") < F.col("_b1"), 1).when(F.col("x") < F.col("_b2"), 2).otherwise(3)
-    placed = placed.withColumn("_c", bucket)
-    used = placed.groupBy(*page).agg(F.sort_array(F.collect_set("_c")).alias("_used"))
-    return placed.join(used, page).withColumn("column", F.array_position("_used", F.col("_c")).cast("int")).drop("_lo", "_range", "_b1", "_b2", "_c", "_used")
-
-
-def _group_numbers(ordered: Column, tolerance: float) -> Column:
-    """Group number of each y of an array in descending order: a new group begins where y is over ``tolerance`` from the group's first."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(None).cast("double").alias("y"), F.lit(0).alias("n"))
+        placed = placed.withColumn("_in", F.coalesce(narrow & (x >= F.col("_lo") + F.col("_range") * low) & (x <= F.col("_lo") + F.col("_range") * high), F.lit(False)))
+        placed = placed.withColumn("_next", F.lead("x").over(Window.partitionBy(*page, "_in").orderBy("x", "seq")))
+        gap = F.when(F.col("_in") & F.col("_next").isNotNull(), F.struct((F.col("_next") - x).alias("g"), (-x).alias("f"), ((x + F.col("_next")) / 2).alias("at")))
+        placed = placed.withColumn(name, F.coalesce(F.max(gap).over(whole)["at"], F.col("_lo") + F.col("_range") * default))
+    bucket = F.when(F.col("_range") < NARROW, 1).when(x < F.col("_b1"), 1).when(x < F.col("_b2"), 2).otherwise(3)
+    placed = placed.withColumn("_c", bucket).withColumn("_used", F.sort_array(F.collect_set("_c").over(whole)))
+    return placed.withColumn("column", F.array_position("_used", F.col("_c")).cast("int")).drop("_lo", "_range", "_in", "_next", "_b1", "_b2", "_c", "_used")
+
+
+def _group_starts(ordered: Column, tolerance: float) -> Column:
+    """Places (from 0) in an array in descending order of y at which a group begins: where y is over ``tolerance`` from the group's first."""
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(None).cast("double").alias("y"), F.lit(0).alias("i"))
 
     def step(acc: Column, item: Column) -> Column:
         new = acc["y"].isNull() | (F.abs(item["y"] - acc["y"]) > tolerance)
-        n = F.when(new, acc["n"] + 1).otherwise(acc["n"])
-        return F.struct(F.concat(acc["out"], F.array(n)).alias("out"), F.when(new, item["y"]).otherwise(acc["y"]).alias("y"), n.alias("n"))
+        return F.struct(F.when(new, F.concat(acc["out"], F.array(acc["i"]))).otherwise(acc["out"]).alias("out"), F.when(new, item["y"]).otherwise(acc["y"]).alias("y"), (acc["i"] + 1).alias("i"))
 
     return F.aggregate(ordered, start, step)["out"]
 
@@ -59,8 +55,9 @@ def _group_numbers(ordered: Column, tolerance: float) -> Column:
 def line_groups(items: DataFrame, keys: list[str], tolerance: float = TOLERANCE) -> DataFrame:
     """Adds ``line`` (from 1, top to bottom) to the items of each key."""
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("y")).alias("_o"), F.col("x"), F.col("seq"), F.col("y"), F.col("str"), F.col("width"), F.col("height"))))
-    pages = items.groupBy(*keys).agg(ordered.alias("_i")).withColumn("_n", _group_numbers(F.col("_i"), tolerance))
-    return pages.select(*keys, F.explode(F.arrays_zip("_i", "_n")).alias("_p")).select(*keys, F.col("_p._n").alias("line"), *[F.col(f"_p._i.{c}").alias(c) for c in ("seq", "str", "x", "y", "width", "height")])
+    pages = items.groupBy(*keys).agg(ordered.alias("_i")).withColumn("_s", _group_starts(F.col("_i"), tolerance))
+    rows = pages.select(*keys, "_s", F.posexplode("_i").alias("_at", "_p"))
+    return rows.select(*keys, F.size(F.filter("_s", lambda s: s <= F.col("_at"))).alias("line"), *[F.col(f"_p.{c}").alias(c) for c in ("seq", "str", "x", "y", "width", "height")])
 
 
 def lines(items: DataFrame, keys: list[str], tolerance: float = TOLERANCE) -> DataFrame:

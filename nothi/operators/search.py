@@ -146,9 +146,8 @@ def newest(df: DataFrame, n: int, by: str, tie: str) -> DataFrame:
 
 
 def retained(df: DataFrame, n: int, by: str, tie: str) -> DataFrame:
-    """The newest n rows, found by a bounded top-n and joined back, so no task sorts the table."""
-    last = newest(df.select(by, tie), n, by, tie)
-    return df.join(F.broadcast(last), [by, tie], "left_semi")
+    """The newest n rows and no more, also where ``by`` and ``tie`` repeat; a bounded top-n, so no task sorts the table."""
+    return newest(df, n, by, tie)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

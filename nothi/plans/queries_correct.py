@@ -8,7 +8,7 @@ from nothi.functions import lookups
 from nothi.operators import correct
 from nothi.plans import repair
 from nothi.plans.dashboard import lookup_stats
-from nothi.plans.registry import PEOPLE, PLACES, people, query, quote, table, values
+from nothi.plans.registry import PEOPLE, PLACES, cases, cases_sql, people, query, quote, table, values
 
 _ENTRIES = ["small", "large", "steel", "copper", "green", "red", "blue"]
 _LIST = ", ".join(f"({i}, {quote(e)})" for i, e in enumerate(_ENTRIES))
@@ -29,37 +29,38 @@ def levenshtein_best_match(spark, sf_dir):
 WORDS = [("শখ", "শেখ", "EXACT_MISSPELLING"), ("কমিশন", "কমিশন", "EXACT_DICTIONARY"), ("নির্বাচনে", "নির্বাচন", "FUZZY_MATCH"), ("তালীকা", "তালিকা", "FUZZY_MATCH"), ("xyz", "xyz", "NO_MATCH")]
 
 
-@query(values([(w, c, m) for w, c, m in WORDS], ["word", "corrected", "method"]))
+@query(cases_sql(WORDS, ["word", "corrected", "method"]))
 def word_correct(spark, sf_dir):
     """C10, J2, J3."""
-    return correct.correct_words(spark.createDataFrame([(w,) for w, _, _ in WORDS], "word string"), "word").select("word", "corrected", "method")
+    return correct.correct_words(cases(spark, sf_dir, [(w,) for w, _, _ in WORDS], "word string"), "word").select("id", "word", "corrected", "method")
 
 
 #: (id, name, corrected, method)
 FULL_NAMES = [(1, "মুহাম্মদ করীম", "মোহাম্মদ করিম", "WORD_BY_WORD"), (2, "রহিম হোসেন", "রহিম হোসেন", "NO_MATCH"), (3, "abc", "abc", "NOT_A_NAME"), (4, "আহমদ আলি", "আহমেদ আলী", "WORD_BY_WORD"), (5, "ফাতিমা খাতুন বেগম", "ফাতেমা খাতুন বেগম", "WORD_BY_WORD")]
 
 
-@query(values([(i, c, m) for i, _, c, m in FULL_NAMES], ["id", "corrected", "method"]))
+@query(cases_sql([(c, m) for _, _, c, m in FULL_NAMES], ["corrected", "method"]))
 def correct_name(spark, sf_dir):
     """Surnames win over first names."""
-    d = spark.createDataFrame([(i, n) for i, n, _, _ in FULL_NAMES], "id long, name string")
+    d = cases(spark, sf_dir, [(n,) for _, n, _, _ in FULL_NAMES], "name string")
     return correct.correct_names(d, "name", "id").select("id", "corrected", "method")
 
 
-@query(values([(1, "name", "করিম হোসেন"), (1, "father", "মোহাম্মদ আলী"), (2, "father", "ফাতেমা")], ["id", "field", "corrected"]))
+@query(f"""WITH c AS ({cases_sql([("করিম হোসেন", "মোহাম্মদ আলী"), (None, "ফাতেমা"), (None, None)], ["a", "b"])})
+  SELECT id, 'name' AS field, a AS corrected FROM c WHERE a IS NOT NULL UNION ALL SELECT id, 'father', b FROM c WHERE b IS NOT NULL""")
 def person_names(spark, sf_dir):
     """Several name fields at once."""
-    d = spark.createDataFrame([(1, "করীম হোসেন", "মুহাম্মদ আলি"), (2, "রহিম", "ফাতিমা"), (3, "", None)], "id long, name string, father string")
+    d = cases(spark, sf_dir, [("করীম হোসেন", "মুহাম্মদ আলি"), ("রহিম", "ফাতিমা"), ("", None)], "name string, father string")
     return correct.correct_person_names(d, "id", ["name", "father"]).select("id", "field", "corrected")
 
 
 TEXTS = [(1, "বগম বগম", "বেগম বেগম", 1), (2, "বগমপুর", "বগমপুর", 0), (3, "নিবাচন কিমশন", "নির্বাচন কমিশন", 2), (4, "", "", 0), (5, "ভাটার তািলকা।", "ভোটার তালিকা।", 2)]
 
 
-@query(values([(i, c, n) for i, _, c, n in TEXTS], ["id", "corrected", "n"]))
+@query(cases_sql([(c, n) for _, _, c, n in TEXTS], ["corrected", "n"]))
 def correct_text_words(spark, sf_dir):
     """C11: word bounds, table order, and how many entries fired."""
-    d = spark.createDataFrame([(i, t) for i, t, _, _ in TEXTS], "id long, t string")
+    d = cases(spark, sf_dir, [(t,) for _, t, _, _ in TEXTS], "t string")
     return d.withColumn("r", correct.correct_text("t")).select("id", "r.corrected", F.col("r.n").cast("long").alias("n"))
 
 
@@ -77,10 +78,10 @@ def canonical_map(spark, sf_dir):
 ASKED = [("চট্টগ্রম", "চট্টগ্রাম", "EXACT_MATCH"), (" খুলনা ", "খুলনা", "EXACT_MATCH"), ("রাজশাহি", "রাজশাহী", "FUZZY_MATCH"), ("xyz", None, "NOT_FOUND"), ("", None, "NOT_FOUND")]
 
 
-@query(values([(i, c, m) for i, (_, c, m) in enumerate(ASKED)], ["id", "canonical", "method"]))
+@query(cases_sql([(c, m) for _, c, m in ASKED], ["canonical", "method"]))
 def district_validate(spark, sf_dir):
     """J5, C19."""
-    d = spark.createDataFrame([(i, a) for i, (a, _, _) in enumerate(ASKED)], "id long, district string")
+    d = cases(spark, sf_dir, [(a,) for a, _, _ in ASKED], "district string")
     return correct.validate_districts(d, "district").select("id", "canonical", F.col("district_method").alias("method"))
 
 
@@ -94,10 +95,10 @@ def division_rollup(spark, sf_dir):
 ADDRESSES = [("খুলনা", "দৌলতপুর", True, "খুলনা", "দৌলতপুর", 0), ("খুলন", "তেরখাদ", True, "খুলনা", "তেরখাদা", 2), ("xyz", "দৌলতপুর", False, "xyz", "দৌলতপুর", 0), ("ঢাকা", "কোথাও", True, "ঢাকা", "কোথাও", 0), ("", "দৌলতপুর", True, "", "দৌলতপুর", 2), ("সিলেট", "কোথাওনয়", True, "সিলেট", "কোথাওনয়", 1)]
 
 
-@query(values([(i, *a[2:]) for i, a in enumerate(ADDRESSES)], ["id", "valid", "d", "u", "warnings"]))
+@query(cases_sql([a[2:] for a in ADDRESSES], ["valid", "d", "u", "warnings"]))
 def address_validate(spark, sf_dir):
     """An invalid district leaves the upazila alone; districts without data accept any."""
-    d = spark.createDataFrame([(i, *a[:2]) for i, a in enumerate(ADDRESSES)], "id long, district string, upazila string")
+    d = cases(spark, sf_dir, [a[:2] for a in ADDRESSES], "district string, upazila string")
     return correct.validate_addresses(d).select("id", "valid", F.col("corrected_district").alias("d"), F.col("corrected_upazila").alias("u"), F.size("warnings").cast("long").alias("warnings"))
 
 
@@ -153,32 +154,33 @@ def row_diff(spark, sf_dir):
     return repair.differences(old, new, "p_partkey", ["p_name", "p_brand"])
 
 
-#: Six records with what is wrong in them.
+#: Records with what is wrong in them.
 RECORDS = [(1, "করীম হোসেন", "রহিম আলী", "বগম", "কৃযক", "খুলন", "দৌলতপুর"), (2, "রহিম আলী", "কামাল হোসেন", "সালমা বেগম", "শিক্ষক", "খুলনা", "দৌলতপুর"), (3, "abc", "", None, "", "xyz", "")]
 _FIXED = [(1, "করিম হোসেন", "বেগম", "কৃষক", "খুলনা", 2, 1, 1), (2, "রহিম আলী", "সালমা বেগম", "শিক্ষক", "খুলনা", 0, 0, 0), (3, "abc", None, "", "xyz", 0, 0, 0)]
 
 
-def _records(spark):
-    return spark.createDataFrame(RECORDS, "id long, name string, father string, mother string, occupation string, district string, upazila string")
+def _records(spark, sf_dir):
+    return cases(spark, sf_dir, [r[1:] for r in RECORDS], "name string, father string, mother string, occupation string, district string, upazila string")
 
 
-@query(values(_FIXED, ["id", "name", "mother", "occupation", "district", "n_dict", "n_name", "n_geo"]))
+@query(cases_sql([r[1:] for r in _FIXED], ["name", "mother", "occupation", "district", "n_dict", "n_name", "n_geo"]))
 def corrections(spark, sf_dir):
     """Misreadings, names, places, with counts by kind."""
-    d = repair.corrected(_records(spark))
+    d = repair.corrected(_records(spark, sf_dir))
     return d.select("id", "name", "mother", "occupation", "district", *[F.col(f"n_{k}").cast("long").alias(f"n_{k}") for k in ("dict", "name", "geo")])
 
 
-@query(values([(3, 1, 2, 1, 1, 4)], ["processed", "modified", "dict", "name", "geo", "total"]))
+@query(f"""WITH c AS ({cases_sql([r[5:] for r in _FIXED], ["d", "n", "g"])}), s AS (SELECT count(*) AS processed, count_if(d + n + g > 0) AS modified, sum(d) AS d, sum(n) AS n, sum(g) AS g FROM c)
+  SELECT processed, modified, CAST(d AS BIGINT) AS dict, CAST(n AS BIGINT) AS name, CAST(g AS BIGINT) AS geo, CAST(d + n + g AS BIGINT) AS total FROM s""")
 def repair_summary(spark, sf_dir):
     """A10, A11, U3."""
-    return repair.repair(_records(spark))[1].select("processed", "modified", "dict", "name", "geo", "total")
+    return repair.repair(_records(spark, sf_dir))[1].select("processed", "modified", "dict", "name", "geo", "total")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) || '!' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey <= 120")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) || '!' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def outside_corrections(spark, sf_dir):
     """Batches through an outside corrector."""
-    return repair.outside_corrections(table(spark, sf_dir, "customer").filter("c_custkey <= 120").select("c_custkey", "c_mktsegment"), _shout, ["c_mktsegment"])
+    return repair.outside_corrections(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), _shout, ["c_mktsegment"])
 
 
 def _shout(rows: list[dict]) -> list[dict]:

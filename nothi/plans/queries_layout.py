@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nothi.functions import bengali, misc
 from nothi.operators import detect, extract, layout
-from nothi.plans.registry import PEOPLE, people, query, quote, table, values
+from nothi.plans.registry import PEOPLE, cases, cases_sql, people, query, quote, table, values
 from nothi.plans.repair import records_from_items
 
 _ITEMS = "SELECT CAST(l_orderkey % 97 AS VARCHAR) AS doc, 3 + CAST(l_orderkey % 5 AS INTEGER) AS page, l_orderkey * 10 + l_linenumber AS seq, l_returnflag || l_linenumber AS str, CAST((l_partkey * 7) % 600 AS DOUBLE) AS x, CAST(800 - (l_suppkey % 60) * 10 AS DOUBLE) AS y, CAST(l_quantity * 2 AS DOUBLE) AS width, CAST(9 AS DOUBLE) AS height FROM lineitem"
@@ -123,10 +123,10 @@ def ward_from_text(spark, sf_dir):
 BLOBS = [(1, b"%PDF-1.4\n" + b"x" * 200, True, None, "1.4"), (2, b"hello world" * 30, False, "no PDF header", ""), (3, b"", False, "too small", ""), (4, b"%PDF-1.7\n12345", False, "truncated", "")]
 
 
-@query(values([(i, v, e, n) for i, _, v, e, n in BLOBS], ["id", "valid", "error", "version"]))
+@query(cases_sql([b[2:] for b in BLOBS], ["valid", "error", "version"]))
 def pdf_integrity(spark, sf_dir):
     """S28."""
-    d = spark.createDataFrame([(i, bytearray(b)) for i, b, *_ in BLOBS], "id long, content binary")
+    d = cases(spark, sf_dir, [(bytearray(b[1]),) for b in BLOBS], "content binary")
     return d.withColumn("r", detect.integrity("content")).select("id", "r.valid", "r.error", "r.version")
 
 

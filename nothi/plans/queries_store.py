@@ -48,10 +48,10 @@ def removed_by_source(spark, sf_dir):
     return store.removed_count(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'"), "l_orderkey", "o_orderkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
 def delete_by_ids(spark, sf_dir):
     """Anti join with a list of ids."""
-    return store.without_ids(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey").select("c_custkey", "c_name")
+    return store.without_ids(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").filter("o_totalprice > 150000"), "c_custkey", "o_custkey").select("c_custkey", "c_name")
 
 
 @query(f"SELECT id, query FROM ({_LOGS}) ORDER BY date_time DESC, id DESC LIMIT 1000")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nothi.functions import bengali, decode, misc
-from nothi.plans.registry import PEOPLE, key_sql, people, query, quote, table, values
+from nothi.plans.registry import PEOPLE, cases, cases_sql, key_sql, people, query, quote, table
 
 E, A, I_, AU, H = chr(0x9C7), chr(0x9BE), chr(0x9BF), chr(0x9D7), chr(0x9CD)
 SH, KH, T, R = chr(0x9B6), chr(0x996), chr(0x9A4), chr(0x9B0)
@@ -15,10 +15,6 @@ MARKED = [(1, bengali.MARK + E + SH), (2, bengali.MARK + I_ + SH + H + R + T), (
 LEADING = [(1, E + SH), (2, SH + E), (3, "a" + I_ + T), (4, I_ + E), (5, "")]
 
 
-def _frame(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
-
-
 @query(f"WITH {PEOPLE} SELECT id, {key_sql('name')} AS key, {key_sql('village')} AS village_key FROM people")
 def search_keys(spark, sf_dir):
     """C1, C2."""
@@ -31,31 +27,31 @@ def _merged(x: str) -> str:
     return x
 
 
-@query(f"SELECT id, {_merged('coalesce(s, ' + quote('') + ')')} AS s FROM ({values(SIGNS, ['id', 's'])})")
+@query(f"SELECT id, {_merged('coalesce(s, ' + quote('') + ')')} AS s FROM ({cases_sql([(s,) for _, s in SIGNS], ['s'])})")
 def complex_signs(spark, sf_dir):
     """C28."""
-    return _frame(spark, SIGNS, "id long, s string").select("id", bengali.merge_signs("s").alias("s"))
+    return cases(spark, sf_dir, [(s,) for _, s in SIGNS], "s string").select("id", bengali.merge_signs("s").alias("s"))
 
 
 _C = bengali.CONSONANT
 
 
-@query(f"SELECT id, replace(regexp_replace(s, '{bengali.MARK}({bengali.PRE_SIGN})({_C}(?:{H}{_C})*)', '\\2\\1', 'g'), '{bengali.MARK}', '') AS s FROM ({values(MARKED, ['id', 's'])})")
+@query(f"SELECT id, replace(regexp_replace(s, '{bengali.MARK}({bengali.PRE_SIGN})({_C}(?:{H}{_C})*)', '\\2\\1', 'g'), '{bengali.MARK}', '') AS s FROM ({cases_sql([(s,) for _, s in MARKED], ['s'])})")
 def reorder_pre_signs(spark, sf_dir):
     """C24."""
-    return _frame(spark, MARKED, "id long, s string").select("id", bengali.reorder_pre_signs("s").alias("s"))
+    return cases(spark, sf_dir, [(s,) for _, s in MARKED], "s string").select("id", bengali.reorder_pre_signs("s").alias("s"))
 
 
-@query(values([(1, bengali.MARK + E + SH), (2, SH + E), (3, "a" + bengali.MARK + I_ + T), (4, bengali.MARK + I_ + bengali.MARK + E), (5, "")], ["id", "s"]))
+@query(cases_sql([(bengali.MARK + E + SH,), (SH + E,), ("a" + bengali.MARK + I_ + T,), (bengali.MARK + I_ + bengali.MARK + E,), ("",)], ["s"]))
 def mark_pre_signs(spark, sf_dir):
     """C23; SQL has no look-behind, so its rows are given."""
-    return _frame(spark, LEADING, "id long, s string").select("id", bengali.mark_pre_signs("s").alias("s"))
+    return cases(spark, sf_dir, [(s,) for _, s in LEADING], "s string").select("id", bengali.mark_pre_signs("s").alias("s"))
 
 
-@query("SELECT doc_id, nfc_normalize(coalesce(text, '')) AS s FROM documents WHERE lang <> 'en'")
+@query("SELECT doc_id, nfc_normalize(coalesce(text, '')) AS s FROM documents")
 def normal_form(spark, sf_dir):
     """C33."""
-    return table(spark, sf_dir, "documents").filter("lang <> 'en'").select("doc_id", decode.nfc("text").alias("s"))
+    return table(spark, sf_dir, "documents").select("doc_id", decode.nfc("text").alias("s"))
 
 
 def _n(x: str, chars: str) -> str:
@@ -89,56 +85,56 @@ def digits_bn(spark, sf_dir):
 NUMBERS = [("১২,৩৪৫", 12345), ("12abc", 12), ("abc", 0), ("-5", -5), (" 1 2 ", 12), ("", 0), (None, 0), ("০০৭.", 7)]
 
 
-@query(values([(i, n) for i, (_, n) in enumerate(NUMBERS)], ["id", "n"]))
+@query(cases_sql([(n,) for _, n in NUMBERS], ["n"]))
 def parse_number(spark, sf_dir):
     """C34."""
-    return _frame(spark, [(i, s) for i, (s, _) in enumerate(NUMBERS)], "id long, s string").select("id", bengali.parse_number("s").alias("n"))
+    return cases(spark, sf_dir, [(s,) for s, _ in NUMBERS], "s string").select("id", bengali.parse_number("s").alias("n"))
 
 
 GLYPHS = [("Avwg", "অ" + A + "মি"), ("†kL", "শেখ"), ("wcZv", "পিতা"), ("123", "১২৩"), ("", "")]
 
 
-@query(values([(i, t) for i, (_, t) in enumerate(GLYPHS)], ["id", "s"]))
+@query(cases_sql([(t,) for _, t in GLYPHS], ["s"]))
 def glyph_convert(spark, sf_dir):
     """Glyphs to Unicode."""
-    return _frame(spark, [(i, s) for i, (s, _) in enumerate(GLYPHS)], "id long, s string").select("id", decode.convert("s").alias("s"))
+    return cases(spark, sf_dir, [(s,) for s, _ in GLYPHS], "s string").select("id", decode.convert("s").alias("s"))
 
 
-AUTO = [("", None, "", "unknown"), ("শেখ", None, "শেখ", "unicode"), ("কিমশন", None, "কমিশন", "unicode"), ("Avwg", "bijoy", "অ" + A + "মি", "bijoy"), ("Avwg", "other", "অ" + A + "মি", "other"), ("†kL ‡gvt", None, "শেখ মোঃ", "unicode")]
+AUTO = [("", None, "", "unknown"), ("শেখ", None, "শেখ", "unicode"), ("কিমশন", None, "কমিশন", "unicode"), ("Avwg", "bijoy", "অ" + A + "মি", "bijoy"), ("Avwg", "other", "অ" + A + "মি", "other"), ("†kL ‡gvt", None, "†kL ‡gvt", "unicode")]
 
 
-@query(values([(i, t, e) for i, (_, _, t, e) in enumerate(AUTO[:5])], ["id", "s", "encoding"]))
+@query(cases_sql([(t, e) for _, _, t, e in AUTO], ["s", "encoding"]))
 def auto_convert(spark, sf_dir):
-    """A hint beats detection, an unknown one takes the first legacy table."""
-    return _frame(spark, [(i, s, h) for i, (s, h, _, _) in enumerate(AUTO[:5])], "id long, s string, hint string").withColumn("r", decode.auto_convert("s", F.col("hint"))).select("id", F.col("r.text").alias("s"), "r.encoding")
+    """A hint beats detection, an unknown one takes the first legacy table; legacy text without telling letters is not detected."""
+    return cases(spark, sf_dir, [(s, h) for s, h, _, _ in AUTO], "s string, hint string").withColumn("r", decode.auto_convert("s", F.col("hint"))).select("id", F.col("r.text").alias("s"), "r.encoding")
 
 
 REPAIRED = [("বগম", False, "বেগম"), ("বগমপুর", False, "বগমপুর"), ("বগমপুর", True, "বেগমপুর"), ("বগম বগম  হসন", False, "বেগম বেগম হোসেন"), ("  কিমশন ", False, "কমিশন")]
 
 
-@query(values([(i, t) for i, (_, _, t) in enumerate(REPAIRED)], ["id", "s"]))
+@query(cases_sql([(t,) for _, _, t in REPAIRED], ["s"]))
 def repair_text(spark, sf_dir):
     """Whole words, and inside words when strict."""
-    d = _frame(spark, [(i, s, k) for i, (s, k, _) in enumerate(REPAIRED)], "id long, s string, strict boolean")
+    d = cases(spark, sf_dir, [(s, k) for s, k, _ in REPAIRED], "s string, strict boolean")
     return d.select("id", F.when(F.col("strict"), decode.repair("s", strict=True)).otherwise(decode.repair("s")).alias("s"))
 
 
 PLACED = [("িপতা: রহিম", "পিতা: রহিম"), (I_ + T + R, T + I_ + R), ("a " + E + SH, "a " + SH + E), ("", "")]
 
 
-@query(values([(i, t) for i, (_, t) in enumerate(PLACED)], ["id", "s"]))
+@query(cases_sql([(t,) for _, t in PLACED], ["s"]))
 def place_pre_signs(spark, sf_dir):
     """C29."""
-    return _frame(spark, [(i, s) for i, (s, _) in enumerate(PLACED)], "id long, s string").select("id", decode.place_pre_signs("s").alias("s"))
+    return cases(spark, sf_dir, [(s,) for s, _ in PLACED], "s string").select("id", decode.place_pre_signs("s").alias("s"))
 
 
 PREFIXED = [("নাম: রহিম", "রহিম"), ("নামঃ- করিম ", "ঃ- করিম"), ("\u200bনাম কামাল", "কামাল"), (": . সালমা", "সালমা"), ("", ""), (None, "")]
 
 
-@query(values([(i, t) for i, (_, t) in enumerate(PREFIXED)], ["id", "s"]))
+@query(cases_sql([(t,) for _, t in PREFIXED], ["s"]))
 def name_prefix(spark, sf_dir):
     """X5."""
-    return _frame(spark, [(i, s) for i, (s, _) in enumerate(PREFIXED)], "id long, s string").select("id", bengali.clean_name_prefix("s").alias("s"))
+    return cases(spark, sf_dir, [(s,) for s, _ in PREFIXED], "s string").select("id", bengali.clean_name_prefix("s").alias("s"))
 
 
 @query(f"""SELECT o_orderkey, translate(CAST(day(o_orderdate) AS VARCHAR) || '/' || CAST(month(o_orderdate) AS VARCHAR) || '/' || CAST(year(o_orderdate) AS VARCHAR), '0123456789', {quote(bengali.DIGITS_BN)}) AS dob FROM orders""")
@@ -156,10 +152,10 @@ def display_texts(spark, sf_dir):
     return p.select("p_partkey", misc.ellipsis(F.concat_ws(" ", "p_name", "p_type")).alias("short"), misc.file_safe("p_name").alias("file"), misc.size_mb(F.col("p_partkey") * 123457.0).alias("size"))
 
 
-@query("SELECT doc_id, left(text, 200) AS s FROM documents WHERE lang <> 'en'")
+@query("SELECT doc_id, coalesce(text, '') AS s FROM documents")
 def latin1_names(spark, sf_dir):
     """Text that was read with the wrong character set, put right."""
-    d = table(spark, sf_dir, "documents").filter("lang <> 'en'").select("doc_id", F.left("text", F.lit(200)).alias("t"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     wrong = F.decode(F.encode("t", "UTF-8"), "ISO-8859-1")
     return d.select("doc_id", misc.latin1_to_utf8(wrong).alias("s"))
 
@@ -167,10 +163,10 @@ def latin1_names(spark, sf_dir):
 FENCED = [('```json\n{"a": 1, "b": "x"}\n```', 1, "x"), ('{"a": 2}', 2, None), ("```\n{\"b\": \"y\"}\n```", 0, "y")]
 
 
-@query(values([(i, a, b) for i, (_, a, b) in enumerate(FENCED)], ["id", "a", "b"]))
+@query(cases_sql([(a, b) for _, a, b in FENCED], ["a", "b"]))
 def fenced_json(spark, sf_dir):
     """C42."""
-    return _frame(spark, [(i, s) for i, (s, _, _) in enumerate(FENCED)], "id long, s string").withColumn("j", misc.unfenced_json("s", "a long, b string")).select("id", F.coalesce("j.a", F.lit(0)).alias("a"), "j.b")
+    return cases(spark, sf_dir, [(s,) for s, _, _ in FENCED], "s string").withColumn("j", misc.unfenced_json("s", "a long, b string")).select("id", F.coalesce("j.a", F.lit(0)).alias("a"), "j.b")
 
 
 @query(f"""WITH {PEOPLE} SELECT id, coalesce(nullif(array_to_string(list_filter([CASE WHEN name <> '' THEN 'নাম: ' || name END, CASE WHEN father <> '' THEN 'পিতা: ' || father END, CASE WHEN village <> '' THEN 'গ্রাম/মহল্লা: ' || village END], lambda x: x IS NOT NULL), ', '), ''), {quote(misc.SEARCH_ANY)}) AS summary,

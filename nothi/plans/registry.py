@@ -50,6 +50,18 @@ def values(rows: list[tuple], names: list[str]) -> str:
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") AS t({', '.join(names)})"
 
 
+def cases(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str) -> DataFrame:
+    """Every customer as ``id`` with one of the given rows, in turn by its key."""
+    given = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"_k int, {schema}")
+    turn = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % len(rows)).cast("int").alias("_k"))
+    return turn.join(F.broadcast(given), "_k").drop("_k")
+
+
+def cases_sql(rows: list[tuple], names: list[str]) -> str:
+    """The same in SQL, with what is expected of each row."""
+    return f"SELECT c.c_custkey AS id, {', '.join(names)} FROM customer c JOIN ({values([(k, *r) for k, r in enumerate(rows)], ['_k', *names])}) v ON c.c_custkey % {len(rows)} = v._k"
+
+
 def pick(words: list[str], key: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), (F.pmod(key, F.lit(len(words))) + 1).cast("int"))
 
