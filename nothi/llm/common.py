@@ -42,18 +42,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage and outlives lost executors.
+#: What Python workers get of whole texts at once.
+BATCH_BYTES, _BATCH = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
-    ``batch`` bounds the rows that Python workers get at once, for this write alone.
-    """
-    path, conf, key = scratch_path(df.sparkSession, name), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
+
+def small_batches(spark: SparkSession) -> None:
+    """For tables that an operator returns unwritten: the session's limit, unless it is set lower or by the caller."""
+    if spark.conf.get(_BATCH) in ("64MB", "67108864b", str(64 << 20)):
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder, by small batches, and read back: cuts lineage and outlives lost executors."""
+    path, conf = scratch_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(_BATCH)
     try:
-        conf.set(key, str(batch or before))
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
         df.write.parquet(path)
     finally:
-        conf.set(key, before)
+        conf.set(_BATCH, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

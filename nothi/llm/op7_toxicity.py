@@ -327,6 +327,7 @@ _DISTANCES: dict[int, Distance] = {}
 
 
 def score_column(model: Model, spark: SparkSession, text: str = "text") -> Column:
+    common.small_batches(spark)
     key = zlib.crc32(model.ordinary + model.toxic)
     sent = spark.sparkContext.broadcast(model)
 
