@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -72,6 +73,22 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_memory() -> None:
+    """Gives back what a Python worker holds but does not use: workers live on from stage to stage, beside those of the next one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def freeing(batches):
+    """The batches; after each, memory is given back."""
+    for b in batches:
+        yield b
+        del b
+        free_memory()
+
+
 def open_fs(uri: str):
     """(filesystem, path) for a URI, for file access from Python workers."""
     import pyarrow.fs as pafs

@@ -337,6 +337,7 @@ def score_column(model: Model, spark: SparkSession, text: str = "text") -> Colum
             _DISTANCES.clear()
             _DISTANCES[key] = Distance(sent.value.ordinary, sent.value.toxic)
         parts = [sent.value.score(texts.iloc[at : at + 512].tolist(), _DISTANCES[key]) for at in range(0, len(texts), 512)]
+        common.free_memory()
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return score(F.coalesce(F.col(text).cast("string"), F.lit("")))
