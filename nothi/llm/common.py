@@ -81,8 +81,20 @@ def free_memory() -> None:
         trim(0)
 
 
-def freeing(batches):
+#: What workers keep from task to task, by kind of work.
+WORKER_CACHES: dict[str, dict] = {}
+
+
+def keep_only(kind: str | None) -> None:
+    """A worker that turns to other work forgets what it kept for the work before."""
+    for k, cache in WORKER_CACHES.items():
+        if k != kind:
+            cache.clear()
+
+
+def freeing(batches, kind: str | None = None):
     """The batches; after each, memory is given back."""
+    keep_only(kind)
     for b in batches:
         yield b
         del b

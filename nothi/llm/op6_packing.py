@@ -142,7 +142,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end: int = EN
                 columns = zip(*rows[at : at + 8192])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-        for b in common.freeing(batches):
+        for b in common.freeing(batches, "tokens"):
             for doc_id, ids in zip(b.column(0).to_pylist(), coder.ids(b.column(1).to_pylist(), end)):
                 names.append(doc_id)
                 held.append(np.asarray(ids))

@@ -268,7 +268,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def choose(batches):
         room, kept, last = {0: FIT_CHARS, 1: FIT_CHARS}, {0: [], 1: []}, None
-        for b in batches:
+        for b in common.freeing(batches, "toxicity"):
             for doc_id, text, toxic in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
                 if doc_id != last and len(text) <= room[toxic]:
                     room[toxic] -= len(text)
@@ -290,6 +290,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     schema = pa.schema([("side", pa.int32()), ("ordinary", pa.binary()), ("toxic", pa.binary())])
 
     def make(t: pa.Table) -> pa.Table:
+        common.keep_only("toxicity")
+        common.free_memory()
         rows = sorted(zip(t.column("text").to_pylist(), t.column("toxic").to_pylist()))
         toxic, ordinary = ([x for x, y in rows if y == k] for k in (1, 0))
         pair = dictionaries(toxic, ordinary) if toxic and ordinary else (b"", b"")
@@ -303,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def count(batches):
         held: dict[int, Distance] = {}
-        for b in batches:
+        for b in common.freeing(batches, "toxicity"):
             for half in (0, 1):
                 part = b.filter(pc.equal(b.column("half"), half))
                 if part.num_rows:
@@ -324,6 +326,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 _DISTANCES: dict[int, Distance] = {}
+common.WORKER_CACHES["toxicity"] = _DISTANCES
 
 
 def score_column(model: Model, spark: SparkSession, text: str = "text") -> Column:
@@ -336,6 +339,7 @@ def score_column(model: Model, spark: SparkSession, text: str = "text") -> Colum
         if key not in _DISTANCES:
             _DISTANCES.clear()
             _DISTANCES[key] = Distance(sent.value.ordinary, sent.value.toxic)
+        common.keep_only("toxicity")
         parts = [sent.value.score(texts.iloc[at : at + 512].tolist(), _DISTANCES[key]) for at in range(0, len(texts), 512)]
         common.free_memory()
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))

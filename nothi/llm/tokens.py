@@ -14,11 +14,14 @@ import re
 
 import numpy as np
 
+from nothi.llm import common
+
 #: The code points with the Unicode property White_Space.
 WHITE_SPACE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _SEGMENT = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 _CUT = re.compile(f"(?<=[^{WHITE_SPACE}])[{WHITE_SPACE}]")
 _ENCODERS: dict[str, "Encoder"] = {}
+common.WORKER_CACHES["tokens"] = _ENCODERS
 
 
 def default_vocabulary() -> str:
