@@ -24,7 +24,7 @@ def test_stages(spark, sf_dir):
 def test_order_and_registration():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "mixture", "packing"]
     assert registry.queries()["pipeline"] is corpus_pipeline.run
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries() if n.startswith("op")) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
