@@ -1,20 +1,21 @@
 """Correction against lookup tables: exact first, then the most alike.
 
-Lookups are small and of checked size (``lookups.from_table``), so they are literals of the plan or broadcast. Fuzzy matching
-compares distinct words only and joins the results back, so its cost follows the vocabulary and not the rows. Of equally alike entries
+Lookups are tables: lists of checked size are broadcast, and nothing of them stands in the plan. Fuzzy matching asks an index
+(``fuzzy``) with distinct words only and joins the results back, so its cost follows the vocabulary and not the rows. Of equally alike entries
 the first in the table wins; a match must exceed the threshold.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nothi.functions import lookups, names
 from nothi.functions.bengali import SPACE, skeleton, strip, text
 from nothi.functions.decode import fold
 from nothi.functions.similarity import similarity
+from nothi.operators.fuzzy import best_match, looked_up
 
 WORD, NAME, NAME_INGEST, PLACE = 0.75, 0.70, 0.80, 0.70
 
@@ -23,53 +24,13 @@ def as_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair]) if pairs else F.expr("cast(map() as map<string,string>)")
 
 
-def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def best_match(distinct: DataFrame, column: str, entries: list[str], threshold: float, phonetic: bool = False, margin: float = 0.0) -> DataFrame:
-    """column, match, score, method of distinct values: the entry most alike, above the threshold.
-
-    With ``phonetic``, an entry counts by its skeleton if that is more alike than the best so far by over ``margin``; entries are looked at in
-    order, which the result depends on, so the comparison runs in order over the lookup, inside one row.
-    """
-    options = F.array(*[F.struct(F.lit(e).alias("entry"), skeleton(F.lit(e)).alias("key")) for e in entries])
-    start = F.struct(F.lit(None).cast("string").alias("match"), F.lit(float(threshold)).alias("score"), F.lit("NONE").alias("method"))
-
-    def may(a: Column, b: Column, least: Column) -> Column:
-        """Lengths that leave room for more than ``least``: no edit distance is under the difference in length."""
-        return F.abs(F.length(a) - F.length(b)) < (1.0 - least) * F.greatest(F.length(a), F.length(b)) + 1e-9
-
-    def step(best: Column, option: Column) -> Column:
-        direct = similarity(F.col(column), option["entry"])
-        better = (may(F.col(column), option["entry"], best["score"])) & (direct > best["score"])
-        return F.when(better, F.struct(option["entry"].alias("match"), direct.alias("score"), F.lit("LEVENSHTEIN").alias("method"))).otherwise(best)
-
-    def sounds(best: Column, option: Column) -> Column:
-        alike = similarity(F.col("_key"), option["key"])
-        better = ((F.length("_key") == 0) | may(F.col("_key"), option["key"], best["score"] + margin)) & (alike > best["score"] + margin)
-        return F.when(better, F.struct(option["entry"].alias("match"), alike.alias("score"), F.lit("PHONETIC").alias("method"))).otherwise(best)
-
-    if not entries:
-        return distinct.select(column, F.lit(None).cast("string").alias("match"), F.lit(0.0).alias("score"), F.lit("NONE").alias("method"))
-    if phonetic:
-        # Two entries for each: the word, then its skeleton.
-        twice = F.flatten(F.transform(options, lambda o: F.array(F.struct(o.alias("o"), F.lit(False).alias("p")), F.struct(o.alias("o"), F.lit(True).alias("p")))))
-        found = F.aggregate(twice, start, lambda best, x: F.when(x["p"], sounds(best, x["o"])).otherwise(step(best, x["o"])))
-    else:
-        found = F.aggregate(options, start, step)
-    keyed = distinct.withColumn("_key", skeleton(column))
-    return keyed.withColumn("_b", found).select(column, "_b.match", "_b.score", "_b.method")
-
-
 def correct_words(df: DataFrame, column: str, words: list | None = None, misread: list | None = None, threshold: float = WORD, exact: bool = True) -> DataFrame:
     """Adds ``corrected``, ``method`` and ``confidence`` of a single word per row."""
     words, misread = dict(lookups.WORDS if words is None else words), dict(lookups.MISREAD if misread is None else misread)
-    known = F.try_element_at(as_map(misread), F.col(column)) if exact else F.lit(None).cast("string")
-    listed = F.try_element_at(as_map(words), F.col(column)) if exact else F.lit(None).cast("string")
-    out = df.withColumn("_m", known).withColumn("_d", listed)
+    out = looked_up(looked_up(df, column, misread if exact else {}, "_m"), column, words if exact else {}, "_d")
     open_ = out.filter(F.col("_m").isNull() & F.col("_d").isNull() & F.col(column).isNotNull()).select(column).distinct()
-    fuzzy = best_match(open_, column, list(words), threshold, phonetic=True).filter("match is not null").select(column, F.try_element_at(as_map(words), F.col("match")).alias("_f"), F.col("score").alias("_s"))
+    fuzzy = best_match(open_, column, list(words), threshold, phonetic=True).filter("match is not null")
+    fuzzy = looked_up(fuzzy, "match", words, "_f").select(column, "_f", F.col("score").alias("_s"))
     out = out.join(fuzzy, column, "left")
     method = F.when(F.col("_m").isNotNull(), "EXACT_MISSPELLING").when(F.col("_d").isNotNull(), "EXACT_DICTIONARY").when(F.col("_f").isNotNull(), "FUZZY_MATCH").otherwise("NO_MATCH")
     confidence = F.when(F.col("_m").isNotNull() | F.col("_d").isNotNull(), 1.0).otherwise(F.coalesce("_s", F.lit(0.0)))
@@ -102,10 +63,9 @@ def correct_names(df: DataFrame, column: str, key: str, table: list | None = Non
     ``key`` is unique. Words are matched as a set of distinct words.
     """
     table = lookups.NAMES if table is None else table
-    spelling = as_map(lookups.name_spellings(table))
     rows = df.select(key, text(column).alias("_v"), names.is_likely_name(column).alias("_is"))
     parts = rows.filter("_is").select(key, F.posexplode(F.split(strip(F.col("_v")), SPACE + "+")).alias("_i", "_w"))
-    listed = parts.withColumn("_e", F.try_element_at(spelling, F.col("_w")))
+    listed = looked_up(parts, "_w", lookups.name_spellings(table), "_e")
     fuzzy = best_match(listed.filter("_e is null").select("_w").distinct(), "_w", lookups.canonical_names(table), threshold, phonetic=True, margin=0.05).filter("match is not null").select("_w", F.col("match").alias("_f"), F.col("score").alias("_s"))
     done = listed.join(fuzzy, "_w", "left").withColumn("_to", F.coalesce("_e", "_f", "_w")).withColumn("_c", F.when(F.col("_e").isNotNull(), 1.0).otherwise(F.col("_s")))
     whole = done.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_i", "_to"))).alias("_p"), F.avg("_c").alias("_a"), F.count_if(F.col("_to") != F.col("_w")).alias("n"))
@@ -129,25 +89,23 @@ def correct_person_names(df: DataFrame, key: str, columns: list[str], table: lis
 
 def validate_districts(df: DataFrame, column: str) -> DataFrame:
     """Adds ``canonical`` (null: not found), ``district_method``, ``district_confidence``, ``division``."""
-    spelling, division = as_map(lookups.district_spellings()), as_map(dict(lookups.DISTRICTS))
-    out = df.withColumn("_t", strip(text(column))).withColumn("_e", F.try_element_at(spelling, F.col("_t")))
+    out = looked_up(df.withColumn("_t", strip(text(column))), "_t", lookups.district_spellings(), "_e")
     open_ = out.filter(F.col("_e").isNull() & (F.col("_t") != "")).select("_t").distinct()
     fuzzy = best_match(open_, "_t", [d for d, _ in lookups.DISTRICTS], PLACE).filter("match is not null").select("_t", F.col("match").alias("_f"), F.col("score").alias("_s"))
-    out = out.join(fuzzy, "_t", "left").withColumn("canonical", F.coalesce("_e", "_f"))
+    out = looked_up(out.join(fuzzy, "_t", "left").withColumn("canonical", F.coalesce("_e", "_f")), "canonical", dict(lookups.DISTRICTS), "_division")
     return out.select(
         *df.columns,
         "canonical",
         F.when(F.col("_e").isNotNull(), "EXACT_MATCH").when(F.col("_f").isNotNull(), "FUZZY_MATCH").otherwise("NOT_FOUND").alias("district_method"),
         F.when(F.col("_e").isNotNull(), 1.0).otherwise(F.coalesce("_s", F.lit(0.0))).alias("district_confidence"),
-        F.try_element_at(division, F.col("canonical")).alias("division"),
+        F.col("_division").alias("division"),
     )
 
 
 def validate_upazilas(df: DataFrame, column: str) -> DataFrame:
     """For rows with ``canonical``: adds ``upazila_canonical`` and ``upazila_method``; districts without data accept any name."""
-    spark = df.sparkSession
     out = df.withColumn("_u", text(column))
-    known = _table(spark, [(d, i, u) for d, us in lookups.UPAZILAS.items() for i, u in enumerate(us)], "canonical string, _o int, _n string")
+    known = df.sparkSession.createDataFrame([(d, i, u) for d, us in lookups.UPAZILAS.items() for i, u in enumerate(us)], "canonical string, _o int, _n string")
     asked = out.filter(F.col("canonical").isNotNull() & (F.col("_u") != "")).select("canonical", "_u").distinct()
     like = similarity(F.col("_u"), F.col("_n"))
     pairs = asked.join(F.broadcast(known), "canonical").withColumn("_s", F.when(F.col("_u") == F.col("_n"), 2.0).otherwise(like)).filter(F.col("_s") > PLACE)

@@ -25,6 +25,24 @@ def levenshtein_best_match(spark, sf_dir):
     return found.select("word", "match", F.round(F.when(F.col("match").isNotNull(), F.col("score")).otherwise(0.0), 9).alias("score"))
 
 
+def _vocabulary_sql(table: str) -> str:
+    return f"SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{{3,}}'))) AS w FROM {table}"
+
+
+def _vocabulary(spark, sf_dir, name):
+    return table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("w")).select(F.lower("w").alias("w")).distinct()
+
+
+@query(f"""WITH e AS ({_vocabulary_sql("conversations")}), w AS ({_vocabulary_sql("documents")}),
+  p AS (SELECT w.w AS word, e.w AS entry, 1.0::DOUBLE - levenshtein(w.w, e.w)::DOUBLE / greatest(length(w.w), length(e.w)) AS sim FROM w JOIN e ON length(e.w) > length(w.w) * 0.75 AND length(w.w) > length(e.w) * 0.75),
+  b AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY sim DESC, entry) AS n FROM p WHERE sim > 0.75::DOUBLE)
+  SELECT w.w AS word, b.entry AS match, round(b.sim, 9) AS score FROM w LEFT JOIN b ON w.w = b.word AND b.n = 1""")
+def fuzzy_lookup(spark, sf_dir):
+    """Every word of the documents against the vocabulary of the conversations, by the index."""
+    found = correct.best_match(_vocabulary(spark, sf_dir, "documents"), "w", _vocabulary(spark, sf_dir, "conversations").withColumnRenamed("w", "entry"), 0.75)
+    return found.select(F.col("w").alias("word"), "match", F.when(F.col("match").isNotNull(), F.round("score", 9)).alias("score"))
+
+
 #: (word, corrected, method)
 WORDS = [("শখ", "শেখ", "EXACT_MISSPELLING"), ("কমিশন", "কমিশন", "EXACT_DICTIONARY"), ("নির্বাচনে", "নির্বাচন", "FUZZY_MATCH"), ("তালীকা", "তালিকা", "FUZZY_MATCH"), ("xyz", "xyz", "NO_MATCH")]
 
