@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nothi.functions import bengali, misc
+from nothi.functions import bengali, lookups, misc
 from nothi.operators import detect, extract, layout
+from nothi.plans import register
 from nothi.plans.registry import PEOPLE, cases, cases_sql, people, query, quote, table, values
 from nothi.plans.repair import records_from_items
 
@@ -65,41 +66,33 @@ def page_filter(spark, sf_dir):
     return layout.usable_items(items(spark, sf_dir), first_page=4, skipped=(5,)).groupBy("page").agg(F.count("*").alias("n"))
 
 
-COVER = ["চূড়ান্ত ভোটার তালিকা (মহিলা)", "জেলা: খুলনা\tবিভাগ", "উপজেলা/থানা: দৌলতপুর সদর", "ভোটার এলাকার নাম: নদীর ঘাট", "ভোটার এলাকার নম্বর: ০১২৩", "সর্বমোট ভোটার সংখ্যা: ১,২৩৪", "মোট মহিলা ভোটার: ৬০০", "প্রকাশের তারিখ: ০১/০২/২০২৪", "পোস্টকোড: ৯১০০"]
+_COVER = "doc, district, upazila, area, area_no, total, total_male, total_female, gender, published, post_code"
+_ENTRY = "doc, serial, serial_num, name, number, father, mother, occupation, dob, address"
+_KNOWN = {"খুলনা": ["দৌলতপুর"]}
 
 
-@query(values([("d", "খুলনা", "দৌলতপুর", "নদীর ঘাট", "০১২৩", 1234, 600, "মহিলা", "০১/০২/২০২৪", "৯১০০")], ["doc", "district", "upazila", "area", "area_no", "total", "total_female", "gender", "published", "post_code"]))
+@query(f"WITH {register.covers_sql(_KNOWN)} SELECT {_COVER} FROM covers")
 def cover_meta(spark, sf_dir):
-    """The fields of a cover page."""
-    d = spark.createDataFrame([("d", i, t) for i, t in enumerate(COVER)], "doc string, line int, text string")
-    return extract.cover_meta(d, {"খুলনা": ["দৌলতপুর"]}).select("doc", "district", "upazila", "area", "area_no", "total", "total_female", "gender", "published", "post_code")
+    """The fields of every cover."""
+    return extract.cover_meta(register.cover_lines(spark, sf_dir), _KNOWN).select(*_COVER.split(", "))
 
 
-#: (page, text)
-ENTRY_LINES = [
-    (3, "০০১. নাম: করিম হোসেন"), (3, "ভোটার নং: ১২৩৪৫"), (3, "পিতা: রহিম আলী"), (3, "মাতা: সালমা বেগম"), (3, "পেশা: কৃষক, জন্ম তারিখ: ০১/০২/১৯৮০"), (3, "ঠিকানা: নদীর ঘাট"),
-    (3, "০০২. ফাতেমা"), (3, "খাতুন"), (3, "ভোটার নং ৯৮৭৬৫"), (3, "০১৬. নোটিশ"), (3, "০০৩.কামাল"), (4, "মাতা: আমেনা"),
-]
+_VALID = "length(name) > 1 AND (number <> '' OR father <> '' OR mother <> '')"
 
 
-@query(values([("০০১", 1, 1, "করিম হোসেন", "১২৩৪৫", "রহিম আলী", "সালমা বেগম", "কৃষক,", "০১/০২/১৯৮০", "নদীর ঘাট"), ("০০২", 2, 2, "ফাতেমা খাতুন", "৯৮৭৬৫", "", "", "", "", ""), ("০১৬", 16, 1, "নোটিশ", "", "", "আমেনা", "", "", "")], ["serial", "serial_num", "serial_on_page", "name", "number", "father", "mother", "occupation", "dob", "address"]))
+@query(f"WITH {register.ENTRIES} SELECT {_ENTRY}, (serial_num - 1) % 15 + 1 AS serial_on_page FROM entries WHERE {_VALID}")
 def record_extract(spark, sf_dir):
-    """Entries, wrapped names, and the look-ahead that a start without a space does not end."""
-    d = spark.createDataFrame([("d", p, 1, i, t, 0.0, 0.0, 1.0, 1.0) for i, (p, t) in enumerate(ENTRY_LINES)], "doc string, page int, column int, line int, text string, x double, y double, width double, height double")
-    return extract.records(d).select("serial", F.col("serial_num").cast("long").alias("serial_num"), F.col("serial_on_page").cast("long").alias("serial_on_page"), "name", "number", "father", "mother", "occupation", "dob", "address")
+    """Entries, wrapped names, and markers without a space, which end no entry."""
+    found = extract.records(register.entry_lines(spark, sf_dir))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return found.select(long("doc"), "serial", long("serial_num"), *_ENTRY.split(", ")[3:], long("serial_on_page"))
 
 
-def document_items(spark):
-    """Items of a small document: a cover, a page that is skipped, entries in one column."""
-    rows = [("d", 1, i, t, 10.0, 700.0 - 20 * i) for i, t in enumerate(COVER)] + [("d", 2, 0, "skipped", 10.0, 700.0)]
-    rows += [("d", p, 100 + i, t, 10.0, 700.0 - 20 * i) for i, (p, t) in enumerate(ENTRY_LINES)]
-    return spark.createDataFrame([(*r, 100.0, 10.0) for r in rows], "doc string, page int, seq int, str string, x double, y double, width double, height double")
-
-
-@query(values([("করিম হোসেন", "খুলনা", "দৌলতপুর", "নদীর ঘাট", "মহিলা"), ("ফাতেমা খাতুন", "খুলনা", "দৌলতপুর", "নদীর ঘাট, দৌলতপুর, খুলনা", "মহিলা"), ("নোটিশ", "খুলনা", "দৌলতপুর", "নদীর ঘাট, দৌলতপুর, খুলনা", "মহিলা")], ["name", "district", "upazila", "address", "gender"]))
+@query(f"""WITH {register.ENTRIES}, {register.covers_sql(lookups.UPAZILAS)} SELECT e.doc, e.name, e.number, c.district, c.upazila, coalesce(c.area, '') AS village,
+  coalesce(nullif(e.address, ''), CASE WHEN c.doc IS NULL THEN '' ELSE concat_ws(', ', c.area, c.upazila, c.district) END) AS address, coalesce(c.gender, 'পুরুষ') AS gender FROM (SELECT * FROM entries WHERE {_VALID}) e LEFT JOIN covers c ON c.doc = e.doc""")
 def document_pipeline(spark, sf_dir):
-    """Items to records with their cover's fields."""
-    return records_from_items(document_items(spark)).select("name", "district", "upazila", "address", "gender")
+    """Positioned items of whole registers to records with their cover's fields."""
+    return records_from_items(register.items(spark, sf_dir)).select(F.col("doc").cast("long").alias("doc"), "name", "number", "district", "upazila", "village", "address", "gender")
 
 
 @query(f"""WITH {PEOPLE}, a AS (SELECT id, k, village, area || ' , ' || upazila || '|' || district AS address FROM people), p AS (SELECT *, list_filter(list_transform(string_split_regex(coalesce(address, ''), '[,|]'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM a)

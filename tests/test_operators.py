@@ -83,10 +83,54 @@ def test_records(spark):
     assert extract.records(d.limit(0)).count() == 0
 
 
-def test_cover_follow_up_lines():
-    found = extract.cover_fields(["জেলা", "খুলনা", "সর্বমোট ভোটার", "১২০", "মোট পুরুষ", "৭০"])
-    assert (found["district"], found["total"], found["total_male"], found["gender"]) == ("খুলনা", 120, 70, "পুরুষ")
-    assert extract.cover_fields([])["total"] == 0
+def cover(spark, texts):
+    d = spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "doc string, line int, text string")
+    return extract.cover_meta(d, {"খুলনা": ["দৌলতপুর"]}).collect()
+
+
+def test_cover_follow_up_lines(spark):
+    (found,) = cover(spark, ["জেলা", "খুলনা", "সর্বমোট ভোটার", "১২০", "মোট পুরুষ", "৭০"])
+    assert (found.district, found.total, found.total_male, found.gender) == ("খুলনা", 120, 70, "পুরুষ")
+    assert cover(spark, []) == []
+
+
+def test_cover_first_and_last(spark):
+    (found,) = cover(spark, ["চূড়ান্ত ভোটার তালিকা (মহিলা)", "জেলা: খুলনা\tবিভাগ", "জেলা: যশোর", "উপজেলা/থানা: দৌলতপুর সদর", "ডাকঘর: ঘাট", "ভোটার এলাকার নাম: গ্রাম", "পোস্টকোড: ৯১০০", "পোস্টকোড: ৯২০০", "মোট পুরুষ ভোটার: ৫", "মোট মহিলা ভোটার: ৬"])
+    assert (found.district, found.upazila, found.area, found.post_code, found.gender) == ("খুলনা", "দৌলতপুর", "ঘাট", "৯২০০", "মহিলা")
+    assert (found.union_name, found.ward_no, found.total) == ("", "", 0)
+    (found,) = cover(spark, ["ইউনিয়ন/পৌরসভা: ক  খ", "ওয়ার্ড নং: ৩", "ওয়ার্ড নম্বর", "৪"])
+    assert (found.union_name, found.ward_no, found.gender) == ("ক", "৩", "পুরুষ")
+
+
+#: (page, text)
+ENTRY_LINES = [
+    (3, "০০১. নাম: করিম হোসেন"), (3, "ভোটার নং: ১২৩৪৫"), (3, "পিতা: রহিম আলী"), (3, "মাতা: সালমা বেগম"), (3, "পেশা: কৃষক, জন্ম তারিখ: ০১/০২/১৯৮০"), (3, "ঠিকানা: নদীর ঘাট"),
+    (3, "০০২. ফাতেমা"), (3, "খাতুন"), (3, "ভোটার নং ৯৮৭৬৫"), (3, "০১৬. নোটিশ"), (3, "০০৩.কামাল"), (4, "মাতা: আমেনা"),
+]
+ENTRIES = [("০০১", 1, 1, "করিম হোসেন", "১২৩৪৫", "রহিম আলী", "সালমা বেগম", "কৃষক,", "০১/০২/১৯৮০", "নদীর ঘাট"), ("০০২", 2, 2, "ফাতেমা খাতুন", "৯৮৭৬৫", "", "", "", "", ""), ("০১৬", 16, 1, "নোটিশ", "", "", "আমেনা", "", "", "")]
+
+
+def entries(spark, lines, doc="d"):
+    d = spark.createDataFrame([(doc, p, 1, i, t, 0.0, 0.0, 1.0, 1.0) for i, (p, t) in enumerate(lines)], LINE)
+    found = extract.records(d).orderBy("page", "serial_num")
+    return [tuple(r) for r in found.select("serial", "serial_num", "serial_on_page", "name", "number", "father", "mother", "occupation", "dob", "address").collect()]
+
+
+def test_entries(spark):
+    assert entries(spark, ENTRY_LINES) == ENTRIES
+    assert entries(spark, ENTRY_LINES, None) == ENTRIES
+
+
+def test_weak_markers(spark):
+    """Those out of reach of the one before begin entries, in turn."""
+    lines = [(3, "০১.ক খ")] + [(3, f"x{i}") for i in range(5)] + [(3, "০২.গ"), (3, "পিতা: ঘ")] + [(3, "y")] * 5 + [(4, "০৩.চ ছ"), (4, "পিতা: জ"), (5, "০০. শেষ"), (5, "পিতা: ঝ"), (5, "০৪.ট ঠ"), (6, "মাতা: ড")]
+    assert [(r[0], r[3], r[5], r[6]) for r in entries(spark, lines)] == [("০১", "ক খ", "ঘ", ""), ("০৩", "চ ছ", "জ", ""), ("০৪", "ট ঠ", "", "ড")]
+
+
+def test_long_names_and_values_are_cut(spark):
+    lines = [(3, "০১. " + "ক" * 45), (3, "খ"), (3, "পিতা: " + "গ" * 90 + " মাতা নয়"), (3, "মাতা: " + "ঘ" * 90 + " পেশা: কৃষক"), (3, "পেশা: " + "চ" * 60)]
+    (r,) = entries(spark, lines)
+    assert (len(r[3]), r[5], len(r[6]), len(r[7])) == (45, "", 80, 50)
 
 
 def test_classify_scanned(spark):
