@@ -4,10 +4,9 @@ The page is cut into blocks of text. A classifier gives each block log-odds of b
 between adjacent blocks and between neighbours under one parent make it costly to part what stands together. The minimum cut labels the blocks: a
 maximum flow decides them all but for those whose log-odds outweigh their edges, which no minimum cut can label otherwise and which are fixed before.
 
-The log-odds have two parts. What the page says of a block's place (elements around it, words in their class, id and role) has
-fixed weights. What the block looks like (length, links, sentence ends, wording, its own element) has weights that are
-fitted by logistic regression: on a sample of at most ``FIT_PAGES`` pages, by the checksum of the row, and of at most ``FIT_BLOCKS`` blocks of each, the blocks whose
-place is clear are the labels. Where either kind is rare the weights of ``LOOKS`` hold. Looks count for ``MOST_LOOKS`` at most, so a place that is
+The log-odds have two parts, both with fixed weights: what the page says of a block's place (elements around it, words in their class, id and role), and what the block looks like (length,
+links, sentence ends, wording, its own element). They are priors and not fitted, because on pages of one template a fit learns the template, and a page's text would depend on
+the pages beside it. So a page's text depends on the page alone. Looks count for ``MOST_LOOKS`` at most, so a place that is
 clear wins; blocks whose place is not are decided by looks and neighbours. ``cut_report`` counts the blocks that the cut labels
 against the sign of their log-odds.
 
@@ -33,10 +32,10 @@ from nothi.llm import common
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)?", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: HTML element names by what they do.
-RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
-    "html head body p div section article main header footer nav aside ul ol li dl dt dd table thead tbody tfoot tr td th caption h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption form fieldset legend address hr details summary menu dialog center hgroup search select button template".split()
+    "html head body p div section article main header footer nav aside ul ol li dl dt dd table thead tbody tfoot tr td th caption h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption form fieldset legend address hr details summary menu dialog center hgroup search select button template xmp".split()
 )
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that an implied end does not cross.
@@ -52,9 +51,8 @@ _WEAK = re.compile(r"(?:^|[\s_-])(promo\w*|banner|notices?|alerts?|popup|modal|o
 _COMMENT = re.compile(r"(?:^|[\s_-])(comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion)(?=$|[\s_-])", re.I)
 _FOR = re.compile(r"(?:^|[\s_-])(article|main|content|post|entry|story|body|text|page)(?=$|[\s_-])", re.I)
 _WORDING = re.compile(r"cookie|privacy policy|terms of (?:use|service)|all rights reserved|©|copyright|subscribe|newsletter|advertis|sponsored|sign (?:up|in)|log ?in|share (?:this|on)|follow us|skip to|read more|leave a (?:comment|reply)", re.I)
-BY_CLASS, BY_WEAK_CLASS, MOST_LOOKS, CLEAR = 8.0, 4.0, 4.0, 3.0
+BY_CLASS, BY_WEAK_CLASS, MOST_LOOKS = 8.0, 4.0, 4.0
 ADJACENT, NEAR, APART, SIBLING = 2.5, 1.5, 0.3, 1.0
-FIT_PAGES, FIT_BLOCKS, FIT_LEAST = 2000, 64, 200
 _UNCLOSED = re.compile(r"</?(?:p|div|article|section|main|body|html|h[1-6]|ul|ol|table|footer|nav|aside|header)\b", re.I)
 
 
@@ -212,7 +210,7 @@ def place(b: Block) -> float:
 
 
 def looks(b: Block) -> list[float]:
-    """What the fitted weights are for; the first is the constant."""
+    """What the block looks like; the first is the constant."""
     words = b.text.split()
     n, own = len(words), b.parent.own
     return [
@@ -227,7 +225,7 @@ def looks(b: Block) -> list[float]:
     ]
 
 
-#: Weights of the looks where none can be fitted.
+#: Weights of the looks.
 LOOKS = (-1.0, 0.9, -4.0, 0.7, -2.5, 1.0, 1.2, -0.5)
 
 
@@ -237,22 +235,6 @@ def log_odds(b: Block, weights=LOOKS) -> float:
     return at + max(-MOST_LOOKS, min(MOST_LOOKS, sum(w * x for w, x in zip(weights, looks(b)))))
 
 
-def fit_looks(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, steps: int = 30) -> list[float]:
-    """Weights of a logistic regression in which both kinds of blocks weigh alike."""
-    if min((y == 0).sum(), (y == 1).sum()) < FIT_LEAST:
-        return list(LOOKS)
-    # Drawn to the default weights, which matters for looks that the sample does not have.
-    start = np.array(LOOKS)
-    weight, w = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean()), start.copy()
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * (w - start))
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return w.tolist()
-
-
 def together(a: Element, b: Element) -> bool:
     """Whether two elements have the same parent, or one within three steps that is less than the page."""
     if a.parent is b.parent:
@@ -286,7 +268,6 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
 
 
 
-
 def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """True where a block is content in a minimum cut."""
     n, near = len(odds), [[] for _ in odds]
@@ -367,41 +348,13 @@ def main_text(page: str | None, weights=LOOKS) -> str:
     return " ".join(b.text for b, content in zip(blocks, label) if content)
 
 
-def fitted(pages: DataFrame) -> list[float]:
-    """Weights of the looks, from the blocks of a sample of pages whose place is clear."""
-    schema = pa.schema([("x", pa.list_(pa.float64())), ("y", pa.int32())])
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for page in b.column(0).to_pylist():
-                blocks = blocks_of(page)
-                for block in blocks[:: -(-len(blocks) // FIT_BLOCKS) or 1]:
-                    at = place(block)
-                    if abs(at) >= CLEAR:
-                        rows.append((looks(block), int(at > 0)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-    sample = common.pick(pages, page_id="long", url="string", html="string").filter("html is not null").orderBy(F.xxhash64("page_id", "url", F.octet_length("html")), "page_id", "url").limit(FIT_PAGES).select("html")
-    # At most FIT_PAGES * FIT_BLOCKS rows of a few numbers.
-    found = sample.repartition(8).mapInArrow(run, "x array<double>, y int").toArrow()
-    if not found.num_rows:
-        return list(LOOKS)
-    x = np.array(found.column("x").to_pylist())
-    y = found.column("y").to_numpy()
-    order = np.lexsort((*x.T, y))
-    return fit_looks(x[order], y[order])
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
-    weights = fitted(pages)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches):
         for b in batches:
-            texts = [main_text(x, weights) for x in b.column(2).to_pylist()]
+            texts = [main_text(x) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema=schema)
 
     common.small_batches(pages.sparkSession)
@@ -410,14 +363,13 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def cut_report(pages: DataFrame) -> DataFrame:
     """One row: blocks, doubtful (those that some edge could outweigh), flipped (those that the cut labels against the sign of their log-odds)."""
-    weights = fitted(pages)
     schema = pa.schema([(n, pa.int64()) for n in ("blocks", "doubtful", "flipped")])
 
     def run(batches):
         total = np.zeros(3, np.int64)
         for b in batches:
             for page in b.column(0).to_pylist():
-                blocks, odds, label = labelled(page, weights)
+                blocks, odds, label = labelled(page)
                 room = np.zeros(len(blocks))
                 for i, j, w in edges_of(blocks):
                     room[i] += w

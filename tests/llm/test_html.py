@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from nothi.llm import common
 from nothi.llm import op8_html_mincut as op8
 
 SENTENCE = "The river rose in the night and the whole village moved to higher ground before dawn. "
@@ -117,12 +118,39 @@ def test_time_grows_with_size():
     assert time.time() - began < 30
 
 
-def test_fitted_weights_and_report(spark):
+#: The same prose without a paragraph element.
+UNMARKED = [
+    (f"<article><div>{SENTENCE}</div></article>", SENTENCE),
+    (f"<article><div>{SENTENCE}</div><div>{SENTENCE}</div><div>{SENTENCE}</div></article>", SENTENCE * 3),
+    (f"<article><h1>Flood</h1><div>{SENTENCE}</div><div>{SENTENCE}</div></article>", f"Flood {SENTENCE * 2}"),
+    (f"<article><blockquote>{SENTENCE}</blockquote></article>", SENTENCE),
+    (f"<article><table><tr><td>{SENTENCE}</td></tr></table></article>", SENTENCE),
+    ("<article><ul><li>The first of the two items, with a few words more</li><li>The second of the two items</li></ul></article>", "The first of the two items, with a few words more The second of the two items"),
+    (f"<main>{SENTENCE}<br>{SENTENCE}</main>", SENTENCE * 2),
+    (f"<body><div>{SENTENCE * 3}<br><br>{SENTENCE * 3}</div></body>", SENTENCE * 6),
+    (f"<body>{SENTENCE * 10}</body>", SENTENCE * 10),
+    (f"<body><p>{SENTENCE * 4}</p></body>", SENTENCE * 4),
+    (f"<article><xmp>{SENTENCE}</xmp></article>", SENTENCE),
+]
+
+
+@pytest.mark.parametrize("page, text", UNMARKED)
+def test_prose_without_paragraphs(page, text):
+    assert op8.main_text(page) == text.strip()
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_a_text_does_not_depend_on_other_pages(spark, sf):
+    """Every page of these tests beside the pages of a table."""
+    mine = [(-1 - i, "u", p) for i, (p, _) in enumerate([*UNMARKED, *DOUBTFUL])]
+    pages = common.pick(common.table(spark, f"/root/testdata/sf{sf}", "pages"), page_id="long", url="string", html="string")
+    got = {r.page_id: r.text for r in op8.extract(pages.union(spark.createDataFrame(mine, pages.schema))).filter("page_id < 0").collect()}
+    assert got == {-1 - i: w.strip() for i, (_, w) in enumerate([*UNMARKED, *DOUBTFUL])}
+
+
+def test_report(spark):
     page = lambda i: f"<body>{NAV}<article><h1>Head {i}</h1>{LONG}<p>Short.</p><ul><li>one</li></ul>{LONG}</article><aside><p>{SENTENCE}</p></aside><footer>&copy; site {i}</footer></body>"
     d = spark.createDataFrame([(i, "u", page(i)) for i in range(120)] + [(200 + i, "v", p) for i, (p, _) in enumerate(DOUBTFUL)], "page_id long, url string, html string")
-    weights = op8.fitted(d)
-    assert weights != list(op8.LOOKS) and weights[2] < 0 and op8.fitted(d) == weights
-    assert op8.fitted(d.limit(0)) == list(op8.LOOKS) == op8.fitted(d.limit(2))
     got = {r.page_id: r.text for r in op8.extract(d).collect()}
     assert all(got[i] == f"Head {i} {LONG_TEXT} Short. one {LONG_TEXT}" for i in range(120))
     report = op8.cut_report(d).head()
