@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nothi.functions import names
 from nothi.functions.similarity import jaccard, ngrams
-from nothi.operators import search
+from nothi.operators import postings, search
 from nothi.plans.registry import PEOPLE, grams_sql, jaccard_sql, key_sql, match_sql, people, query, quote, table
+from nothi.sources import scratch
 
 NAME, TWO_WORDS, VILLAGE = "করীম", "হোসেন রহিম", "গ্রাম"
 _FIELDS = ["id", "name", "father", "village"]
@@ -114,6 +118,33 @@ def search_index(spark, sf_dir):
     return p.select("id", *[f"key_{c}" for c in search.KEYED], *[F.array_join(F.sort_array(f"grams_{c}"), ",").alias(f"grams_{c}") for c in ("name", "father")])
 
 
+_TERMS = [("name", "করীম"), ("name", "হোসেন রহিম"), ("father", "সালমা"), ("village", "পূর্ব পা"), ("name", "শ"), ("name", "নেই এমন")]
+_HITS = " UNION ALL ".join(f"SELECT {quote(c)} AS field, {quote(t)} AS term, id FROM people WHERE {match_sql(c, t)}" for c, t in _TERMS)
+
+
+def _indexed(spark, sf_dir):
+    p = _keyed(spark, sf_dir)
+    return p, postings.write(p, "id", ("name", "father", "village"), scratch.path(spark, "postings"))
+
+
+@query(f"WITH {PEOPLE} {_HITS}")
+def postings_search(spark, sf_dir):
+    """C4, F2: the phonetic search by the written index of bigrams."""
+    p, index = _indexed(spark, sf_dir)
+    found = [index.matching(p, c, t).select(F.lit(c).alias("field"), F.lit(t).alias("term"), "id") for c, t in _TERMS]
+    return reduce(DataFrame.unionByName, found)
+
+
+_ALIKE = [("করিমা হোসেন", 0.35), ("রহিম আলী", 0.6)]
+
+
+@query(f"WITH {PEOPLE}, g AS (SELECT id, {grams_sql(key_sql('name'))} AS a FROM people) " + " UNION ALL ".join(f"SELECT {quote(t)} AS term, id, round({jaccard_sql('a', grams_sql(quote(search.key_of(t))))}, 9) AS score FROM g WHERE {jaccard_sql('a', grams_sql(quote(search.key_of(t))))} >= {x}::DOUBLE" for t, x in _ALIKE))
+def postings_alike(spark, sf_dir):
+    """The fuzzy mode by the index."""
+    p, index = _indexed(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [index.alike(p, "name", t, x).select(F.lit(t).alias("term"), "id", F.round("score", 9).alias("score")) for t, x in _ALIKE])
+
+
 _BN = "len(regexp_extract_all(coalesce({0}, ''), '[\\x{{0980}}-\\x{{09FF}}]'))"
 _LIKELY = f"""length(coalesce(s, '')) > 0 AND len(string_split_regex(trim(s), '\\s+')) <= 5 AND len([w for w in string_split_regex(trim(s), '\\s+') if length(w) < 2 OR length(w) > 20]) = 0
   AND {_BN.format('s')} > 0 AND length(s) - {_BN.format('s')} <= CAST(0.2 AS DOUBLE) * length(s)"""
