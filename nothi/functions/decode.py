@@ -16,10 +16,17 @@ from pyspark.sql import functions as F
 
 from nothi.functions import bengali
 from nothi.functions.bengali import MARK, text
+from nothi.functions.ordered import Replacer
 
 #: The widely published keyboard order of the Bijoy ANSI encoding, letters first, then signs.
-BIJOY_LETTERS = dict(zip("ABCDEFGHIJKLMNOPQRSTUVWXYZ_`abcdefghijklmnopqrstu", [chr(x) for x in (0x985, 0x987, 0x988, 0x989, 0x98A, 0x98B, 0x98F, 0x990, 0x993, 0x994, 0x995, 0x996, 0x997, 0x998, 0x999, 0x99A, 0x99B, 0x99C, 0x99D, 0x99E, 0x99F, 0x9A0, 0x9A1, 0x9A2, 0x9A3, 0x9A4, 0x9A5, 0x9A6, 0x9A7, 0x9A8, 0x9AA, 0x9AB, 0x9AC, 0x9AD, 0x9AE, 0x9AF, 0x9B0, 0x9B2, 0x9B6, 0x9B7, 0x9B8, 0x9B9, 0x9DC, 0x9DD, 0x9DF, 0x9CE, 0x982, 0x983, 0x981)]))
-BIJOY_SIGNS = dict(zip("vwxyz~…†‡ˆ‰Š&", [chr(x) for x in (0x9BE, 0x9BF, 0x9C0, 0x9C1, 0x9C1, 0x9C2, 0x9C3, 0x9C7, 0x9C7, 0x9C8, 0x9C8, 0x9D7, 0x9CD)]))
+BIJOY_LETTERS = {
+    "A": "অ", "B": "ই", "C": "ঈ", "D": "উ", "E": "ঊ", "F": "ঋ", "G": "এ", "H": "ঐ", "I": "ও", "J": "ঔ", "K": "ক", "L": "খ", "M": "গ", "N": "ঘ", "O": "ঙ", "P": "চ", "Q": "ছ",
+    "R": "জ", "S": "ঝ", "T": "ঞ", "U": "ট", "V": "ঠ", "W": "ড", "X": "ঢ", "Y": "ণ", "Z": "ত", "_": "থ", "`": "দ", "a": "ধ", "b": "ন", "c": "প", "d": "ফ", "e": "ব", "f": "ভ",
+    "g": "ম", "h": "য", "i": "র", "j": "ল", "k": "শ", "l": "ষ", "m": "স", "n": "হ", "o": "ড়", "p": "ঢ়", "q": "য়", "r": "ৎ", "s": "ং", "t": "ঃ", "u": "ঁ",
+}
+BIJOY_SIGNS = {
+    "v": "া", "w": "ি", "x": "ী", "y": "ু", "z": "ু", "~": "ূ", "…": "ৃ", "†": "ে", "‡": "ে", "ˆ": "ৈ", "‰": "ৈ", "Š": "ৗ", "&": "্",
+}
 BIJOY = BIJOY_LETTERS | BIJOY_SIGNS | {str(i): chr(0x9E6 + i) for i in range(10)}
 
 #: Repairs of generic words after decoding, tried in this order; then runs of white space become one space.
@@ -51,21 +58,14 @@ def map_glyphs(c: Column | str, glyphs: dict[str, str]) -> Column:
     return run(text(c))
 
 
-def fold(s: str, pairs: list[tuple[str, str]], whole_words: bool = False) -> str:
-    """Replacements one after the other; later ones see what earlier ones made."""
-    for bad, good in pairs:
-        if bad != good and bad in s:
-            s = re.sub(f"(?<![\u0980-\u09ff]){re.escape(bad)}(?![\u0980-\u09ff])", lambda m, good=good: good, s) if whole_words else s.replace(bad, good)
-    return s
-
-
 def repair(c: Column | str, pairs: list[tuple[str, str]] | None = None, strict: bool = False) -> Column:
     """Ordered repairs, then single spaces, trimmed. ``strict`` replaces inside words too, which can spoil right words."""
     table = REPAIRS if pairs is None else pairs
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: _SPACE.sub(" ", fold(x, table, whole_words=not strict)).strip("\ufeff \t\n\r\x0b\x0c\xa0"))
+        replacer = Replacer(table, whole_words=not strict)
+        return s.map(lambda x: _SPACE.sub(" ", replacer(x)[0]).strip("\ufeff \t\n\r\x0b\x0c\xa0"))
 
     return run(text(c))
 
@@ -76,7 +76,8 @@ def place_pre_signs(c: Column | str, labels: list[tuple[str, str]] | None = None
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: _INITIAL.sub(r"\1\3\2", fold(x, table)))
+        replacer = Replacer(table)
+        return s.map(lambda x: _INITIAL.sub(r"\1\3\2", replacer(x)[0]))
 
     return run(text(c))
 

@@ -7,13 +7,12 @@ the first in the table wins; a match must exceed the threshold.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nothi.functions import lookups, names
 from nothi.functions.bengali import SPACE, skeleton, strip, text
-from nothi.functions.decode import fold
+from nothi.functions.ordered import replaced
 from nothi.functions.similarity import similarity
 from nothi.operators.fuzzy import best_match, looked_up
 
@@ -39,22 +38,8 @@ def correct_words(df: DataFrame, column: str, words: list | None = None, misread
 
 def correct_text(c: Column | str, misread: list | None = None) -> Column:
     """corrected and n: misread words replaced in table order, later entries seeing earlier results; n counts the entries that fired."""
-    table = [(a, b) for a, b in (lookups.MISREAD if misread is None else misread) if a != b]
-
-    @F.pandas_udf("struct<corrected:string,n:int>")
-    def run(s: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in s:
-            n, now = 0, x
-            for pair in table:
-                if pair[0] in now:
-                    then = fold(now, [pair], whole_words=True)
-                    n += then != now
-                    now = then
-            rows.append((now, n))
-        return pd.DataFrame(rows, columns=["corrected", "n"])
-
-    return run(text(c))
+    done = replaced(c, lookups.MISREAD if misread is None else misread, whole_words=True)
+    return F.struct(done["text"].alias("corrected"), done["n"].alias("n"))
 
 
 def correct_names(df: DataFrame, column: str, key: str, table: list | None = None, threshold: float = NAME) -> DataFrame:

@@ -152,6 +152,21 @@ def ordered_replace(spark, sf_dir):
     return repair.replace_parts(table(spark, sf_dir, "part"), ["p_name", "p_type"], [("e", "i"), ("ii", "y")]).select("p_partkey", "p_name", "p_type", "changed")
 
 
+#: 306 ordered pairs, by a rule: of two different letters the second goes first. Later pairs see what earlier ones made.
+_LETTERS = "etaoinshrdlucmfwyg"
+LONG_TABLE = [(a + b, b + a) for a in _LETTERS for b in _LETTERS if a != b]
+_NESTED = "text"
+for _a, _b in LONG_TABLE:
+    _NESTED = f"replace({_NESTED}, '{_a}', '{_b}')"
+
+
+@query(f"SELECT doc_id, md5(r) AS digest, r <> text AS changed FROM (SELECT doc_id, text, {_NESTED} AS r FROM documents)")
+def long_replace(spark, sf_dir):
+    """An ordered table of 306 pairs over whole documents, by one automaton."""
+    done = repair.replace_parts(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], LONG_TABLE)
+    return done.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "changed")
+
+
 @query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'HOUSES' WHEN 'MACHINERY' THEN 'TOOLS' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def equality_replace(spark, sf_dir):
     """Whole values by a table."""

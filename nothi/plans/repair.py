@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from nothi.functions import lookups
 from nothi.functions.bengali import text
 from nothi.functions.misc import row_diff
+from nothi.functions.ordered import replaced
 from nothi.operators import correct, extract, layout
 from nothi.operators.search import with_keys
 
+#: Replacements that are nested natively; longer tables would outgrow the code generator.
+NATIVE = 16
 TEXTS, NAMES = ("name", "father", "mother", "occupation", "address"), ("name", "father", "mother")
 
 
@@ -74,16 +77,20 @@ def replace_values(df: DataFrame, columns: list[str], table: dict[str, str]) ->
 
 
 def replace_parts(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
-    """Ordered replacements of parts, later ones seeing what earlier ones made; adds ``changed``."""
+    """Ordered replacements of parts, later ones seeing what earlier ones made; adds ``changed``. Short tables stay native, longer ones go through an automaton."""
+
     def all_of(c):
+        if len(pairs) > NATIVE:
+            return F.when(F.col(c).isNotNull(), replaced(c, pairs)["text"])
         out = F.col(c)
         for bad, good in pairs:
             out = F.replace(out, F.lit(bad), F.lit(good))
         return out
 
     new = {c: all_of(c) for c in columns}
-    changed = reduce(lambda a, b: a | b, [F.coalesce(new[c] != F.col(c), F.lit(False)) for c in columns])
-    return df.withColumn("changed", changed).withColumns(new)
+    done = df.withColumns({f"_new_{c}": v for c, v in new.items()})
+    changed = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_new_{c}") != F.col(c), F.lit(False)) for c in columns])
+    return done.withColumn("changed", changed).withColumns({c: F.col(f"_new_{c}") for c in columns}).drop(*[f"_new_{c}" for c in columns])
 
 
 def occurrences(df: DataFrame, columns: list[str], part: str) -> DataFrame:
