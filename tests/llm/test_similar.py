@@ -80,11 +80,46 @@ def test_families_that_share_a_passage(spark, monkeypatch):
     want = kept_by_force(rows)
     assert kept(spark, rows) == want and 40 <= len(want) < 200
     # The same by blocks.
-    monkeypatch.setattr(shingle_join.unconnected_pairs, "__defaults__", (4,))
     monkeypatch.setattr(shingle_join, "BLOCK", 16)
+    monkeypatch.setattr(shingle_join, "PARTNERS", 1)
     assert kept(spark, rows) == want
 
 
+def test_a_large_family_and_those_that_just_miss_it(spark, monkeypatch):
+    """One component of several blocks; the rest has 0.7 to 0.8 with it."""
+    monkeypatch.setattr(shingle_join, "BLOCK", 32)
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(160)]
+    rows = [changed(rng, base, n) for n in [0, 1, 1, 2] * 40 + [3, 4, 5, 6, 7] * 25]
+    rows = list(enumerate(" ".join(r) for r in rows))
+    want = kept_by_force(rows)
+    assert kept(spark, rows) == want and 2 <= len(want) < 100
+
+
+def test_short_texts(spark):
+    """Eight and nine words: four shingles of five, the least that 0.8 allows to differ."""
+    rng, rows = random.Random(11), []
+    for g in range(150):
+        base = [f"s{rng.randrange(10**6)}" for _ in range(8)]
+        rows += [base, base + [f"t{g}"], [f"u{g}", *base], changed(rng, base, 1)]
+    rows = list(enumerate(" ".join(r) for r in rows))
+    assert kept(spark, rows) == kept_by_force(rows)
+
+
+def test_the_sketch_keeps_similar_sets_of_any_size():
+    r, dropped = np.random.default_rng(2), 0
+    new = lambda n: r.integers(0, 1 << 64, n, dtype=np.uint64)
+    for common_, one, two in [(4, 1, 0), (4, 0, 0), (8, 1, 1), (40, 5, 5), (400, 50, 50), (4000, 500, 500)] * 150:
+        both = new(common_)
+        x, y = (np.unique(np.concatenate([both, new(n)])) for n in (one, two))
+        a, b = (np.frombuffer(shingle_join.sketch_of(v), np.uint8) for v in (x, y))
+        assert shingle_join.alike(x, y) and shingle_join.promising(a, b[None])[0] >= 0
+        z = np.frombuffer(shingle_join.sketch_of(np.sort(np.concatenate([both[: common_ // 2], new(common_)]))), np.uint8)
+        dropped += shingle_join.promising(a, z[None])[0] < 0
+    assert dropped >= 290
+    assert not shingle_join.FEWEST[:12].any() and shingle_join.FEWEST[128] >= 60
+
+
 def test_similar_sets_have_near_fingerprints():
     r = np.random.default_rng(1)
     far = []
