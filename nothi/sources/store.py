@@ -1,7 +1,7 @@
 """Tables of records, documents and search logs: reading, writing, keyed changes.
 
-A table is a folder of Parquet files (or line-wise JSON on the way in). Every change is a new DataFrame; ``commit`` replaces a table by writing
-beside it and renaming, so readers see the old rows or the new, and the version before stays as the backup that ``open_table`` falls back to.
+A table is a folder of versions (``versions``). Every change is a new DataFrame; ``commit`` writes a new version beside the old one, so readers see the old rows or the new, and
+``open_table`` falls back to the version before where the newest is broken.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nothi.functions.bengali import text
+from nothi.sources.versions import Versioned, json_with_backup
 
 #: Application names and column names of the three tables.
 RECORD_COLUMNS = {
@@ -65,45 +66,24 @@ def uploads_from_columns(df: DataFrame) -> DataFrame:
     return from_columns(df, UPLOAD_COLUMNS).withColumn("safeFileName", F.concat("id", F.lit(".pdf")))
 
 
-def scan_json(spark: SparkSession, path: str, schema: str | None = None) -> dict[str, DataFrame]:
-    """A document with the arrays voters, pdfs and searchLogs as three tables; malformed files give none of their rows."""
-    reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE")
-    whole = (reader.schema(schema) if schema else reader).json(path)
+def scan_json(spark: SparkSession, path: str, schema: str) -> dict[str, DataFrame]:
+    """A document with the arrays voters, pdfs and searchLogs as three tables: the file, else its backup, which then takes its place; else empty tables."""
+    whole = json_with_backup(spark, path, schema)
     return {name: whole.select(F.explode(name).alias("r")).select("r.*") for name in ("voters", "pdfs", "searchLogs") if name in whole.columns}
 
 
-def _hadoop(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def commit(df: DataFrame, path: str) -> None:
-    """Replaces the table at ``path``; the one before stays as ``path.bak``."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(path + ".new")
-    (new, fs), (now, _), (old, _) = (_hadoop(spark, path + s) for s in (".new", "", ".bak"))
-    if fs.exists(now):
-        fs.delete(old, True)
-        fs.rename(now, old)
-    fs.rename(new, now)
-    spark.catalog.refreshByPath(path)
+    """Replaces the table at ``path``; the version before stays (``versions``)."""
+    Versioned(df.sparkSession, path).commit(df)
 
 
 def open_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table, else its backup, else None."""
-    for p in (path, path + ".bak"):
-        where, fs = _hadoop(spark, p)
-        if fs.exists(where):
-            try:
-                return spark.read.parquet(p)
-            except Exception as e:  # noqa: BLE001
-                if "UNABLE_TO_INFER_SCHEMA" not in str(e) and "CANNOT_READ_FILE" not in str(e):
-                    raise
-    return None
+    """The newest whole version of the table, else None."""
+    return Versioned(spark, path).read()
 
 
 def append(df: DataFrame, path: str, rows_a_file: int | None = None) -> None:
-    (df.write.option("maxRecordsPerFile", rows_a_file) if rows_a_file else df.write).mode("append").parquet(path)
+    Versioned(df.sparkSession, path).append(df, rows_a_file)
 
 
 def prepend(df: DataFrame, new: DataFrame, order: str) -> DataFrame:
