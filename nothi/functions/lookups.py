@@ -7,6 +7,7 @@ these; ``from_table`` reads one from a DataFrame of proven size.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Generic words with their right form.
 WORDS = [(w, w) for w in "নির্বাচন কমিশন ভোটার তালিকা জেলা উপজেলা পরিষদ নম্বর গ্রাম পিতা মাতা পেশা ঠিকানা তারিখ জন্ম কৃষক শিক্ষক শ্রমিক ব্যবসা গৃহিণী বেগম শেখ মহিলা পুরুষ".split()]
@@ -74,6 +75,12 @@ def district_spellings(spellings: dict[str, list[str]] = DISTRICT_SPELLINGS) ->
     return variants([(d, spellings.get(d, [])) for d, _ in DISTRICTS])
 
 
+def spellings_table(names: DataFrame) -> DataFrame:
+    """spelling and name, from a table (kind, place, name, spellings): every name and spelling once; surnames over first names, then later places over earlier ones."""
+    every = names.select("place", (F.col("kind") == "surname").alias("last"), "name", F.explode(F.array_union(F.array("name"), F.coalesce("spellings", F.array().cast("array<string>")))).alias("spelling"))
+    return every.groupBy("spelling").agg(F.max_by("name", F.struct("last", "place")).alias("name"))
+
+
 def from_table(df: DataFrame, most: int = 10_000) -> list[tuple]:
     """The rows of a lookup table; more than ``most`` is an error, as lookups are sent to every executor."""
     rows = df.limit(most + 1).collect()

@@ -37,8 +37,8 @@ def shown_logs(logs: DataFrame, n: int = 50) -> DataFrame:
     return logs.orderBy(F.col("date_time").desc(), "id").limit(n).select("id", F.date_format("date_time", "yyyy-MM-dd HH:mm:ss").alias("at"), text("query").alias("query"), first_filled("status", F.lit("Success")).alias("status"))
 
 
-def lookup_stats(spark, words: list, misread: list, names: list, districts: list, upazilas: dict) -> DataFrame:
-    """Sizes of the lookup tables."""
-    kinds = [k for k, _, _ in names]
-    rows = [("words", len(words)), ("misread", len(misread)), *[(k, kinds.count(k)) for k in ("male", "female", "surname")], ("districts", len(districts)), ("divisions", len({d for _, d in districts})), ("upazilas", len({u for us in upazilas.values() for u in us}))]
-    return spark.createDataFrame(rows, "what string, n long")
+def lookup_stats(names: DataFrame, places: DataFrame) -> DataFrame:
+    """what and n: sizes of lookup tables, of names (kind, name) by kind and of places (district, division) by level."""
+    kinds = names.groupBy(F.col("kind").alias("what")).agg(F.count_distinct("name").alias("n"))
+    levels = places.agg(F.count_distinct("district").alias("districts"), F.count_distinct("division").alias("divisions"))
+    return kinds.unionByName(levels.unpivot([], ["districts", "divisions"], "what", "n"))

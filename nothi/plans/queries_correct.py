@@ -82,14 +82,15 @@ def correct_text_words(spark, sf_dir):
     return d.withColumn("r", correct.correct_text("t")).select("id", "r.corrected", F.col("r.n").cast("long").alias("n"))
 
 
-_SPELLINGS = sorted(lookups.name_spellings().items())
+_KINDS = "CASE p_size % 3 WHEN 0 THEN 'surname' WHEN 1 THEN 'male' ELSE 'female' END"
 
 
-@query(values(_SPELLINGS, ["spelling", "name"]))
+@query(f"""WITH n AS (SELECT p_partkey AS place, {_KINDS} = 'surname' AS last, p_name AS name, unnest([p_name, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), lower(p_brand)]) AS spelling FROM part),
+  r AS (SELECT *, row_number() OVER (PARTITION BY spelling ORDER BY last DESC, place DESC) AS o FROM n) SELECT spelling, name FROM r WHERE o = 1""")
 def canonical_map(spark, sf_dir):
-    """Spellings exploded, surnames over first names."""
-    d = spark.createDataFrame([(i, k == "surname", n, [n, *s]) for i, (k, n, s) in enumerate(lookups.NAMES)], "o int, last boolean, name string, spellings array<string>")
-    return d.select("o", "last", "name", F.explode("spellings").alias("spelling")).groupBy("spelling").agg(F.max_by("name", F.struct("last", "o")).alias("name"))
+    """A table's spellings exploded, surnames over first names."""
+    names = table(spark, sf_dir, "part").select(F.expr(_KINDS).alias("kind"), F.col("p_partkey").alias("place"), F.col("p_name").alias("name"), F.concat(F.split("p_name", " "), F.array(F.lower("p_brand"))).alias("spellings"))
+    return lookups.spellings_table(names)
 
 
 #: (asked, canonical, method)
@@ -137,13 +138,13 @@ def merge_corrected(spark, sf_dir):
     return correct.merge_corrected(rows, fixed, ["name"]).select("id", "name")
 
 
-_STATS = [("words", len(lookups.WORDS)), ("misread", len(lookups.MISREAD)), *[(k, sum(x == k for x, _, _ in lookups.NAMES)) for k in ("male", "female", "surname")], ("districts", 64), ("divisions", 8), ("upazilas", len({u for us in lookups.UPAZILAS.values() for u in us}))]
-
-
-@query(values(_STATS, ["what", "n"]))
+@query(f"""SELECT {_KINDS} AS what, count(DISTINCT p_name) AS n FROM part GROUP BY 1 UNION ALL
+  SELECT 'districts', count(DISTINCT n_name) FROM nation UNION ALL SELECT 'divisions', count(DISTINCT r_name) FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def lookup_sizes(spark, sf_dir):
     """A12."""
-    return lookup_stats(spark, lookups.WORDS, lookups.MISREAD, lookups.NAMES, lookups.DISTRICTS, lookups.UPAZILAS)
+    names = table(spark, sf_dir, "part").select(F.expr(_KINDS).alias("kind"), F.col("p_name").alias("name"))
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("district"), F.col("r_name").alias("division"))
+    return lookup_stats(names, places)
 
 
 @query("""SELECT p_partkey, replace(replace(p_name, 'e', 'i'), 'ii', 'y') AS p_name, replace(replace(p_type, 'e', 'i'), 'ii', 'y') AS p_type, replace(replace(p_name, 'e', 'i'), 'ii', 'y') <> p_name OR replace(replace(p_type, 'e', 'i'), 'ii', 'y') <> p_type AS changed FROM part""")

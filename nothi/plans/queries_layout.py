@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from nothi.functions import bengali, lookups, misc
 from nothi.operators import detect, extract, layout
 from nothi.plans import register
-from nothi.plans.registry import PEOPLE, cases, cases_sql, people, query, quote, table, values
+from nothi.plans.registry import PEOPLE, cases, cases_sql, people, query, quote, table
 from nothi.plans.repair import records_from_items
 
 _ITEMS = "SELECT CAST(l_orderkey % 97 AS VARCHAR) AS doc, 3 + CAST(l_orderkey % 5 AS INTEGER) AS page, l_orderkey * 10 + l_linenumber AS seq, l_returnflag || l_linenumber AS str, CAST((l_partkey * 7) % 600 AS DOUBLE) AS x, CAST(800 - (l_suppkey % 60) * 10 AS DOUBLE) AS y, CAST(l_quantity * 2 AS DOUBLE) AS width, CAST(9 AS DOUBLE) AS height FROM lineitem"
@@ -49,15 +49,18 @@ def line_bbox(spark, sf_dir):
     return layout.lines(items(spark, sf_dir), ["doc", "page"])
 
 
-#: (y, line): distance counts from the line's first item, so 94 begins a line.
-ANCHORED = [(100.0, 1), (97.0, 1), (94.0, 2), (91.0, 2), (90.0, 2), (89.5, 3)]
+_HEIGHT = "100 - CAST((l_suppkey * 3 + l_linenumber * 7) % 23 AS DOUBLE) / 2"
 
 
-@query(values([(y, n) for y, n in ANCHORED], ["y", "line"]))
+@query(f"""WITH RECURSIVE i AS (SELECT l_orderkey AS doc, l_linenumber AS seq, {_HEIGHT} AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_HEIGHT} DESC, l_linenumber) AS n FROM lineitem),
+  r AS (SELECT doc, seq, n, y AS anchor, 1 AS line FROM i WHERE n = 1 UNION ALL
+    SELECT i.doc, i.seq, i.n, CASE WHEN abs(i.y - r.anchor) > 4 THEN i.y ELSE r.anchor END, CASE WHEN abs(i.y - r.anchor) > 4 THEN r.line + 1 ELSE r.line END FROM r JOIN i ON i.doc = r.doc AND i.n = r.n + 1)
+  SELECT doc, seq, CAST(line AS BIGINT) AS line FROM r""")
 def line_grouping(spark, sf_dir):
-    """The distance to the line's first item counts."""
-    d = spark.createDataFrame([("d", i, str(i), float(i), y, 1.0, 1.0) for i, (y, _) in enumerate(ANCHORED)], "doc string, seq int, str string, x double, y double, width double, height double")
-    return layout.line_groups(d, ["doc"]).select("y", F.col("line").cast("long").alias("line"))
+    """The distance to the line's first item counts, and not that to the item before."""
+    li = table(spark, sf_dir, "lineitem")
+    d = li.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("seq"), F.lit("s").alias("str"), F.col("l_linenumber").cast("double").alias("x"), (100 - ((F.col("l_suppkey") * 3 + F.col("l_linenumber") * 7) % 23).cast("double") / 2).alias("y"), F.lit(1.0).alias("width"), F.lit(1.0).alias("height"))
+    return layout.line_groups(d, ["doc"]).select("doc", "seq", F.col("line").cast("long").alias("line"))
 
 
 @query(f"WITH i AS ({_ITEMS}) SELECT page, count(*) AS n FROM i WHERE page >= 4 AND page NOT IN (5) AND length(str) > 0 GROUP BY page")

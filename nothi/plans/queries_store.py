@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nothi.operators import search
 from nothi.plans import dashboard
-from nothi.plans.registry import PEOPLE, people, query, table, values
+from nothi.plans.registry import PEOPLE, people, query, table
 from nothi.sources import backends, documents, scratch, store
 
 _LOGS = "SELECT event_id AS id, ts AS date_time, event_type AS query, user_id FROM events"
@@ -194,19 +194,28 @@ def _pages(content: bytes) -> list[list[tuple]]:
     return [[(line, 10.0, 700.0 - 20 * i, 100.0, 10.0, "F") for i, line in enumerate(page.split("\n"))] for page in content.decode().split("\f")]
 
 
-BLOBS = [("a", "one\ntwo\fskipped\fthree"), ("b", "bad"), ("c", "")]
+def _blobs(spark, sf_dir):
+    """A file for each order: pages of lines, some unreadable, some empty."""
+    k = F.col("o_orderkey")
+    page = F.array_join(F.transform(F.sequence(F.lit(1), k % 4 + 1), lambda i: F.concat("o_orderpriority", F.lit(" "), i.cast("string"))), "\n")
+    pages = F.array_join(F.array_repeat(page, (k % 3 + 1).cast("int")), "\f")
+    text = F.when(k % 7 == 3, F.concat(F.lit("bad"), pages)).when(k % 11 == 0, "").otherwise(pages)
+    return table(spark, sf_dir, "orders").select(k.cast("string").alias("doc"), text.cast("binary").alias("content"))
 
 
-@query(values([("a", 3, None), ("b", 0, "ValueError: unreadable"), ("c", 1, None)], ["doc", "records", "error"]))
+_KIND = "CASE WHEN o_orderkey % 7 = 3 THEN 'bad' WHEN o_orderkey % 11 = 0 THEN 'empty' ELSE 'pages' END"
+
+
+@query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS doc, CASE {_KIND} WHEN 'bad' THEN 0 WHEN 'empty' THEN 1 ELSE (o_orderkey % 4 + 1) * CASE WHEN o_orderkey % 3 = 2 THEN 2 ELSE 1 END END AS records,
+  CASE WHEN {_KIND} = 'bad' THEN 'ValueError: unreadable' END AS error FROM orders""")
 def document_status(spark, sf_dir):
-    """Items through a reader; a document that fails stays, without records."""
-    blobs = spark.createDataFrame([(d, bytearray(s.encode())) for d, s in BLOBS], "doc string, content binary")
+    """Items through a reader, without the second pages; a document that fails stays, without records."""
+    blobs = _blobs(spark, sf_dir)
     items = documents.read_items(blobs, _pages)
     return documents.parse_status(blobs, items, items.filter("error is null"))
 
 
-@query(values([("a", "one two"), ("b", ""), ("c", "")], ["doc", "text"]))
+@query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS doc, CASE WHEN {_KIND} <> 'pages' THEN '' ELSE array_to_string([o_orderpriority || ' ' || i FOR i IN range(1, o_orderkey % 4 + 2)], ' ') END AS text FROM orders""")
 def recognised_text(spark, sf_dir):
-    """Text of scans through a recogniser, empty where it fails."""
-    blobs = spark.createDataFrame([(d, bytearray(s.encode())) for d, s in BLOBS], "doc string, content binary")
-    return documents.recognised_text(blobs, lambda b: [" ".join(i[0] for i in _pages(b)[0])], 1)
+    """Text of the first page of scans through a recogniser, empty where it fails."""
+    return documents.recognised_text(_blobs(spark, sf_dir), lambda b: [" ".join(i[0] for i in _pages(b)[0])], 1)

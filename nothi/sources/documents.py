@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 ITEMS = "doc string, page int, seq int, str string, x double, y double, width double, height double, font string, error string"
 _NAMES = [c.split()[0] for c in ITEMS.split(", ")]
 OCR_PAGES = 30
+#: Items that go back from Python at once.
+ROWS_TOGETHER = 8192
 
 
 def capabilities(modules: tuple[str, ...] = ("pypdf", "pdfplumber", "fitz", "pytesseract")) -> dict[str, bool]:
@@ -34,10 +36,20 @@ def read_items(blobs: DataFrame, reader: Callable[[bytes], list[list[tuple]]], m
         except Exception as e:  # noqa: BLE001
             yield (doc, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")
 
+    def frame(held: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(held, columns=_NAMES).astype({"page": "Int32", "seq": "Int32"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
         for pdf in batches:
             for doc, content in zip(pdf["doc"], pdf["content"]):
-                yield pd.DataFrame(list(rows(doc, bytes(content))), columns=_NAMES).astype({"page": "Int32", "seq": "Int32"})
+                for row in rows(doc, bytes(content)):
+                    held.append(row)
+                    if len(held) >= ROWS_TOGETHER:
+                        yield frame(held)
+                        held = []
+        if held:
+            yield frame(held)
 
     return blobs.select(F.col("doc").cast("string").alias("doc"), "content").mapInPandas(run, ITEMS)
 
