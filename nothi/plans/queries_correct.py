@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from nothi.functions import lookups
 from nothi.operators import correct
-from nothi.plans import repair
+from nothi.plans import jobs, repair
 from nothi.plans.dashboard import lookup_stats
 from nothi.plans.registry import PEOPLE, PLACES, cases, cases_sql, people, query, quote, table, values
+from nothi.sources import scratch
 
 _ENTRIES = ["small", "large", "steel", "copper", "green", "red", "blue"]
 _LIST = ", ".join(f"({i}, {quote(e)})" for i, e in enumerate(_ENTRIES))
@@ -168,6 +169,20 @@ def long_replace(spark, sf_dir):
     return done.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "changed")
 
 
+_JOB = [("ee", "i"), ("small", "tiny"), ("i", "y"), ("red", "crimson")]
+_DONE = "replace(replace(replace(replace({0}, 'ee', 'i'), 'small', 'tiny'), 'i', 'y'), 'red', 'crimson')"
+
+
+@query(f"SELECT p_partkey, {_DONE.format('p_name')} AS p_name, {_DONE.format('p_type')} AS p_type, {_DONE.format('p_name')} <> p_name OR {_DONE.format('p_type')} <> p_type AS changed FROM part")
+def repair_job(spark, sf_dir):
+    """A job in parts that was stopped and went on; the repaired table."""
+    work, parts = scratch.path(spark, "job"), table(spark, sf_dir, "part")
+    jobs.replace_job(spark, work, ["p_name", "p_type"], _JOB, "p_partkey", parts=4).run(parts, most=2)
+    again = jobs.replace_job(spark, work, ["p_name", "p_type"], _JOB, "p_partkey", parts=4)
+    again.run(parts)
+    return again.result().select("p_partkey", "p_name", "p_type", "changed")
+
+
 @query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'HOUSES' WHEN 'MACHINERY' THEN 'TOOLS' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def equality_replace(spark, sf_dir):
     """Whole values by a table."""

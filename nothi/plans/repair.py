@@ -30,8 +30,8 @@ def records_from_items(items: DataFrame) -> DataFrame:
     return extract.with_cover(extract.records(rest), cover)
 
 
-def corrected(df: DataFrame, key: str = "id", threshold: float = correct.NAME_INGEST) -> DataFrame:
-    """Texts by the table of misreadings, names by the most alike name, places by the districts; adds n_dict, n_name, n_geo.
+def corrected(df: DataFrame, key: str = "id", threshold: float = correct.NAME_INGEST, names_as_read: bool = False) -> DataFrame:
+    """Texts by the table of misreadings, names by the most alike name, places by the districts; adds n_dict, n_name, n_geo. ``names_as_read``: names are looked at as they stood before the misreadings.
 
     ``key`` is unique. Names are joined back once, as one table over all name columns.
     """
@@ -40,7 +40,7 @@ def corrected(df: DataFrame, key: str = "id", threshold: float = correct.NAME_IN
     out = fixed.withColumns({c: F.when(text(c) != "", F.col(f"_t_{c}.corrected")).otherwise(F.col(c)) for c in texts})
     out = out.withColumn("n_dict", reduce(lambda a, b: a + b, [F.col(f"_t_{c}.n") for c in texts], F.lit(0))).drop(*[f"_t_{c}" for c in texts])
     names = [c for c in NAMES if c in df.columns]
-    long = out.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in names])).alias("e")).select(F.concat_ws("\x01", F.col(key).cast("string"), "e.c").alias("_k"), F.col("e.v").alias("v")).filter(F.length("v") > 1)
+    long = (df if names_as_read else out).select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in names])).alias("e")).select(F.concat_ws("\x01", F.col(key).cast("string"), "e.c").alias("_k"), F.col("e.v").alias("v")).filter(F.length("v") > 1)
     done = correct.correct_names(long, "v", "_k", threshold=threshold).select(F.split("_k", "\x01").alias("_s"), "corrected", "n").select(F.col("_s")[0].alias("_id"), F.col("_s")[1].alias("_c"), "corrected", "n")
     wide = done.groupBy("_id").agg(*[F.max(F.when(F.col("_c") == c, F.when(F.col("n") > 0, F.col("corrected")))).alias(f"_n_{c}") for c in names], F.sum("n").cast("int").alias("n_name"))
     out = out.withColumn("_id", F.col(key).cast("string")).join(wide, "_id", "left")
