@@ -28,8 +28,8 @@ class Database:
     url: str
     options: dict[str, str] = field(default_factory=dict)
 
-    def read(self, spark: SparkSession, table: str) -> DataFrame:
-        return store.read_jdbc(spark, self.url, table, **self.options)
+    def read(self, spark: SparkSession, table: str, by: str | None = None) -> DataFrame:
+        return store.read_jdbc(spark, self.url, table, by, **self.options)
 
     def append(self, df: DataFrame, table: str) -> None:
         store.write_jdbc(df, self.url, table, **self.options)

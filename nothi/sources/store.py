@@ -147,10 +147,47 @@ def read_blobs(spark: SparkSession, path: str, most: int = 50 << 20) -> DataFram
     return spark.read.format("binaryFile").load(path).filter(F.col("length") <= most)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A database table; the driver's jar must be on the class path."""
+def read_jdbc(spark: SparkSession, url: str, table: str, by: str | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A database table; the driver's jar must be on the class path. With ``by``, a column of whole numbers or times, it is read in parts between its least and largest value.
+
+    Filters, columns and limits of the result go to the database.
+    """
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if by:
+        low, high = reader.option("query", f"SELECT MIN({by}) AS lo, MAX({by}) AS hi FROM {table}").load().first()
+        if low is not None:
+            reader = spark.read.format("jdbc").options(url=url, **options).options(partitionColumn=by, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts))
+            return reader.option("dbtable", table).load()
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+class FailedBatch(RuntimeError):
+    """A batch that the database refused; ``written`` rows of the batches before it are there."""
+
+    def __init__(self, written: int, why: str):
+        super().__init__(f"stopped after {written} rows: {why}")
+        self.written = written
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, batch: int = BATCH, **options: str) -> None:
+    """Appends rows in batches; a task's rows count together or not at all."""
     df.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch), **options).mode("append").save()
+
+
+def write_jdbc_in_order(df: DataFrame, url: str, table: str, order: str, batch: int = BATCH, groups: int = 16, **options: str) -> int:
+    """Appends rows in the order of a column, a group of them at a time, and stops at the first that the database refuses: what came before is there, what comes after isn't. Returns the rows written.
+
+    Groups are ranges of ``order`` with about as many rows each; rows that share a value are in one group.
+    """
+    bounds = df.stat.approxQuantile(order, [i / groups for i in range(1, groups)], 0.001) if groups > 1 else []
+    edges, written = [None, *sorted(set(bounds)), None], 0
+    for low, high in zip(edges, edges[1:]):
+        part = df if low is None else df.filter(F.col(order) > low)
+        part = part if high is None else part.filter(F.col(order) <= high)
+        try:
+            # One transaction for each group.
+            write_jdbc(part.coalesce(1), url, table, batch, **options)
+        except Exception as e:  # noqa: BLE001
+            raise FailedBatch(written, str(e).splitlines()[0]) from e
+        written += part.count()
+    return written
