@@ -114,6 +114,8 @@ def test_the_sketch_keeps_similar_sets_of_any_size():
         x, y = (np.unique(np.concatenate([both, new(n)])) for n in (one, two))
         a, b = (np.frombuffer(shingle_join.sketch_of(v), np.uint8) for v in (x, y))
         assert shingle_join.alike(x, y) and shingle_join.promising(a, b[None])[0] >= 0
+        near, far = (set(np.frombuffer(shingle_join.cells_of(v), "<u2").tolist()) for v in (x, y))
+        assert not near or not far or 9 * sum(c in near for c in np.frombuffer(shingle_join.cells_of(y), "<u2").tolist()) >= 4 * (len(x) + len(y))
         z = np.frombuffer(shingle_join.sketch_of(np.sort(np.concatenate([both[: common_ // 2], new(common_)]))), np.uint8)
         dropped += shingle_join.promising(a, z[None])[0] < 0
     assert dropped >= 290
