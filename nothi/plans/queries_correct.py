@@ -44,14 +44,19 @@ def fuzzy_lookup(spark, sf_dir):
     return found.select(F.col("w").alias("word"), "match", F.when(F.col("match").isNotNull(), F.round("score", 9)).alias("score"))
 
 
-#: (word, corrected, method)
-WORDS = [("শখ", "শেখ", "EXACT_MISSPELLING"), ("কমিশন", "কমিশন", "EXACT_DICTIONARY"), ("নির্বাচনে", "নির্বাচন", "FUZZY_MATCH"), ("তালীকা", "তালিকা", "FUZZY_MATCH"), ("xyz", "xyz", "NO_MATCH")]
-
-
-@query(cases_sql(WORDS, ["word", "corrected", "method"]))
+@query(f"""WITH e AS ({_vocabulary_sql("benchmark")}), w AS ({_vocabulary_sql("documents")}), m AS (SELECT reverse(w) AS bad, w AS good FROM e WHERE length(w) >= 5),
+  p AS (SELECT w.w AS word, e.w AS entry, 1.0::DOUBLE - levenshtein(w.w, e.w)::DOUBLE / greatest(length(w.w), length(e.w)) AS sim FROM w JOIN e ON length(e.w) > length(w.w) * 0.75 AND length(w.w) > length(e.w) * 0.75),
+  b AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY sim DESC, entry) AS n FROM p WHERE sim > 0.75::DOUBLE)
+  SELECT w.w AS word, coalesce(m.good, d.w, b.entry, w.w) AS corrected, CASE WHEN m.good IS NOT NULL THEN 'EXACT_MISSPELLING' WHEN d.w IS NOT NULL THEN 'EXACT_DICTIONARY' WHEN b.entry IS NOT NULL THEN 'FUZZY_MATCH' ELSE 'NO_MATCH' END AS method,
+    CASE WHEN m.good IS NOT NULL OR d.w IS NOT NULL THEN 1.0::DOUBLE ELSE round(coalesce(b.sim, 0.0::DOUBLE), 9) END AS confidence
+  FROM w LEFT JOIN m ON m.bad = w.w LEFT JOIN e d ON d.w = w.w LEFT JOIN b ON b.word = w.w AND b.n = 1""")
 def word_correct(spark, sf_dir):
-    """C10, J2, J3."""
-    return correct.correct_words(cases(spark, sf_dir, [(w,) for w, _, _ in WORDS], "word string"), "word").select("id", "word", "corrected", "method")
+    """Every word of the documents by a table of misreadings, then by the benchmark's vocabulary, exactly and by likeness."""
+    entries = _vocabulary(spark, sf_dir, "benchmark").orderBy("w")
+    words = lookups.from_table(entries.select("w", F.col("w").alias("right")))
+    misread = [(w[::-1], w) for w, _ in words if len(w) >= 5]
+    found = correct.correct_words(_vocabulary(spark, sf_dir, "documents").withColumnRenamed("w", "word"), "word", words, misread)
+    return found.select("word", "corrected", "method", F.round("confidence", 9).alias("confidence"))
 
 
 #: (id, name, corrected, method)
@@ -73,14 +78,17 @@ def person_names(spark, sf_dir):
     return correct.correct_person_names(d, "id", ["name", "father"]).select("id", "field", "corrected")
 
 
-TEXTS = [(1, "বগম বগম", "বেগম বেগম", 1), (2, "বগমপুর", "বগমপুর", 0), (3, "নিবাচন কিমশন", "নির্বাচন কমিশন", 2), (4, "", "", 0), (5, "ভাটার তািলকা।", "ভোটার তালিকা।", 2)]
+#: Later entries see what earlier ones made.
+_MISREAD = [("the", "teh"), ("tion", "sion"), ("and", "und"), ("sion", "cion"), ("ing", "eng"), ("teh", "the"), ("und", "and")]
+_STEPS = ", ".join(f"s{k} AS (SELECT *, replace(t{k}, '{a}', '{b}') AS t{k + 1} FROM s{k - 1})" for k, (a, b) in enumerate(_MISREAD))
+_FIRED = " + ".join(f"CAST(t{k + 1} <> t{k} AS BIGINT)" for k in range(len(_MISREAD)))
 
 
-@query(cases_sql([(c, n) for _, _, c, n in TEXTS], ["corrected", "n"]))
+@query(f"WITH s AS (SELECT doc_id, coalesce(text, '') AS t0 FROM documents), {_STEPS.replace('FROM s-1', 'FROM s')} SELECT doc_id, md5(t{len(_MISREAD)}) AS digest, {_FIRED} AS n FROM s{len(_MISREAD) - 1}")
 def correct_text_words(spark, sf_dir):
-    """C11: word bounds, table order, and how many entries fired."""
-    d = cases(spark, sf_dir, [(t,) for _, t, _, _ in TEXTS], "t string")
-    return d.withColumn("r", correct.correct_text("t")).select("id", "r.corrected", F.col("r.n").cast("long").alias("n"))
+    """C11: whole documents by a table of misreadings in order, and how many entries fired."""
+    done = table(spark, sf_dir, "documents").withColumn("r", correct.correct_text("text", _MISREAD))
+    return done.select("doc_id", F.md5(F.col("r.corrected").cast("binary")).alias("digest"), F.col("r.n").cast("long").alias("n"))
 
 
 _KINDS = "CASE p_size % 3 WHEN 0 THEN 'surname' WHEN 1 THEN 'male' ELSE 'female' END"

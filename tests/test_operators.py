@@ -49,6 +49,15 @@ def test_names_with_nulls(spark):
     assert out == {1: ("", "NOT_A_NAME", 0), 2: ("", "NOT_A_NAME", 0), 3: ("করিম", "WORD_BY_WORD", 1)}
 
 
+def test_misread_words_are_whole(spark):
+    texts = [("বগম বগম", "বেগম বেগম", 1), ("বগমপুর", "বগমপুর", 0), ("নিবাচন কিমশন", "নির্বাচন কমিশন", 2), ("", "", 0), ("ভাটার তািলকা।", "ভোটার তালিকা।", 2)]
+    d = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(texts)], "i int, t string")
+    assert {r.i: (r.r.corrected, r.r.n) for r in d.select("i", correct.correct_text("t").alias("r")).collect()} == {i: (c, n) for i, (_, c, n) in enumerate(texts)}
+    words = [("শখ", "শেখ", "EXACT_MISSPELLING"), ("কমিশন", "কমিশন", "EXACT_DICTIONARY"), ("নির্বাচনে", "নির্বাচন", "FUZZY_MATCH"), ("তালীকা", "তালিকা", "FUZZY_MATCH"), ("xyz", "xyz", "NO_MATCH")]
+    d = spark.createDataFrame([(w,) for w, _, _ in words], "word string")
+    assert {(r.word, r.corrected, r.method) for r in correct.correct_words(d, "word").collect()} == set(words)
+
+
 def test_fold_order(spark):
     assert correct.correct_text is not None
     d = spark.createDataFrame([("a",)], "t string")
