@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from nothi.functions import bengali, lookups, misc
 from nothi.operators import detect, extract, layout
 from nothi.plans import register
-from nothi.plans.registry import PEOPLE, cases, cases_sql, people, query, quote, table
+from nothi.plans.registry import PEOPLE, people, query, quote, table
 from nothi.plans.repair import records_from_items
 
 _ITEMS = "SELECT CAST(l_orderkey % 97 AS VARCHAR) AS doc, 3 + CAST(l_orderkey % 5 AS INTEGER) AS page, l_orderkey * 10 + l_linenumber AS seq, l_returnflag || l_linenumber AS str, CAST((l_partkey * 7) % 600 AS DOUBLE) AS x, CAST(800 - (l_suppkey % 60) * 10 AS DOUBLE) AS y, CAST(l_quantity * 2 AS DOUBLE) AS width, CAST(9 AS DOUBLE) AS height FROM lineitem"
@@ -116,14 +116,15 @@ def ward_from_text(spark, sf_dir):
     return people(spark, sf_dir).select("id", bengali.ward_from_text(said).alias("ward"), misc.serial_on_page(F.col("k")).alias("place"))
 
 
-BLOBS = [(1, b"%PDF-1.4\n" + b"x" * 200, True, None, "1.4"), (2, b"hello world" * 30, False, "no PDF header", ""), (3, b"", False, "too small", ""), (4, b"%PDF-1.7\n12345", False, "truncated", "")]
+_FILE = """CASE o_orderkey % 5 WHEN 0 THEN concat('%PDF-1.', CAST(o_orderkey % 8 AS VARCHAR), repeat(' x', 200)) WHEN 1 THEN repeat(o_orderpriority, 40) WHEN 2 THEN '%PDF' WHEN 3 THEN concat('%PDF-1.7', CAST(o_orderkey AS VARCHAR), ' ', o_orderpriority) END"""
 
 
-@query(cases_sql([b[2:] for b in BLOBS], ["valid", "error", "version"]))
+@query(f"""WITH f AS (SELECT o_orderkey, {_FILE} AS t FROM orders), e AS (SELECT *, CASE WHEN length(coalesce(t, '')) < 10 THEN 'too small' WHEN NOT starts_with(t, '%PDF-') THEN 'no PDF header' WHEN length(t) < 200 THEN 'truncated' END AS error FROM f)
+  SELECT o_orderkey, error IS NULL AS valid, error, CASE WHEN error IS NULL THEN regexp_extract(t, '^%PDF-([0-9.]+)', 1) ELSE '' END AS version FROM e""")
 def pdf_integrity(spark, sf_dir):
     """S28."""
-    d = cases(spark, sf_dir, [(bytearray(b[1]),) for b in BLOBS], "content binary")
-    return d.withColumn("r", detect.integrity("content")).select("id", "r.valid", "r.error", "r.version")
+    d = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_FILE.replace("VARCHAR", "STRING")).cast("binary").alias("content"))
+    return d.withColumn("r", detect.integrity("content")).select("o_orderkey", "r.valid", "r.error", "r.version")
 
 
 @query("SELECT p_partkey, p_name || '.PDF' AS name FROM part WHERE p_size * 2000000 <= 52428800 AND p_partkey % 3 <> 0")

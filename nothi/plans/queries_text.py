@@ -82,13 +82,16 @@ def digits_bn(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", shown.alias("shown"), bengali.parse_number(shown).alias("back"))
 
 
-NUMBERS = [("১২,৩৪৫", 12345), ("12abc", 12), ("abc", 0), ("-5", -5), (" 1 2 ", 12), ("", 0), (None, 0), ("০০৭.", 7)]
+#: Numbers in both kinds of digits, with commas, spaces, signs and words around them.
+_WRITTEN = """CASE o_orderkey % 7 WHEN 0 THEN translate(concat(CAST(CAST(floor(o_totalprice) AS BIGINT) // 1000 AS VARCHAR), ',', lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) % 1000 AS VARCHAR), 3, '0')), '0123456789', '০১২৩৪৫৬৭৮৯')
+  WHEN 1 THEN concat(CAST(o_orderkey AS VARCHAR), 'abc') WHEN 2 THEN concat('abc', CAST(o_orderkey AS VARCHAR)) WHEN 3 THEN concat('-', CAST(o_custkey AS VARCHAR)) WHEN 4 THEN concat(' 1 ', CAST(o_custkey AS VARCHAR), ' ') WHEN 5 THEN concat('০০', translate(CAST(o_custkey AS VARCHAR), '0123456789', '০১২৩৪৫৬৭৮৯'), '.') END"""
 
 
-@query(cases_sql([(n,) for _, n in NUMBERS], ["n"]))
+@query(f"SELECT o_orderkey, coalesce(TRY_CAST(nullif(regexp_extract(translate(regexp_replace({_WRITTEN}, '[, ]', '', 'g'), '০১২৩৪৫৬৭৮৯', '0123456789'), '^[+-]?[0-9]{{1,18}}'), '') AS BIGINT), 0) AS n FROM orders")
 def parse_number(spark, sf_dir):
     """C34."""
-    return cases(spark, sf_dir, [(s,) for s, _ in NUMBERS], "s string").select("id", bengali.parse_number("s").alias("n"))
+    written = _WRITTEN.replace("//", "div").replace("VARCHAR", "STRING")
+    return table(spark, sf_dir, "orders").select("o_orderkey", bengali.parse_number(F.expr(written)).alias("n"))
 
 
 GLYPHS = [("Avwg", "অ" + A + "মি"), ("†kL", "শেখ"), ("wcZv", "পিতা"), ("123", "১২৩"), ("", "")]
@@ -160,13 +163,14 @@ def latin1_names(spark, sf_dir):
     return d.select("doc_id", misc.latin1_to_utf8(wrong).alias("s"))
 
 
-FENCED = [('```json\n{"a": 1, "b": "x"}\n```', 1, "x"), ('{"a": 2}', 2, None), ("```\n{\"b\": \"y\"}\n```", 0, "y")]
-
-
-@query(cases_sql([(a, b) for _, a, b in FENCED], ["a", "b"]))
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 2 THEN 0 WHEN 3 THEN 0 ELSE CAST(p_size AS BIGINT) END AS a, CASE p_partkey % 4 WHEN 1 THEN NULL WHEN 3 THEN NULL ELSE p_name END AS b FROM part")
 def fenced_json(spark, sf_dir):
     """C42."""
-    return cases(spark, sf_dir, [(s,) for s, _, _ in FENCED], "s string").withColumn("j", misc.unfenced_json("s", "a long, b string")).select("id", F.coalesce("j.a", F.lit(0)).alias("a"), "j.b")
+    k, both = F.col("p_partkey") % 4, F.to_json(F.struct(F.col("p_size").alias("a"), F.col("p_name").alias("b")))
+    fence = lambda kind, c: F.concat(F.lit(f"```{kind}\n"), c, F.lit("\n```"))
+    said = F.when(k == 0, fence("json", both)).when(k == 1, F.to_json(F.struct(F.col("p_size").alias("a")))).when(k == 2, fence("", F.to_json(F.struct(F.col("p_name").alias("b"))))).otherwise(fence("json", F.lit("none")))
+    d = table(spark, sf_dir, "part").withColumn("j", misc.unfenced_json(said, "a long, b string"))
+    return d.select("p_partkey", F.coalesce("j.a", F.lit(0)).alias("a"), "j.b")
 
 
 @query(f"""WITH {PEOPLE} SELECT id, coalesce(nullif(array_to_string(list_filter([CASE WHEN name <> '' THEN 'নাম: ' || name END, CASE WHEN father <> '' THEN 'পিতা: ' || father END, CASE WHEN village <> '' THEN 'গ্রাম/মহল্লা: ' || village END], lambda x: x IS NOT NULL), ', '), ''), {quote(misc.SEARCH_ANY)}) AS summary,

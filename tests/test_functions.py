@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from nothi.functions import bengali, decode, lookups, misc, names
 from nothi.functions.similarity import jaccard, ngrams, phonetic_similarity, similarity
-from nothi.operators import search
+from nothi.operators import detect, search
 
 RRA, DDA, NUKTA, YYA = chr(0x9DC), chr(0x9A1), chr(0x9BC), chr(0x9DF)
 
@@ -105,3 +105,19 @@ def test_lookups(spark):
     assert lookups.extended([("a", "a")], {"a": "b", "c": "d"}) == [("a", "b"), ("c", "d")]
     with pytest.raises(ValueError):
         lookups.from_table(spark.range(11), 10)
+
+
+@pytest.mark.parametrize("s, n", [("১২,৩৪৫", 12345), ("12abc", 12), ("abc", 0), ("-5", -5), (" 1 2 ", 12), ("", 0), (None, 0), ("০০৭.", 7)])
+def test_parse_number(spark, s, n):
+    assert value(spark, bengali.parse_number(lit(s))) == n
+
+
+@pytest.mark.parametrize("s, a, b", [('```json\n{"a": 1, "b": "x"}\n```', 1, "x"), ('{"a": 2}', 2, None), ('```\n{"b": "y"}\n```', None, "y")])
+def test_fenced_json(spark, s, a, b):
+    got = value(spark, misc.unfenced_json(lit(s), "a long, b string"))
+    assert (got.a, got.b) == (a, b)
+
+
+@pytest.mark.parametrize("content, valid, error, version", [(b"%PDF-1.4\n" + b"x" * 200, True, None, "1.4"), (b"hello world" * 30, False, "no PDF header", ""), (b"", False, "too small", ""), (b"%PDF-1.7\n12345", False, "truncated", "")])
+def test_integrity(spark, content, valid, error, version):
+    assert tuple(value(spark, detect.integrity(F.lit(bytearray(content))))) == (valid, error, version)
