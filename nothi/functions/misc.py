@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,7 +43,8 @@ def search_method(village: Column | str) -> Column:
 
 
 def size_mb(n_bytes: Column) -> Column:
-    return F.concat(F.format_string("%.2f", n_bytes / 1048576.0), F.lit(" MB"))
+    """Whole bytes (under 10 ** 17) as megabytes with two places: of the exact quotient, ties to the even digit."""
+    return F.concat(F.bround(n_bytes.cast("decimal(17,0)") * F.lit(Decimal(1) / 1048576), 2).cast("string"), F.lit(" MB"))
 
 
 def ellipsis(c: Column | str, most: int = 35) -> Column:

@@ -118,6 +118,11 @@ def test_fenced_json(spark, s, a, b):
     assert (got.a, got.b) == (a, b)
 
 
+@pytest.mark.parametrize("n, said", [(131072 * 123457, "15432.12 MB"), (131072 * 3 * 123457, "46296.38 MB"), (0, "0.00 MB"), (5243, "0.01 MB"), (5242, "0.00 MB"), (None, None)])
+def test_size_ties(spark, n, said):
+    assert value(spark, misc.size_mb(F.lit(n).cast("double"))) == said
+
+
 @pytest.mark.parametrize("content, valid, error, version", [(b"%PDF-1.4\n" + b"x" * 200, True, None, "1.4"), (b"hello world" * 30, False, "no PDF header", ""), (b"", False, "too small", ""), (b"%PDF-1.7\n12345", False, "truncated", "")])
 def test_integrity(spark, content, valid, error, version):
     assert tuple(value(spark, detect.integrity(F.lit(bytearray(content))))) == (valid, error, version)
