@@ -1,9 +1,11 @@
 """Fuzzy lookup with an index: the entries of a lookup that are alike a word, without comparing every word with every entry.
 
-Two texts are alike above a threshold if few edits part them. A text that is cut into one segment more than there are edits keeps one segment
-whole, and moved no farther than the edits before and after it allow. So an entry is indexed by its segments, a word asks with its own substrings at
-the places where a segment may lie, and an equi join on (length, edits, segment number, segment) finds every pair; nothing is compared by distance but what it finds.
-How many edits are allowed follows from the two lengths, so an entry is cut once for each number of edits that words of some length may have.
+Two texts are alike above a threshold if few edits part them, and how many follows from the longer one's length. Up to ``WHOLE`` edits leave the two texts with a common rest, which is each of
+them without as many characters at most; so a text stands in the index with all its rests, and few texts but the near ones share a rest. With more edits a text is cut into so many parts
+that one has a single edit at most and is moved no farther than the edits before and after it allow; an entry is indexed by the rests of its parts, and a word asks with its own substrings at
+the places where a part may lie. An equi join on a hash of the rest finds every pair; nothing is compared by distance but what it finds.
+
+Only the nearest entry counts for a plain lookup, so words that are entries themselves are done at once, and words with an entry at one edit ask no further.
 
 Both sides are tables: a small index is broadcast, a large one is shuffled, and Spark splits what is skewed. Lists of entries become a table of
 checked size (``MOST``) first. Nothing of a lookup stands in the plan.
@@ -11,14 +13,19 @@ checked size (``MOST``) first. Nothing of a lookup stands in the plan.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nothi.functions.bengali import skeleton
 from nothi.functions.similarity import similarity
+from nothi.sources import scratch
 
 #: Entries that a list may have: its index is broadcast.
 MOST = 10_000
+#: Edits up to which whole texts are asked by their rests.
+WHOLE = 2
 _SLACK = 1e-9
 
 
@@ -32,48 +39,133 @@ def entries_table(spark: SparkSession, entries: list[str] | DataFrame) -> DataFr
 
 
 def edits(longer: Column, threshold: float) -> Column:
-    """Edits of two texts that are alike above the threshold, at most (never one too few)."""
-    return F.greatest(F.ceil((1.0 - threshold) * longer + _SLACK) - 1, F.lit(0)).cast("int")
+    """Edits of two texts that are alike above the threshold, at most: by the same arithmetic as ``similarity``."""
+    most = F.greatest(F.ceil((1.0 - threshold) * longer + _SLACK) - 1, F.lit(0)).cast("int")
+    return F.when((most > 0) & (1.0 - most / F.greatest(longer, F.lit(1)) <= threshold), most - 1).otherwise(most)
 
 
 def _cut(i: Column, n: Column, parts: Column) -> Column:
     return F.floor(i * n / parts).cast("int")
 
 
+def _rests(rows: DataFrame, most: Column) -> DataFrame:
+    """Adds ``_rest``: the text ``_s`` without no, one or two characters (``_x`` and ``_y``, their places from 1), ``most`` at most."""
+    n, x, y = F.length("_s"), F.col("_x"), F.col("_y")
+    none = F.array(F.lit(0))
+    out = rows.withColumn("_x", F.explode(F.when(most >= 2, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(none)))
+    out = out.withColumn("_y", F.explode(F.when(x > 0, F.sequence(x + 1, n)).when(most >= 1, F.sequence(F.lit(0), n)).otherwise(none)))
+    return out.withColumn("_rest", F.concat(F.substring("_s", F.lit(1), x - 1), F.substring("_s", x + 1, y - x - 1), F.substring("_s", y + 1, n)))
+
+
+def wholes(texts: DataFrame, column: str, threshold: float, *keep: str, within: tuple[int, int] = (0, WHOLE)) -> DataFrame:
+    """_key and the kept columns: the rests of whole texts, for pairs that differ by the edits ``within``; with more than one, only of texts that may differ by ``WHOLE`` at most."""
+    out = texts.select(*keep, F.col(column).alias("_s")).withColumn("_t", edits(F.length("_s"), threshold)).filter((F.col("_t") <= WHOLE) | F.lit(within[1] == 1))
+    # The longer of two texts loses the edits, the shorter one fewer; its own number is as many at least.
+    out = out.filter(F.length("_s") >= _shortest(within[0], threshold))
+    return _rests(out, F.least("_t", F.lit(within[1]))).select(*keep, F.xxhash64("_rest").alias("_key"))
+
+
+def _shortest(t: int, threshold: float) -> int:
+    """The least length of one of two texts that differ by t edits and are alike."""
+    return max(0, math.floor(t / (1.0 - threshold)) - t) if t and threshold < 1 else 0
+
+
+def _part(i: Column, n: Column, t: Column) -> tuple[Column, Column, Column]:
+    """Where part i begins and ends, and how many there are: one of them has one edit at most."""
+    parts = F.floor(t / 2).cast("int") + 1
+    return _cut(i, n, parts), _cut(i + 1, n, parts), parts
+
+
 def index(entries: DataFrame, column: str, threshold: float, *keep: str) -> DataFrame:
-    """_b, _t, _i, _seg and the kept columns: the segments of each entry for every number of edits that it may be asked with."""
-    if not 0 < threshold <= 1:
-        raise ValueError("the threshold must be over 0 and at most 1")
-    b = F.length(column)
+    """_key and the kept columns: the rests of the parts of each entry for every number of edits over ``WHOLE`` that it may be asked with."""
+    b, t = F.col("_b"), F.col("_t")
+    out = entries.select(*keep, F.col(column).alias("_text"), F.length(column).alias("_b"))
     longest = F.greatest(b, F.floor(b / threshold + _SLACK).cast("int"))
-    out = entries.select(*keep, F.col(column).alias("_text"), b.alias("_b"), F.explode(F.array_distinct(F.transform(F.sequence(b, longest), lambda n: edits(n, threshold)))).alias("_t"))
-    out = out.withColumn("_i", F.explode(F.sequence(F.lit(0), "_t")))
-    begin, end = _cut(F.col("_i"), F.col("_b"), F.col("_t") + 1), _cut(F.col("_i") + 1, F.col("_b"), F.col("_t") + 1)
-    return out.select(*keep, "_b", "_t", "_i", F.substring("_text", begin + 1, end - begin).alias("_seg"))
+    out = out.withColumn("_t", F.explode(F.array_distinct(F.transform(F.sequence(b, longest), lambda n: edits(n, threshold))))).filter(t > WHOLE)
+    out = out.withColumn("_i", F.explode(F.sequence(F.lit(0), F.floor(t / 2).cast("int"))))
+    begin, end, _ = _part(F.col("_i"), b, t)
+    out = out.withColumn("_s", F.substring("_text", begin + 1, end - begin))
+    return _rests(out, F.lit(1)).select(*keep, F.xxhash64("_b", "_t", "_i", "_rest").alias("_key"))
 
 
 def asked(words: DataFrame, column: str, threshold: float, *keep: str) -> DataFrame:
-    """_b, _t, _i, _seg and the kept columns: what each word looks for in the index."""
-    a = F.length(column)
+    """_key and the kept columns: what each word looks for in the index."""
+    a, b, t, i, delta = (F.col(c) for c in ("_a", "_b", "_t", "_i", "_d"))
+    out = words.select(*keep, F.col(column).alias("_text"), F.length(column).alias("_a"))
     least, most = F.ceil(a * threshold - _SLACK).cast("int"), F.greatest(a, F.floor(a / threshold + _SLACK).cast("int"))
-    out = words.select(*keep, F.col(column).alias("_text"), a.alias("_a"), F.explode(F.sequence(least, most)).alias("_b"))
-    out = out.withColumn("_t", edits(F.greatest("_a", "_b"), threshold)).filter(F.abs(F.col("_a") - F.col("_b")) <= F.col("_t"))
-    out = out.withColumn("_i", F.explode(F.sequence(F.lit(0), "_t")))
-    begin, end = _cut(F.col("_i"), F.col("_b"), F.col("_t") + 1), _cut(F.col("_i") + 1, F.col("_b"), F.col("_t") + 1)
-    # Of the edits, i lie before the segment and the rest behind it.
-    moved, rest = F.col("_a") - F.col("_b"), F.col("_t") - F.col("_i")
-    lo = F.greatest(F.lit(0), begin - F.col("_i"), begin + moved - rest)
-    hi = F.least(F.col("_a") - (end - begin), begin + F.col("_i"), begin + moved + rest)
-    out = out.withColumns({"_n": end - begin, "_lo": lo, "_hi": hi}).filter("_lo <= _hi").withColumn("_p", F.explode(F.sequence("_lo", "_hi")))
-    return out.select(*keep, "_b", "_t", "_i", F.substring("_text", F.col("_p") + 1, F.col("_n")).alias("_seg")).distinct()
+    out = out.filter(edits(most, threshold) > WHOLE).withColumn("_b", F.explode(F.sequence(least, most)))
+    out = out.withColumn("_t", edits(F.greatest(a, b), threshold)).filter((t > WHOLE) & (F.abs(a - b) <= t))
+    out = out.withColumn("_i", F.explode(F.sequence(F.lit(0), F.floor(t / 2).cast("int")))).withColumn("_d", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+    begin, end, parts = _part(i, b, t)
+    # There is such a part with 2 i or 2 i + 1 edits before it, and the rest of them behind it; the first part has nothing before it, the last nothing behind.
+    size, moved = end - begin + delta, a - b - delta
+    before, behind = F.when(i == 0, 0).otherwise(F.least(2 * i + 1, t)), F.when(i == parts - 1, 0).otherwise(t - 2 * i)
+    lo = F.greatest(F.lit(0), begin - before, begin + moved - behind)
+    hi = F.least(a - size, begin + before, begin + moved + behind)
+    out = out.withColumns({"_n": size, "_lo": lo, "_hi": hi}).filter("_n >= 0 and _lo <= _hi").withColumn("_p", F.explode(F.sequence("_lo", "_hi")))
+    out = _rests(out.withColumn("_s", F.substring("_text", F.col("_p") + 1, F.col("_n"))), F.when(delta < 0, 0).otherwise(1))
+    return out.filter((delta < 1) | (F.col("_y") > 0)).select(*keep, F.xxhash64("_b", "_t", "_i", "_rest").alias("_key"))
+
+
+def _met(asking: DataFrame, held: DataFrame, listed: bool) -> DataFrame:
+    """Rows of both sides with one key. A list's index is broadcast. A table's is many times the table, so that its size says nothing, and few bytes make many pairs: both sides are dealt out by number."""
+    if listed:
+        return asking.join(F.broadcast(held), "_key").drop("_key")
+    n = int(asking.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return asking.repartition(n, "_key").join(held.repartition(n, "_key").hint("merge"), "_key").drop("_key")
+
+
+def _alike_wholes(words: DataFrame, column: str, entries: DataFrame, entry: str, threshold: float, words_keep: tuple[str, ...], entries_keep: tuple[str, ...], listed: bool, within: tuple[int, int] = (0, WHOLE)) -> DataFrame:
+    return _met(wholes(words, column, threshold, *words_keep, within=within), wholes(entries, entry, threshold, *entries_keep, within=within), listed)
+
+
+def alike(words: DataFrame, column: str, entries: DataFrame, entry: str, threshold: float, words_keep: tuple[str, ...], entries_keep: tuple[str, ...], listed: bool = False, least: int = 0) -> DataFrame:
+    """Candidate pairs, with the kept columns of both sides; a pair may come more than once. ``listed``: the entries are few. Pairs that differ by under ``least`` edits may be missing."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be over 0 and at most 1")
+    whole = _alike_wholes(words, column, entries, entry, threshold, words_keep, entries_keep, listed, (least, WHOLE))
+    return whole.unionByName(_met(asked(words, column, threshold, *words_keep), index(entries, entry, threshold, *entries_keep), listed))
+
+
+def _scored(pairs: DataFrame, threshold: float) -> DataFrame:
+    """_asked and _m: of the pairs above the threshold that with the highest score, then the smallest place."""
+    # Filtered when it is the best, so that a distance is taken once.
+    scored = pairs.select("_asked", "o", "entry", similarity(F.col("_asked"), F.col("entry")).alias("d"))
+    return scored.groupBy("_asked").agg(F.min(F.struct((-F.col("d")).alias("d"), "o", "entry", F.lit("LEVENSHTEIN").alias("method"))).alias("_m")).filter(-F.col("_m.d") > threshold)
+
 
+def _best(found: DataFrame) -> DataFrame:
+    return found.select("_asked", F.struct(F.col("_m.entry").alias("match"), (-F.col("_m.d")).alias("score"), F.col("_m.method").alias("method")).alias("_best"))
 
-_KEY = ["_b", "_t", "_i", "_seg"]
 
+def _nearest(distinct: DataFrame, column: str, words: DataFrame, listed: DataFrame, threshold: float) -> DataFrame:
+    """``best_match`` against a table of entries: equal ones first, then those at one edit, then all others for the words that are left."""
+    spark = words.sparkSession
 
-def alike(words: DataFrame, column: str, entries: DataFrame, entry: str, threshold: float, words_keep: tuple[str, ...], entries_keep: tuple[str, ...]) -> DataFrame:
-    """Candidate pairs, with the kept columns of both sides; a pair may come more than once."""
-    return asked(words, column, threshold, *words_keep).join(index(entries, entry, threshold, *entries_keep), _KEY).drop(*_KEY)
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = scratch.path(spark, name)
+        # Small rows become many, so they are spread over tasks again when read.
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    listed = kept(listed.groupBy("entry").agg(F.min("o").alias("o")), "entries")
+    empty = F.struct((-F.lit(1.0)).alias("d"), "o", "entry", F.lit("LEVENSHTEIN").alias("method"))
+    same = words.join(listed, F.col("_asked") == F.col("entry"), "left").select("_asked", F.when(F.col("entry").isNotNull() & F.lit(threshold < 1), empty).alias("_same"))
+    same = kept(same, "same")
+    left = same.filter("_same is null").select("_asked")
+    near = _scored(_alike_wholes(left, "_asked", listed, "entry", threshold, ("_asked",), ("o", "entry"), False, (1, 1)), threshold)
+    near = kept(left.join(near, "_asked", "left"), "near")
+    # Two edits and more make one less 2 / (n + 2) at best.
+    open_ = near.filter(F.coalesce(-F.col("_m.d") <= 1.0 - 2 / (F.length("_asked") + 2), F.lit(True))).select("_asked")
+    far = _scored(alike(open_, "_asked", listed, "entry", threshold, ("_asked",), ("o", "entry"), least=2), threshold)
+    found = near.join(far.withColumnRenamed("_m", "_f"), "_asked", "left").select("_asked", F.least("_m", "_f").alias("_m"))
+    found = found.unionByName(same.filter("_same is not null").select("_asked", F.col("_same").alias("_m"))).filter("_m is not null")
+    out = distinct.select(column).join(_best(found), F.col(column) == F.col("_asked"), "left")
+    return _told(out, column, threshold)
+
+
+def _told(out: DataFrame, column: str, threshold: float) -> DataFrame:
+    return out.select(column, F.col("_best.match").alias("match"), F.coalesce("_best.score", F.lit(float(threshold))).alias("score"), F.coalesce("_best.method", F.lit("NONE")).alias("method"))
 
 
 def best_match(distinct: DataFrame, column: str, entries: list[str] | DataFrame, threshold: float, phonetic: bool = False, margin: float = 0.0) -> DataFrame:
@@ -82,28 +174,35 @@ def best_match(distinct: DataFrame, column: str, entries: list[str] | DataFrame,
     With ``phonetic``, entries are looked at in order, and one counts by its skeleton if that is more alike than the best so far by over ``margin``. An entry below the
     threshold in both ways never counts, so the entries found by the index, gone through in order, give what all would.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be over 0 and at most 1")
     listed, word = entries_table(distinct.sparkSession, entries), F.col(column).alias("_asked")
     words = distinct.select(word).filter("_asked is not null")
     if phonetic:
-        listed, words = listed.withColumn("_ek", skeleton("entry")), words.withColumn("_asked_key", skeleton("_asked"))
-        pairs = alike(words, "_asked", listed, "entry", threshold, ("_asked", "_asked_key"), ("o", "entry", "_ek")).unionByName(alike(words, "_asked_key", listed, "_ek", min(1.0, threshold + margin), ("_asked", "_asked_key"), ("o", "entry", "_ek")))
+        # A text and its skeleton are two forms, one where they are equal: a pair is found by any two of them.
+        listed = listed.withColumn("_ek", skeleton("entry")).withColumn("_form", F.explode(F.array_distinct(F.array("entry", "_ek"))))
+        words = words.withColumn("_asked_key", skeleton("_asked")).withColumn("_as", F.explode(F.array_distinct(F.array("_asked", "_asked_key"))))
+        pairs = alike(words, "_as", listed, "_form", threshold, ("_asked", "_asked_key"), ("o", "entry", "_ek"), listed=not isinstance(entries, DataFrame))
         scored = pairs.select("_asked", "o", "entry", similarity(F.col("_asked"), F.col("entry")).alias("d"), similarity(F.col("_asked_key"), F.col("_ek")).alias("p"))
         scored = scored.filter((F.col("d") > threshold) | (F.col("p") > threshold + margin))
-        start = F.struct(F.lit(None).cast("string").alias("match"), F.lit(float(threshold)).alias("score"), F.lit("NONE").alias("method"))
-
-        def step(best: Column, x: Column) -> Column:
-            now = F.when(x["d"] > best["score"], F.struct(x["entry"].alias("match"), x["d"].alias("score"), F.lit("LEVENSHTEIN").alias("method"))).otherwise(best)
-            return F.when(x["p"] > now["score"] + margin, F.struct(x["entry"].alias("match"), x["p"].alias("score"), F.lit("PHONETIC").alias("method"))).otherwise(now)
-
-        found = scored.groupBy("_asked").agg(F.aggregate(F.array_sort(F.collect_set(F.struct("o", "entry", "d", "p"))), start, step).alias("_best"))
+        if margin:
+            start = F.struct(F.lit(None).cast("string").alias("match"), F.lit(float(threshold)).alias("score"), F.lit("NONE").alias("method"))
+
+            def step(best: Column, x: Column) -> Column:
+                now = F.when(x["d"] > best["score"], F.struct(x["entry"].alias("match"), x["d"].alias("score"), F.lit("LEVENSHTEIN").alias("method"))).otherwise(best)
+                return F.when(x["p"] > now["score"] + margin, F.struct(x["entry"].alias("match"), x["p"].alias("score"), F.lit("PHONETIC").alias("method"))).otherwise(now)
+
+            found = scored.groupBy("_asked").agg(F.aggregate(F.array_sort(F.collect_set(F.struct("o", "entry", "d", "p"))), start, step).alias("_best"))
+        else:
+            # Without a margin that is the highest score, then the smallest place.
+            by = F.when(F.col("p") > F.col("d"), F.struct((-F.col("p")).alias("d"), "o", "entry", F.lit("PHONETIC").alias("method"))).otherwise(F.struct((-F.col("d")).alias("d"), "o", "entry", F.lit("LEVENSHTEIN").alias("method")))
+            found = _best(scored.groupBy("_asked").agg(F.min(by).alias("_m")))
+    elif isinstance(entries, DataFrame):
+        return _nearest(distinct, column, words, listed, threshold)
     else:
-        pairs = alike(words, "_asked", listed, "entry", threshold, ("_asked",), ("o", "entry"))
-        scored = pairs.select("_asked", "o", "entry", similarity(F.col("_asked"), F.col("entry")).alias("d")).filter(F.col("d") > threshold)
-        # The highest score, then the smallest place.
-        found = scored.groupBy("_asked").agg(F.min(F.struct((-F.col("d")).alias("d"), "o", "entry")).alias("_m"))
-        found = found.select("_asked", F.struct(F.col("_m.entry").alias("match"), (-F.col("_m.d")).alias("score"), F.lit("LEVENSHTEIN").alias("method")).alias("_best"))
+        found = _best(_scored(alike(words, "_asked", listed, "entry", threshold, ("_asked",), ("o", "entry"), listed=True), threshold))
     out = distinct.select(column).join(found, F.col(column) == F.col("_asked"), "left")
-    return out.select(column, F.col("_best.match").alias("match"), F.coalesce("_best.score", F.lit(float(threshold))).alias("score"), F.coalesce("_best.method", F.lit("NONE")).alias("method"))
+    return _told(out, column, threshold)
 
 
 def looked_up(df: DataFrame, column: str, pairs: dict[str, str] | DataFrame, out: str) -> DataFrame:

@@ -64,6 +64,17 @@ def test_by_sound(spark, threshold, margin):
         assert got[w] == (match, round(score, 9), method), w
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.75, 1.0])
+def test_tables(spark, threshold):
+    rng = random.Random(int(threshold * 100) + 1)
+    entries, words = texts(rng, 150, "abc", 15), texts(rng, 150, "abc", 15)
+    listed = spark.createDataFrame(list(enumerate(entries)), "o int, entry string")
+    got = {r.w: (r.match, round(r.score, 9)) for r in fuzzy.best_match(spark.createDataFrame([(w,) for w in words], "w string"), "w", listed, threshold).collect()}
+    for w in words:
+        match, score, _ = every(w, "", entries, entries, threshold, False, 0)
+        assert got[w] == (match, round(score, 9)), w
+
+
 def test_tables_nulls_and_places(spark):
     words = spark.createDataFrame([("abcd",), (None,), ("zzzz",)], "w string")
     entries = spark.createDataFrame([(2, "abcx"), (1, "abcy"), (0, None)], "o int, entry string")
@@ -102,3 +113,13 @@ def test_candidates_are_few(spark):
     n = words.count()
     pairs = fuzzy.alike(words, "w", entries, "entry", 0.75, ("w",), ("o",)).distinct().count()
     assert n <= pairs < n * n / 50
+
+
+def test_candidates_share_more_than_a_few_letters(spark):
+    rng = random.Random(6)
+    parts = "an en on ti re ha he th er nd st al".split()
+    words = spark.createDataFrame([("".join(rng.choices(parts, k=5)),) for _ in range(3000)], "w string").distinct()
+    entries = fuzzy.entries_table(spark, words.select(F.col("w").alias("entry")))
+    found = fuzzy.alike(words, "w", entries, "entry", 0.75, ("w",), ("entry",)).distinct()
+    near = found.filter("levenshtein(w, entry) <= 2").count()
+    assert near <= found.count() < 15 * near
