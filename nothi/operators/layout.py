@@ -1,6 +1,6 @@
 """Page layout: columns and lines from positioned text items.
 
-Items have (doc, page, seq, str, x, y, width, height). Columns are native windows per page. Lines are grouped by distance from the group's
+Items have (doc, page, seq, str, x, y, width, height). Columns come from counts by page and x. Lines are grouped by distance from the group's
 first item, not from the item before; that is a fold over a page column's items in order, done in one pass over a sorted array.
 """
 
@@ -26,19 +26,29 @@ def columns(items: DataFrame, page: list[str] | None = None) -> DataFrame:
 
     A page under 150 wide is one column. Else each divider is the middle of the widest gap between neighbouring starts in its range; the first of equal gaps counts.
     """
-    page = page or ["doc", "page"]
-    whole, x = Window.partitionBy(*page), F.col("x")
-    placed = items.withColumns({"_lo": F.min("x").over(whole), "_range": (F.max("x").over(whole) - F.min("x").over(whole))})
-    narrow = F.coalesce("width", F.lit(0.0)) < F.col("_range") * WIDE_SHARE
-    # Windows by page and a flag need no exchange of their own.
+    page, x = page or ["doc", "page"], F.col("x")
+    # Where an item lies depends on its page and x alone, so items are counted by them, and no page's items stand together.
+
+    def of_page(rows: DataFrame, pages: DataFrame) -> DataFrame:
+        """Rows with what is known of their page (``_page`` is a struct, so that null keys meet)."""
+        return rows.join(pages, F.struct(*page).eqNullSafe(F.col("_page"))).drop("_page")
+
+    whole = items.groupBy(F.struct(*page).alias("_page")).agg(F.min("x").alias("_lo"), (F.max("x") - F.min("x")).alias("_range"))
+    narrow = F.coalesce(F.coalesce("width", F.lit(0.0)) < F.col("_range") * WIDE_SHARE, F.lit(False))
+    cells = of_page(items, whole).groupBy(F.struct(*page).alias("_page"), "_lo", "_range", "x").agg(F.count_if(narrow).alias("_n"))
+    at = {}
     for name, (low, high, default) in (("_b1", FIRST), ("_b2", SECOND)):
-        placed = placed.withColumn("_in", F.coalesce(narrow & (x >= F.col("_lo") + F.col("_range") * low) & (x <= F.col("_lo") + F.col("_range") * high), F.lit(False)))
-        placed = placed.withColumn("_next", F.lead("x").over(Window.partitionBy(*page, "_in").orderBy("x", "seq")))
-        gap = F.when(F.col("_in") & F.col("_next").isNotNull(), F.struct((F.col("_next") - x).alias("g"), (-x).alias("f"), ((x + F.col("_next")) / 2).alias("at")))
-        placed = placed.withColumn(name, F.coalesce(F.max(gap).over(whole)["at"], F.col("_lo") + F.col("_range") * default))
+        inside = F.coalesce((F.col("_n") > 0) & (x >= F.col("_lo") + F.col("_range") * low) & (x <= F.col("_lo") + F.col("_range") * high), F.lit(False))
+        cells = cells.withColumn(f"_in{name}", inside)
+        # Items with one x are no gap apart.
+        after = F.coalesce(F.lead("x").over(Window.partitionBy("_page", f"_in{name}").orderBy("x")), F.when(F.col("_n") > 1, x))
+        gap = F.when(inside & after.isNotNull(), F.struct((after - x).alias("g"), (-x).alias("f"), ((x + after) / 2).alias("at")))
+        cells = cells.withColumn(f"_gap{name}", gap)
+        at[name] = F.coalesce(F.max(f"_gap{name}")["at"], F.first("_lo") + F.first("_range") * default).alias(name)
     bucket = F.when(F.col("_range") < NARROW, 1).when(x < F.col("_b1"), 1).when(x < F.col("_b2"), 2).otherwise(3)
-    placed = placed.withColumn("_c", bucket).withColumn("_used", F.sort_array(F.collect_set("_c").over(whole)))
-    return placed.withColumn("column", F.array_position("_used", F.col("_c")).cast("int")).drop("_lo", "_range", "_in", "_next", "_b1", "_b2", "_c", "_used")
+    split = cells.groupBy("_page").agg(F.first("_range").alias("_range"), *at.values())
+    used = cells.select("_page", "x").join(split, "_page").groupBy("_page").agg(F.first("_range").alias("_range"), F.first("_b1").alias("_b1"), F.first("_b2").alias("_b2"), F.sort_array(F.collect_set(bucket)).alias("_used"))
+    return of_page(items, used).withColumn("column", F.array_position("_used", bucket).cast("int")).drop("_range", "_b1", "_b2", "_used")
 
 
 def _group_starts(ordered: Column, tolerance: float) -> Column:

@@ -201,3 +201,16 @@ def test_streamed_sessions(spark):
     q = activity.rate_limited(stream, "user_id", "1 minute", 2).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch.path(spark, "c")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.schema("user_id int, begin timestamp, end timestamp, requests long").parquet(out).count() >= 1
+
+
+def test_columns_keep_no_page_together(spark):
+    rows = [("d", 3, k, f"s{k}", float(x), 9.0, 5.0, 9.0) for k, x in enumerate([0, 0, 100, 100, 130, 260, 260, 300, 390])]
+    rows += [(None, 3, k, "s", x, 9.0, 5.0, 9.0) for k, x in enumerate([0.0, 90.0, 90.0, 400.0, None])]
+    found = layout.columns(spark.createDataFrame(rows, "doc string, page int, seq int, str string, x double, y double, width double, height double"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if line.strip(" :+-").startswith("Window ")]
+    assert windows and not any("str#" in line or "seq#" in line for line in windows)
+    got = {(r.doc, r.seq): r.column for r in found.collect()}
+    # The middle of 100 and 130 and of 300 and 260; two equal starts make a divider where they stand.
+    assert [got["d", k] for k in range(9)] == [1, 1, 1, 1, 2, 2, 2, 3, 3]
+    assert [got[None, k] for k in range(5)] == [1, 2, 2, 3, 3]
