@@ -123,3 +123,12 @@ def test_candidates_share_more_than_a_few_letters(spark):
     found = fuzzy.alike(words, "w", entries, "entry", 0.75, ("w",), ("entry",)).distinct()
     near = found.filter("levenshtein(w, entry) <= 2").count()
     assert near <= found.count() < 15 * near
+
+
+def test_what_words_ask_is_not_aggregated(spark):
+    words = spark.createDataFrame([("abcdefgh",), ("abcdefgx",)], "w string")
+    found = fuzzy.best_match(words, "w", ["abcdefgh", "abcdefgy"], 0.75, phonetic=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # The one aggregate takes the best of each word.
+    assert plan.count("Aggregate [") == 1 and "collect_set" not in plan
+    assert {r.w: (r.match, r.method) for r in found.collect()} == {"abcdefgh": ("abcdefgh", "LEVENSHTEIN"), "abcdefgx": ("abcdefgh", "LEVENSHTEIN")}
