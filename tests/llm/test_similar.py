@@ -131,3 +131,33 @@ def test_similar_sets_have_near_fingerprints():
         assert shingle_join.alike(x, y)
         far.append((shingle_join.simhash(x) ^ shingle_join.simhash(y)) % (1 << 64))
     assert max(bin(f).count("1") for f in far) <= shingle_join.FAR
+
+
+def test_fingerprints_and_pivots_give_links(spark):
+    nodes = spark.createDataFrame([(0, 5), (1, 5), (2, 4), (3, -1), (4, -4), (5, 7 << 40)], "node long, f long")
+    assert sorted(map(tuple, shingle_join.print_pairs(nodes).collect())) == [(0, 1), (0, 2), (3, 4)]
+
+
+def test_a_component_is_dealt_out_once_for_all_lists(spark):
+    """A component of 150 in forty lists that have different members: what is dealt out follows the members, not the lists."""
+    members = [(key, node) for key in range(40) for node in range(190) if node != 160 + key % 30]
+    lists = spark.createDataFrame(members, "key long, node long")
+    nodes = spark.createDataFrame([(n, 20, bytearray(32), bytearray(), bytearray()) for n in range(190)], "node long, n int, bits binary, sketch binary, cells binary")
+    labels = spark.createDataFrame([(n, 0) for n in range(150)], "id long, label long")
+    rows = shingle_join.open_rows(lists, nodes, labels)
+    assert rows.filter("key is null").count() == 190 and rows.count() <= 190 + 30 * 40
+    pairs = {tuple(p) for p in shingle_join.unconnected_pairs(rows).collect()}
+    # No list lacks both of two others, so all pairs with one outside meet.
+    assert pairs == {(a, b) for b in range(150, 190) for a in range(b)}
+
+
+def test_the_bitmaps_keep_similar_sets_of_any_size():
+    r = np.random.default_rng(3)
+    for n, one, two in [(8, 1, 1), (80, 10, 10), (800, 100, 100), (800, 200, 0), (8000, 1000, 1000)] * 40:
+        both = r.integers(0, 1 << 64, n, dtype=np.uint64)
+        x, y = (np.unique(np.concatenate([both, r.integers(0, 1 << 64, k, dtype=np.uint64)])) for k in (one, two))
+        z = np.unique(np.concatenate([both[: n // 2], r.integers(0, 1 << 64, n, dtype=np.uint64)]))
+        bits = shingle_join.Bitmaps([shingle_join.parity_of(v) for v in (x, y, z)])
+        near, far = bits.differ(0, np.array([1, 2]))
+        assert shingle_join.alike(x, y) and near <= len(np.setxor1d(x, y)) and 9 * near <= len(x) + len(y)
+        assert n not in (80, 800) or 9 * far > len(x) + len(z)
