@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from nothi.functions import ordered
 from nothi.functions.ordered import Replacer, replaced
 
 
@@ -47,3 +48,18 @@ def test_column(spark):
     d = spark.createDataFrame([(1, "করিম আলি"), (2, None), (3, "")], "i int, s string")
     got = {r.i: (r.r.text, r.r.n) for r in d.select("i", replaced("s", [("আলি", "আলী"), ("করিম", "রহিম")], whole_words=True).alias("r")).collect()}
     assert got == {1: ("রহিম আলী", 2), 2: ("", 0), 3: ("", 0)}
+
+
+def test_texts_with_many_entries_go_through_the_table(monkeypatch):
+    rng = random.Random(6)
+    pairs = [("".join(rng.choices("abcd", k=rng.randint(1, 3))), "".join(rng.choices("abcd", k=rng.randint(0, 3)))) for _ in range(60)]
+    texts = ["".join(rng.choices("abcd ", k=rng.randint(0, 300))) for _ in range(200)]
+    replacer = ordered.Replacer(pairs)
+    found = [replacer(t) for t in texts]
+    assert found == [through(t, pairs) for t in texts]
+    dense = ordered.Replacer(pairs)
+    # No entry was looked for by itself, with the places of its changes.
+    dense("".join(rng.choices("abcd", k=3000)))
+    assert not dense.rules
+    monkeypatch.setattr(ordered, "DENSE", 0)  # never
+    assert found == [ordered.Replacer(pairs)(t) for t in texts]
