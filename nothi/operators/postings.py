@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from nothi.functions.similarity import jaccard, ngrams
 from nothi.operators import search
+from nothi.sources import scratch
 
 BUCKETS, ROWS_A_FILE, FEW = 64, 1_000_000, 4
 #: So many candidates become a filter of the scan; more are joined.
@@ -46,6 +47,14 @@ def _posted(df: DataFrame, key: str, columns: Iterable[str], buckets: int) -> Da
     return rows.withColumn("bucket", (F.crc32(F.concat_ws(_GLUE, "field", "gram").cast("binary")) % buckets).cast("int"))
 
 
+def _dealt(rows: DataFrame, counts: DataFrame, rows_a_file: int) -> DataFrame:
+    """The rows by bucket; a bigram of many records is spread over several parts."""
+    # At most one in rows_a_file of the rows, so that it is broadcast and the rows are shuffled once.
+    hot = counts.filter(F.col("records") > rows_a_file).select("field", "gram", F.ceil(F.col("records") / rows_a_file).cast("int").alias("parts"))
+    dealt = rows.join(F.broadcast(hot), ["field", "gram"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(-1)).cast("int"))
+    return dealt.repartition("bucket", F.when(F.col("part") >= 0, F.col("gram")), "part").sortWithinPartitions("bucket", "field", "gram", "id")
+
+
 @dataclass(frozen=True)
 class Postings:
     """An index at ``path``. ``key`` is unique among the records."""
@@ -62,11 +71,12 @@ class Postings:
         """Adds records (with their search keys) to the index."""
         rows = _posted(records, self.key, self.columns, self.buckets)
         counts = rows.groupBy("bucket", "field", "gram").agg(F.count("*").alias("records"))
+        # Counted once; one row for each bigram.
+        path = scratch.path(self.spark, "counts")
+        counts.write.parquet(path)
+        counts = self.spark.read.schema(counts.schema).parquet(path)
         counts.repartition("bucket").sortWithinPartitions("bucket", "field", "gram").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/counts")
-        # At most one in rows_a_file of the rows.
-        hot = counts.filter(F.col("records") > rows_a_file).select("field", "gram", F.ceil(F.col("records") / rows_a_file).cast("int").alias("parts"))
-        dealt = rows.join(hot, ["field", "gram"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(-1)).cast("int"))
-        dealt = dealt.repartition("bucket", F.when(F.col("part") >= 0, F.col("gram")), "part").sortWithinPartitions("bucket", "field", "gram", "id")
+        dealt = _dealt(rows, counts, rows_a_file)
         dealt.select("bucket", "field", "gram", "n", "id").write.mode("append").option("maxRecordsPerFile", rows_a_file).partitionBy("bucket").parquet(f"{self.path}/postings")
         return self
 

@@ -68,3 +68,10 @@ def test_nothing_indexed(spark, people):
     none = people.limit(0)
     index = postings.write(none, "id", ["name"], scratch.path(spark, "e"))
     assert ids(index.matching(none, "name", "শ")) == []
+
+
+def test_rows_are_shuffled_once(spark):
+    rows = spark.createDataFrame([(1, "name", 2, "ab", 0), (2, "name", 2, "ab", 0)], "id long, field string, n int, gram string, bucket int")
+    counts = rows.groupBy("bucket", "field", "gram").count().withColumnRenamed("count", "records")
+    plan = postings._dealt(rows, counts, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
