@@ -14,7 +14,7 @@ from nothi.functions import lookups, names
 from nothi.functions.bengali import SPACE, skeleton, strip, text
 from nothi.functions.ordered import replaced
 from nothi.functions.similarity import similarity
-from nothi.operators.fuzzy import best_match, looked_up
+from nothi.operators.fuzzy import best_match, looked_up, matches
 
 WORD, NAME, NAME_INGEST, PLACE = 0.75, 0.70, 0.80, 0.70
 
@@ -27,8 +27,8 @@ def correct_words(df: DataFrame, column: str, words: list | None = None, misread
     """Adds ``corrected``, ``method`` and ``confidence`` of a single word per row."""
     words, misread = dict(lookups.WORDS if words is None else words), dict(lookups.MISREAD if misread is None else misread)
     out = looked_up(looked_up(df, column, misread if exact else {}, "_m"), column, words if exact else {}, "_d")
-    open_ = out.filter(F.col("_m").isNull() & F.col("_d").isNull() & F.col(column).isNotNull()).select(column).distinct()
-    fuzzy = best_match(open_, column, list(words), threshold, phonetic=True).filter("match is not null")
+    open_ = out.filter(F.col("_m").isNull() & F.col("_d").isNull())
+    fuzzy = matches(open_, column, list(words), threshold, phonetic=True)
     fuzzy = looked_up(fuzzy, "match", words, "_f").select(column, "_f", F.col("score").alias("_s"))
     out = out.join(fuzzy, column, "left")
     method = F.when(F.col("_m").isNotNull(), "EXACT_MISSPELLING").when(F.col("_d").isNotNull(), "EXACT_DICTIONARY").when(F.col("_f").isNotNull(), "FUZZY_MATCH").otherwise("NO_MATCH")

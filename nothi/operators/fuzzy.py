@@ -168,6 +168,40 @@ def _told(out: DataFrame, column: str, threshold: float) -> DataFrame:
     return out.select(column, F.col("_best.match").alias("match"), F.coalesce("_best.score", F.lit(float(threshold))).alias("score"), F.coalesce("_best.method", F.lit("NONE")).alias("method"))
 
 
+def _found(words: DataFrame, entries: list[str] | DataFrame, threshold: float, phonetic: bool, margin: float) -> DataFrame:
+    """_asked and _best of the words (_asked) that have a match, by the index of all entries."""
+    listed, few = entries_table(words.sparkSession, entries), not isinstance(entries, DataFrame)
+    if not phonetic:
+        return _best(_scored(alike(words, "_asked", listed, "entry", threshold, ("_asked",), ("o", "entry"), listed=few), threshold))
+    # A text and its skeleton are two forms, one where they are equal: a pair is found by any two of them.
+    listed = listed.withColumn("_ek", skeleton("entry")).withColumn("_form", F.explode(F.array_distinct(F.array("entry", "_ek"))))
+    words = words.withColumn("_asked_key", skeleton("_asked")).withColumn("_as", F.explode(F.array_distinct(F.array("_asked", "_asked_key"))))
+    pairs = alike(words, "_as", listed, "_form", threshold, ("_asked", "_asked_key"), ("o", "entry", "_ek"), listed=few)
+    scored = pairs.select("_asked", "o", "entry", similarity(F.col("_asked"), F.col("entry")).alias("d"), similarity(F.col("_asked_key"), F.col("_ek")).alias("p"))
+    scored = scored.filter((F.col("d") > threshold) | (F.col("p") > threshold + margin))
+    if margin:
+        start = F.struct(F.lit(None).cast("string").alias("match"), F.lit(float(threshold)).alias("score"), F.lit("NONE").alias("method"))
+
+        def step(best: Column, x: Column) -> Column:
+            now = F.when(x["d"] > best["score"], F.struct(x["entry"].alias("match"), x["d"].alias("score"), F.lit("LEVENSHTEIN").alias("method"))).otherwise(best)
+            return F.when(x["p"] > now["score"] + margin, F.struct(x["entry"].alias("match"), x["p"].alias("score"), F.lit("PHONETIC").alias("method"))).otherwise(now)
+
+        return scored.groupBy("_asked").agg(F.aggregate(F.array_sort(F.collect_set(F.struct("o", "entry", "d", "p"))), start, step).alias("_best"))
+    # Without a margin that is the highest score, then the smallest place.
+    by = F.when(F.col("p") > F.col("d"), F.struct((-F.col("p")).alias("d"), "o", "entry", F.lit("PHONETIC").alias("method"))).otherwise(F.struct((-F.col("d")).alias("d"), "o", "entry", F.lit("LEVENSHTEIN").alias("method")))
+    return _best(scored.groupBy("_asked").agg(F.min(by).alias("_m")))
+
+
+def matches(words: DataFrame, column: str, entries: list[str], threshold: float, phonetic: bool = False, margin: float = 0.0) -> DataFrame:
+    """``best_match`` against a list, of the values that have a match only; ``words`` may repeat. What they ask is dealt out by number, and shares no task with the table of distinct values."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be over 0 and at most 1")
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked_ = words.select(F.col(column).alias("_asked")).filter("_asked is not null").distinct().repartition(n, F.xxhash64("_asked"))
+    found = _found(asked_, entries, threshold, phonetic, margin).filter("_best.match is not null")
+    return _told(found.withColumnRenamed("_asked", column), column, threshold)
+
+
 def best_match(distinct: DataFrame, column: str, entries: list[str] | DataFrame, threshold: float, phonetic: bool = False, margin: float = 0.0) -> DataFrame:
     """column, match, score, method of distinct values: the entry most alike, above the threshold; of equals the first.
 
@@ -176,32 +210,10 @@ def best_match(distinct: DataFrame, column: str, entries: list[str] | DataFrame,
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
-    listed, word = entries_table(distinct.sparkSession, entries), F.col(column).alias("_asked")
-    words = distinct.select(word).filter("_asked is not null")
-    if phonetic:
-        # A text and its skeleton are two forms, one where they are equal: a pair is found by any two of them.
-        listed = listed.withColumn("_ek", skeleton("entry")).withColumn("_form", F.explode(F.array_distinct(F.array("entry", "_ek"))))
-        words = words.withColumn("_asked_key", skeleton("_asked")).withColumn("_as", F.explode(F.array_distinct(F.array("_asked", "_asked_key"))))
-        pairs = alike(words, "_as", listed, "_form", threshold, ("_asked", "_asked_key"), ("o", "entry", "_ek"), listed=not isinstance(entries, DataFrame))
-        scored = pairs.select("_asked", "o", "entry", similarity(F.col("_asked"), F.col("entry")).alias("d"), similarity(F.col("_asked_key"), F.col("_ek")).alias("p"))
-        scored = scored.filter((F.col("d") > threshold) | (F.col("p") > threshold + margin))
-        if margin:
-            start = F.struct(F.lit(None).cast("string").alias("match"), F.lit(float(threshold)).alias("score"), F.lit("NONE").alias("method"))
-
-            def step(best: Column, x: Column) -> Column:
-                now = F.when(x["d"] > best["score"], F.struct(x["entry"].alias("match"), x["d"].alias("score"), F.lit("LEVENSHTEIN").alias("method"))).otherwise(best)
-                return F.when(x["p"] > now["score"] + margin, F.struct(x["entry"].alias("match"), x["p"].alias("score"), F.lit("PHONETIC").alias("method"))).otherwise(now)
-
-            found = scored.groupBy("_asked").agg(F.aggregate(F.array_sort(F.collect_set(F.struct("o", "entry", "d", "p"))), start, step).alias("_best"))
-        else:
-            # Without a margin that is the highest score, then the smallest place.
-            by = F.when(F.col("p") > F.col("d"), F.struct((-F.col("p")).alias("d"), "o", "entry", F.lit("PHONETIC").alias("method"))).otherwise(F.struct((-F.col("d")).alias("d"), "o", "entry", F.lit("LEVENSHTEIN").alias("method")))
-            found = _best(scored.groupBy("_asked").agg(F.min(by).alias("_m")))
-    elif isinstance(entries, DataFrame):
-        return _nearest(distinct, column, words, listed, threshold)
-    else:
-        found = _best(_scored(alike(words, "_asked", listed, "entry", threshold, ("_asked",), ("o", "entry"), listed=True), threshold))
-    out = distinct.select(column).join(found, F.col(column) == F.col("_asked"), "left")
+    words = distinct.select(F.col(column).alias("_asked")).filter("_asked is not null")
+    if isinstance(entries, DataFrame) and not phonetic:
+        return _nearest(distinct, column, words, entries_table(distinct.sparkSession, entries), threshold)
+    out = distinct.select(column).join(_found(words, entries, threshold, phonetic, margin), F.col(column) == F.col("_asked"), "left")
     return _told(out, column, threshold)
 
 

@@ -55,7 +55,8 @@ def word_correct(spark, sf_dir):
     entries = _vocabulary(spark, sf_dir, "benchmark").orderBy("w")
     words = lookups.from_table(entries.select("w", F.col("w").alias("right")))
     misread = [(w[::-1], w) for w, _ in words if len(w) >= 5]
-    found = correct.correct_words(_vocabulary(spark, sf_dir, "documents").withColumnRenamed("w", "word"), "word", words, misread)
+    vocabulary = scratch.written(_vocabulary(spark, sf_dir, "documents").withColumnRenamed("w", "word"), "vocabulary")
+    found = correct.correct_words(vocabulary, "word", words, misread)
     return found.select("word", "corrected", "method", F.round("confidence", 9).alias("confidence"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -23,3 +23,10 @@ def path(spark: SparkSession, name: str) -> str:
     fs.mkdirs(parent)
     fs.deleteOnExit(parent)
     return f"{parent}/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table, written once and read back, so that no later stage makes it again."""
+    at = path(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

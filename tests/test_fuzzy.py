@@ -132,3 +132,16 @@ def test_what_words_ask_is_not_aggregated(spark):
     # The one aggregate takes the best of each word.
     assert plan.count("Aggregate [") == 1 and "collect_set" not in plan
     assert {r.w: (r.match, r.method) for r in found.collect()} == {"abcdefgh": ("abcdefgh", "LEVENSHTEIN"), "abcdefgx": ("abcdefgh", "LEVENSHTEIN")}
+
+
+def test_words_of_a_query_are_made_once(spark, sf_dir):
+    from nothi.plans import queries_correct
+
+    plan = queries_correct.word_correct(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+
+
+def test_repeated_words(spark):
+    rows = spark.createDataFrame([("abcdefgh", 1), ("abcdefgx", 2), ("abcdefgx", 3), ("zzzzzz", 4), (None, 5)], "w string, n int")
+    given = correct.correct_words(rows, "w", [("abcdefgh", "right")], [])
+    assert sorted((r.n, r.corrected, r.method) for r in given.collect()) == [(1, "right", "EXACT_DICTIONARY"), (2, "right", "FUZZY_MATCH"), (3, "right", "FUZZY_MATCH"), (4, "zzzzzz", "NO_MATCH"), (5, None, "NO_MATCH")]
