@@ -161,3 +161,19 @@ def test_the_bitmaps_keep_similar_sets_of_any_size():
         near, far = bits.differ(0, np.array([1, 2]))
         assert shingle_join.alike(x, y) and near <= len(np.setxor1d(x, y)) and 9 * near <= len(x) + len(y)
         assert n not in (80, 800) or 9 * far > len(x) + len(z)
+
+
+def test_only_rows_of_repeated_sets_meet_others(spark):
+    rows = [(i, 7, 0, i % 40, 0, 100 + i, [i]) for i in range(50)]
+    found = shingle_join.numbered(spark.createDataFrame(rows, "id long, h0 long, h1 long, d0 long, d1 long, row long, keys array<long>"))
+    assert {r.id: (r.node, r["keys"]) for r in found.collect()} == {i: (100 + i % 40, [i]) for i in range(50)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # The lists of shingles pass no aggregate, and those of the other rows no join.
+    assert "Aggregate" not in plan and plan.count("Join ") == 1 and plan.count("Union") == 1
+
+
+def test_repeated_rows_of_similar_texts(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, base), (1, base), (1, base), (2, base + " x"), (2, base + " x"), (3, base + " y"), (4, "w0 w1"), (4, "w0 w1")]
+    stay = op4_simhash.drop_near_duplicates(docs(spark, [(i, t, "en", "a", 0) for i, t in rows], extra=False)).collect()
+    assert sorted((r.doc_id, r.text) for r in stay) == [(1, base), (4, "w0 w1")]
