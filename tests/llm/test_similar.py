@@ -177,3 +177,29 @@ def test_repeated_rows_of_similar_texts(spark):
     rows = [(1, base), (1, base), (1, base), (2, base + " x"), (2, base + " x"), (3, base + " y"), (4, "w0 w1"), (4, "w0 w1")]
     stay = op4_simhash.drop_near_duplicates(docs(spark, [(i, t, "en", "a", 0) for i, t in rows], extra=False)).collect()
     assert sorted((r.doc_id, r.text) for r in stay) == [(1, base), (4, "w0 w1")]
+
+
+def test_two_similar_texts_with_far_fingerprints(spark):
+    """Nobody else has their shingles, and 27 bits part their fingerprints."""
+    base = " ".join(f"s8604a{i}" for i in range(8))
+    one, two = (shingle_join.shingle_set(t.encode()) for t in (base, base + " u"))
+    assert shingle_join.alike(one, two) and bin((shingle_join.simhash(one) ^ shingle_join.simhash(two)) % (1 << 64)).count("1") > shingle_join.FAR
+    assert kept(spark, [(1, base), (2, base + " u")]) == [1]
+
+
+def test_no_similar_pair_hangs_on_the_sketch(spark):
+    """A large set and the same without the smallest hash of each range: they agree in few ranges and are similar."""
+    x = np.unique(np.random.default_rng(4).integers(0, 1 << 64, 6000, dtype=np.uint64))
+    at = np.flatnonzero(np.diff((x >> np.uint64(57)).astype(np.int64), prepend=-1))
+    y = np.delete(x, at)
+    a, b = (np.frombuffer(shingle_join.sketch_of(v), np.uint8) for v in (x, y))
+    assert shingle_join.alike(x, y) and shingle_join.promising(a, b[None])[0] < 0
+    rows = [(7, None, 0, 0, True, k, k, len(v), bytearray(shingle_join.parity_of(v)), bytearray(shingle_join.sketch_of(v)), bytearray()) for k, v in enumerate([x, y])]
+    rows = spark.createDataFrame(rows, "key long, of long, i int, j int, first boolean, node long, label long, n int, bits binary, sketch binary, cells binary")
+    assert [tuple(p) for p in shingle_join.unconnected_pairs(rows).collect()] == [(0, 1)]
+
+
+def test_every_document_counts_for_commonness(spark):
+    texts = [f"one two three four five{i % 3}" for i in range(30)]
+    counts = shingle_join.sketch(docs(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).value
+    assert counts.sum() == 30 and sorted(counts[counts > 0].tolist()) == [10, 10, 10]
