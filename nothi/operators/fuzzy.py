@@ -5,7 +5,8 @@ them without as many characters at most; so a text stands in the index with all
 that one has a single edit at most and is moved no farther than the edits before and after it allow; an entry is indexed by the rests of its parts, and a word asks with its own substrings at
 the places where a part may lie. An equi join on a hash of the rest finds every pair; nothing is compared by distance but what it finds.
 
-Only the nearest entry counts for a plain lookup, so words that are entries themselves are done at once, and words with an entry at one edit ask no further.
+Only the nearest entry counts for a plain lookup in a table. So words that are entries themselves are done at once, then those with an entry at one edit, at two and so on (``DEEP``), each by rests of whole texts; what is asked
+by parts, which many texts share, is what is left and only against entries that are long enough for more edits.
 
 Both sides are tables: a small index is broadcast, a large one is shuffled, and Spark splits what is skewed. Lists of entries become a table of
 checked size (``MOST``) first. Nothing of a lookup stands in the plan.
@@ -26,6 +27,8 @@ from nothi.sources import scratch
 MOST = 10_000
 #: Edits up to which whole texts are asked by their rests.
 WHOLE = 2
+#: The same for a lookup in a table, if no text has more than so many rests with it.
+DEEP, RESTS = 4, 13_000
 _SLACK = 1e-9
 
 
@@ -48,26 +51,48 @@ def _cut(i: Column, n: Column, parts: Column) -> Column:
     return F.floor(i * n / parts).cast("int")
 
 
-def _rests(rows: DataFrame, most: Column) -> DataFrame:
-    """Adds ``_rest``: the text ``_s`` without no, one or two characters (``_x`` and ``_y``, their places from 1), ``most`` at most."""
-    n, x, y = F.length("_s"), F.col("_x"), F.col("_y")
-    none = F.array(F.lit(0))
-    out = rows.withColumn("_x", F.explode(F.when(most >= 2, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(none)))
-    out = out.withColumn("_y", F.explode(F.when(x > 0, F.sequence(x + 1, n)).when(most >= 1, F.sequence(F.lit(0), n)).otherwise(none)))
-    return out.withColumn("_rest", F.concat(F.substring("_s", F.lit(1), x - 1), F.substring("_s", x + 1, y - x - 1), F.substring("_s", y + 1, n)))
+def _rests(rows: DataFrame, most: Column, deep: int = WHOLE) -> DataFrame:
+    """Adds ``_rest``: the text ``_s`` without no character or some, ``most`` and ``deep`` at most; ``_y`` is the last one's place from 1, ``_x`` and ``_x3`` those before it."""
+    n, before, places = F.length("_s"), F.lit(0), []
+    for k in range(deep, 0, -1):
+        place = "_y" if k == 1 else "_x" if k == 2 else f"_x{k}"
+        last = F.greatest(n - (k - 1), F.lit(0))
+        rows = rows.withColumn(place, F.explode(F.when(before > 0, F.sequence(F.least(before + 1, last), last)).when(most >= k, F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(0)))))
+        before = F.col(place)
+        places.append(before)
+    kept = [F.substring("_s", x + 1, y - x - 1) for x, y in zip([F.lit(0), *places], [*places, n + 1])]
+    return rows.withColumn("_rest", F.concat(*kept))
 
 
-def wholes(texts: DataFrame, column: str, threshold: float, *keep: str, within: tuple[int, int] = (0, WHOLE)) -> DataFrame:
-    """_key and the kept columns: the rests of whole texts, for pairs that differ by the edits ``within``; with more than one, only of texts that may differ by ``WHOLE`` at most."""
-    out = texts.select(*keep, F.col(column).alias("_s")).withColumn("_t", edits(F.length("_s"), threshold)).filter((F.col("_t") <= WHOLE) | F.lit(within[1] == 1))
-    # The longer of two texts loses the edits, the shorter one fewer; its own number is as many at least.
-    out = out.filter(F.length("_s") >= _shortest(within[0], threshold))
-    return _rests(out, F.least("_t", F.lit(within[1]))).select(*keep, F.xxhash64("_rest").alias("_key"))
+def wholes(texts: DataFrame, column: str, threshold: float, *keep: str) -> DataFrame:
+    """_key and the kept columns: the rests of whole texts that may differ by ``WHOLE`` edits at most."""
+    out = texts.select(*keep, F.col(column).alias("_s")).withColumn("_t", edits(F.length("_s"), threshold)).filter(F.col("_t") <= WHOLE)
+    return _rests(out, F.col("_t")).select(*keep, F.xxhash64("_rest").alias("_key"))
 
 
-def _shortest(t: int, threshold: float) -> int:
-    """The least length of one of two texts that differ by t edits and are alike."""
-    return max(0, math.floor(t / (1.0 - threshold)) - t) if t and threshold < 1 else 0
+def _least_length(t: int, threshold: float) -> int | None:
+    """The least length of the longer of two texts that differ by t edits and are alike, by the arithmetic of ``similarity``; null if none are."""
+    if threshold >= 1:
+        return None
+    n = max(t, 1, math.floor(t / (1.0 - threshold)) - 2)
+    while not 1.0 - t / n > threshold:
+        n += 1
+    return n
+
+
+def _deep(threshold: float) -> int:
+    """Edits up to which a lookup in a table asks by rests of whole texts."""
+    most = lambda t: _least_length(t + 1, threshold) - 1 + t
+    fits = [t for t in range(WHOLE, DEEP + 1) if threshold < 1 and sum(math.comb(most(t), k) for k in range(t + 1)) <= RESTS]
+    return max(fits, default=WHOLE)
+
+
+def rests(texts: DataFrame, column: str, threshold: float, edits_: int, most: int | None, *keep: str) -> DataFrame:
+    """_key and the kept columns: the rests of whole texts of up to ``most`` characters, for pairs that are alike by so many edits. The longer one loses as many characters at most, the shorter one fewer by what it is shorter."""
+    least, n = _least_length(edits_, threshold), F.length("_s")
+    out = texts.select(*keep, F.col(column).alias("_s")).filter(n >= least - edits_)
+    out = out if most is None else out.filter(n <= most)
+    return _rests(out, F.least(F.lit(edits_), n - (least - edits_)), edits_).select(*keep, F.xxhash64("_rest").alias("_key"))
 
 
 def _part(i: Column, n: Column, t: Column) -> tuple[Column, Column, Column]:
@@ -76,25 +101,25 @@ def _part(i: Column, n: Column, t: Column) -> tuple[Column, Column, Column]:
     return _cut(i, n, parts), _cut(i + 1, n, parts), parts
 
 
-def index(entries: DataFrame, column: str, threshold: float, *keep: str) -> DataFrame:
-    """_key and the kept columns: the rests of the parts of each entry for every number of edits over ``WHOLE`` that it may be asked with."""
+def index(entries: DataFrame, column: str, threshold: float, *keep: str, over: int = WHOLE) -> DataFrame:
+    """_key and the kept columns: the rests of the parts of each entry for every number of edits over ``over`` that it may be asked with."""
     b, t = F.col("_b"), F.col("_t")
     out = entries.select(*keep, F.col(column).alias("_text"), F.length(column).alias("_b"))
     longest = F.greatest(b, F.floor(b / threshold + _SLACK).cast("int"))
-    out = out.withColumn("_t", F.explode(F.array_distinct(F.transform(F.sequence(b, longest), lambda n: edits(n, threshold))))).filter(t > WHOLE)
+    out = out.withColumn("_t", F.explode(F.array_distinct(F.transform(F.sequence(b, longest), lambda n: edits(n, threshold))))).filter(t > over)
     out = out.withColumn("_i", F.explode(F.sequence(F.lit(0), F.floor(t / 2).cast("int"))))
     begin, end, _ = _part(F.col("_i"), b, t)
     out = out.withColumn("_s", F.substring("_text", begin + 1, end - begin))
-    return _rests(out, F.lit(1)).select(*keep, F.xxhash64("_b", "_t", "_i", "_rest").alias("_key"))
+    return _rests(out, F.lit(1), 1).select(*keep, F.xxhash64("_b", "_t", "_i", "_rest").alias("_key"))
 
 
-def asked(words: DataFrame, column: str, threshold: float, *keep: str) -> DataFrame:
+def asked(words: DataFrame, column: str, threshold: float, *keep: str, over: int = WHOLE) -> DataFrame:
     """_key and the kept columns: what each word looks for in the index."""
     a, b, t, i, delta = (F.col(c) for c in ("_a", "_b", "_t", "_i", "_d"))
     out = words.select(*keep, F.col(column).alias("_text"), F.length(column).alias("_a"))
     least, most = F.ceil(a * threshold - _SLACK).cast("int"), F.greatest(a, F.floor(a / threshold + _SLACK).cast("int"))
-    out = out.filter(edits(most, threshold) > WHOLE).withColumn("_b", F.explode(F.sequence(least, most)))
-    out = out.withColumn("_t", edits(F.greatest(a, b), threshold)).filter((t > WHOLE) & (F.abs(a - b) <= t))
+    out = out.filter(edits(most, threshold) > over).withColumn("_b", F.explode(F.sequence(least, most)))
+    out = out.withColumn("_t", edits(F.greatest(a, b), threshold)).filter((t > over) & (F.abs(a - b) <= t))
     out = out.withColumn("_i", F.explode(F.sequence(F.lit(0), F.floor(t / 2).cast("int")))).withColumn("_d", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
     begin, end, parts = _part(i, b, t)
     # There is such a part with 2 i or 2 i + 1 edits before it, and the rest of them behind it; the first part has nothing before it, the last nothing behind.
@@ -103,7 +128,7 @@ def asked(words: DataFrame, column: str, threshold: float, *keep: str) -> DataFr
     lo = F.greatest(F.lit(0), begin - before, begin + moved - behind)
     hi = F.least(a - size, begin + before, begin + moved + behind)
     out = out.withColumns({"_n": size, "_lo": lo, "_hi": hi}).filter("_n >= 0 and _lo <= _hi").withColumn("_p", F.explode(F.sequence("_lo", "_hi")))
-    out = _rests(out.withColumn("_s", F.substring("_text", F.col("_p") + 1, F.col("_n"))), F.when(delta < 0, 0).otherwise(1))
+    out = _rests(out.withColumn("_s", F.substring("_text", F.col("_p") + 1, F.col("_n"))), F.when(delta < 0, 0).otherwise(1), 1)
     return out.filter((delta < 1) | (F.col("_y") > 0)).select(*keep, F.xxhash64("_b", "_t", "_i", "_rest").alias("_key"))
 
 
@@ -115,20 +140,19 @@ def _met(asking: DataFrame, held: DataFrame, listed: bool) -> DataFrame:
     return asking.repartition(n, "_key").join(held.repartition(n, "_key").hint("merge"), "_key").drop("_key")
 
 
-def _alike_wholes(words: DataFrame, column: str, entries: DataFrame, entry: str, threshold: float, words_keep: tuple[str, ...], entries_keep: tuple[str, ...], listed: bool, within: tuple[int, int] = (0, WHOLE)) -> DataFrame:
-    return _met(wholes(words, column, threshold, *words_keep, within=within), wholes(entries, entry, threshold, *entries_keep, within=within), listed)
-
-
-def alike(words: DataFrame, column: str, entries: DataFrame, entry: str, threshold: float, words_keep: tuple[str, ...], entries_keep: tuple[str, ...], listed: bool = False, least: int = 0) -> DataFrame:
-    """Candidate pairs, with the kept columns of both sides; a pair may come more than once. ``listed``: the entries are few. Pairs that differ by under ``least`` edits may be missing."""
+def alike(words: DataFrame, column: str, entries: DataFrame, entry: str, threshold: float, words_keep: tuple[str, ...], entries_keep: tuple[str, ...], listed: bool = False) -> DataFrame:
+    """Candidate pairs, with the kept columns of both sides; a pair may come more than once. ``listed``: the entries are few."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
-    whole = _alike_wholes(words, column, entries, entry, threshold, words_keep, entries_keep, listed, (least, WHOLE))
+    whole = _met(wholes(words, column, threshold, *words_keep), wholes(entries, entry, threshold, *entries_keep), listed)
     return whole.unionByName(_met(asked(words, column, threshold, *words_keep), index(entries, entry, threshold, *entries_keep), listed))
 
 
-def _scored(pairs: DataFrame, threshold: float) -> DataFrame:
-    """_asked and _m: of the pairs above the threshold that with the highest score, then the smallest place."""
+def _scored(pairs: DataFrame, threshold: float, most: int | None = None) -> DataFrame:
+    """_asked and _m: of the pairs above the threshold that with the highest score, then the smallest place; with ``most``, only of pairs that differ by so many edits at most."""
+    if most is not None:
+        # A bounded distance is cheap, and few pairs are left to be sorted.
+        pairs = pairs.filter(F.levenshtein("_asked", "entry", most) >= 0)
     # Filtered when it is the best, so that a distance is taken once.
     scored = pairs.select("_asked", "o", "entry", similarity(F.col("_asked"), F.col("entry")).alias("d"))
     return scored.groupBy("_asked").agg(F.min(F.struct((-F.col("d")).alias("d"), "o", "entry", F.lit("LEVENSHTEIN").alias("method"))).alias("_m")).filter(-F.col("_m.d") > threshold)
@@ -139,7 +163,7 @@ def _best(found: DataFrame) -> DataFrame:
 
 
 def _nearest(distinct: DataFrame, column: str, words: DataFrame, listed: DataFrame, threshold: float) -> DataFrame:
-    """``best_match`` against a table of entries: equal ones first, then those at one edit, then all others for the words that are left."""
+    """``best_match`` against a table of entries: equal ones first, then those at one edit, at two and so on, then all others, each for the words that are left."""
     spark = words.sparkSession
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -149,18 +173,29 @@ def _nearest(distinct: DataFrame, column: str, words: DataFrame, listed: DataFra
         return spark.read.schema(df.schema).parquet(path).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     listed = kept(listed.groupBy("entry").agg(F.min("o").alias("o")), "entries")
-    empty = F.struct((-F.lit(1.0)).alias("d"), "o", "entry", F.lit("LEVENSHTEIN").alias("method"))
-    same = words.join(listed, F.col("_asked") == F.col("entry"), "left").select("_asked", F.when(F.col("entry").isNotNull() & F.lit(threshold < 1), empty).alias("_same"))
-    same = kept(same, "same")
-    left = same.filter("_same is null").select("_asked")
-    near = _scored(_alike_wholes(left, "_asked", listed, "entry", threshold, ("_asked",), ("o", "entry"), False, (1, 1)), threshold)
-    near = kept(left.join(near, "_asked", "left"), "near")
-    # Two edits and more make one less 2 / (n + 2) at best.
-    open_ = near.filter(F.coalesce(-F.col("_m.d") <= 1.0 - 2 / (F.length("_asked") + 2), F.lit(True))).select("_asked")
-    far = _scored(alike(open_, "_asked", listed, "entry", threshold, ("_asked",), ("o", "entry"), least=2), threshold)
-    found = near.join(far.withColumnRenamed("_m", "_f"), "_asked", "left").select("_asked", F.least("_m", "_f").alias("_m"))
-    found = found.unionByName(same.filter("_same is not null").select("_asked", F.col("_same").alias("_m"))).filter("_m is not null")
-    out = distinct.select(column).join(_best(found), F.col(column) == F.col("_asked"), "left")
+    same = F.struct((-F.lit(1.0)).alias("d"), "o", "entry", F.lit("LEVENSHTEIN").alias("method"))
+    best = kept(words.join(listed, F.col("_asked") == F.col("entry"), "left").select("_asked", F.when(F.col("entry").isNotNull() & F.lit(threshold < 1), same).alias("_m")), "best")
+    closed = F.col("_m").isNotNull()
+    done, left, deep = [best.filter(closed)], best.filter(~closed), _deep(threshold)
+    # What words of so many characters differ from by up to ``deep`` edits has few enough rests; longer ones ask by parts after the first edit.
+    longest = _least_length(deep + 1, threshold) - 1 if threshold < 1 else 0
+    later = []
+    for t in range(1, deep + 1) if threshold < 1 else ():
+        pairs = _met(rests(left, "_asked", threshold, t, None if t == 1 else longest, "_asked"), rests(listed, "entry", threshold, t, None if t == 1 else longest + t, "o", "entry"), False)
+        best = kept(left.join(_scored(pairs, threshold, t).withColumnRenamed("_m", "_f"), "_asked", "left").select("_asked", F.least("_m", "_f").alias("_m")), "best")
+        # t + 1 edits and more make one less (t + 1) / (n + t + 1) at best.
+        closed = F.coalesce(-F.col("_m.d") > 1.0 - (t + 1) / (F.length("_asked") + t + 1), F.lit(False))
+        done.append(best.filter(closed))
+        left = best.filter(~closed)
+        if t == 1:
+            later, left = [left.filter(F.length("_asked") > longest)], left.filter(F.length("_asked") <= longest)
+    for x in later:
+        left = left.unionByName(x)
+    far = _scored(_met(asked(left, "_asked", threshold, "_asked", over=deep), index(listed, "entry", threshold, "o", "entry", over=deep), False), threshold)
+    found = left.join(far.withColumnRenamed("_m", "_f"), "_asked", "left").select("_asked", F.least("_m", "_f").alias("_m"))
+    for x in done:
+        found = found.unionByName(x)
+    out = distinct.select(column).join(_best(found.filter("_m is not null")), F.col(column) == F.col("_asked"), "left")
     return _told(out, column, threshold)
 
 

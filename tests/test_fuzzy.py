@@ -145,3 +145,36 @@ def test_repeated_words(spark):
     rows = spark.createDataFrame([("abcdefgh", 1), ("abcdefgx", 2), ("abcdefgx", 3), ("zzzzzz", 4), (None, 5)], "w string, n int")
     given = correct.correct_words(rows, "w", [("abcdefgh", "right")], [])
     assert sorted((r.n, r.corrected, r.method) for r in given.collect()) == [(1, "right", "EXACT_DICTIONARY"), (2, "right", "FUZZY_MATCH"), (3, "right", "FUZZY_MATCH"), (4, "zzzzzz", "NO_MATCH"), (5, None, "NO_MATCH")]
+
+
+def mutated(rng, word, n):
+    for _ in range(n):
+        at = rng.randrange(len(word))
+        word = rng.choice([word[:at] + word[at + 1 :], word[:at] + rng.choice("xyz") + word[at:], word[:at] + rng.choice("xyz") + word[at + 1 :]])
+    return word
+
+
+@pytest.mark.parametrize("threshold", [0.75, 0.8])
+def test_long_words_of_tables(spark, threshold):
+    """Words of 10 to 30 letters from few syllables, with entries at up to seven edits."""
+    rng = random.Random(7)
+    parts = "an en on ti re ha he th er nd st al".split()
+    entries = list(dict.fromkeys("".join(rng.choices(parts, k=rng.randint(5, 14))) for _ in range(150)))
+    words = list(dict.fromkeys(mutated(rng, rng.choice(entries), rng.randint(1, 7)) for _ in range(250)))
+    listed = spark.createDataFrame([(e,) for e in entries], "entry string")
+    got = {r.w: (r.match, round(r.score, 9)) for r in fuzzy.best_match(spark.createDataFrame([(w,) for w in words], "w string"), "w", listed, threshold).collect()}
+    entries.sort()
+    for w in words:
+        match, score, _ = every(w, "", entries, entries, threshold, False, 0)
+        assert got[w] == (match, round(score, 9)), w
+
+
+def test_words_with_an_entry_at_few_edits_ask_no_parts(spark, monkeypatch):
+    """Parts are shared by many texts, so only words without a near entry ask by them, and of entries that are long enough for more edits."""
+    rng, asked, rows = random.Random(8), fuzzy.asked, []
+    monkeypatch.setattr(fuzzy, "asked", lambda *a, **k: rows.append(asked(*a, **k)) or rows[-1])
+    entries = ["".join(rng.choices("abcdefgh", k=16)) for _ in range(40)]
+    words = ["zz" + e[2:] for e in entries] + ["zz" + e[2:15] + "z" for e in entries]
+    found = fuzzy.best_match(spark.createDataFrame([(w,) for w in words], "w string"), "w", spark.createDataFrame([(e,) for e in entries], "entry string"), 0.75)
+    assert {r.w: r.match for r in found.collect()} == dict(zip(words, entries * 2))
+    assert sum(r.count() for r in rows) == 0
